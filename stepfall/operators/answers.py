@@ -63,7 +63,8 @@ def realised_severity(sessions: DataFrame, answers: DataFrame, cohorts: Mapping[
     """
     bases, hits = {}, {}
     for fault in cohorts:
-        bases[fault], hits[fault] = reached(K.STEP_OF_FAULT.get(fault, CRASH), vocabulary)
+        base, hit = reached(K.STEP_OF_FAULT.get(fault, CRASH), vocabulary)
+        bases[fault], hits[fault] = F.expr(base), F.expr(hit)
     base, hit = _by_fault(bases, F.lit(False)), _by_fault(hits, F.lit(False))
     counts = [F.count_if((F.col("period") == p) & c).alias(f"{kind}_{p}")
               for p in ("pre", "post") for kind, c in (("n", base), ("k", hit))]

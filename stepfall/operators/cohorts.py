@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfall.constants import TEXT_ATTRIBUTES, USER_ATTRIBUTES
+from stepfall.constants import USER_ATTRIBUTES
 from stepfall.functions.measures import precision_recall_f1, rate
 from stepfall.functions.predicates import (
     checked_predicate, flat_pieces, is_flat, is_refused, literal_values, number_value, text_value,
@@ -106,20 +106,19 @@ def attribute_profiles(users: DataFrame, planted: DataFrame | None = None) -> Da
         F.count("*").alias("n_users"), F.count_if("affected").alias("n_planted"))
 
 
-def value_key(name: str) -> Column:
-    """Text form of an attribute value; numbers as doubles, so 24 and 24.0 meet."""
-    c = F.col(name)
-    return (c.cast("double") if name == "device_age_months" else c).cast("string")
+def _attribute_rows() -> Column:
+    """Generator of (column, vkey, s, x) per attribute; ``vkey`` is the value as join text.
 
+    Numbers are keyed as doubles, so that 24 and 24.0 meet.
+    """
+    def row(name: str) -> str:
+        if name == "device_age_months":
+            x, s = f"CAST({name} AS DOUBLE)", "CAST(NULL AS STRING)"
+            return f"struct('{name}' AS column, CAST({x} AS STRING) AS vkey, {s} AS s, {x} AS x)"
+        s = f"CAST({name} AS STRING)"
+        return f"struct('{name}' AS column, {s} AS vkey, {s} AS s, CAST(NULL AS DOUBLE) AS x)"
 
-def _attribute_rows() -> Column:
-    return F.explode(F.array(*(
-        F.struct(F.lit(n).alias("column"), value_key(n).alias("vkey"),
-                 (F.col(n).cast("string") if n in TEXT_ATTRIBUTES or n == "is_returning"
-                  else F.lit(None).cast("string")).alias("s"),
-                 (F.col(n).cast("double") if n == "device_age_months"
-                  else F.lit(None).cast("double")).alias("x"))
-        for n in ATTRS)))
+    return F.expr(f"inline(array({', '.join(map(row, ATTRS))}))")
 
 
 def cohort_separability(users: DataFrame, affected: DataFrame, *, best_only: bool = True,
@@ -135,10 +134,8 @@ def cohort_separability(users: DataFrame, affected: DataFrame, *, best_only: boo
     profiles = attribute_profiles(users, affected)
     totals = profiles.groupBy("instance_id").agg(F.sum("n_planted").alias("n_affected"))
     pairs = (
-        profiles.select("instance_id", "n_users", "n_planted", F.explode(F.array(*(
-            F.struct(F.lit(n).alias("col"), F.col(n).cast("string").alias("value"))
-            for n in ATTRS))).alias("a"))
-        .select("instance_id", "n_users", "n_planted", "a.*")
+        profiles.select("instance_id", "n_users", "n_planted", F.expr("inline(array(" + ", ".join(
+            f"struct('{n}' AS col, CAST({n} AS STRING) AS value)" for n in ATTRS) + "))"))
         .filter(F.col("value").isNotNull())
         .groupBy("instance_id", "col", "value")
         .agg(F.sum("n_users").alias("n"), F.sum("n_planted").alias("k"))
@@ -205,9 +202,8 @@ def match_profiles(profiles: DataFrame, clauses: DataFrame) -> DataFrame:
     """
     scope = ["instance_id"] if "instance_id" in clauses.columns else []
     claim = [*scope, "claim_id"]
-    rows = profiles.select("instance_id", *ATTRS, "n_users", "n_planted",
-                           _attribute_rows().alias("a")).select(
-        "instance_id", *ATTRS, "n_users", "n_planted", "a.*").filter(
+    rows = profiles.select(
+        "instance_id", *ATTRS, "n_users", "n_planted", _attribute_rows()).filter(
         F.col("vkey").isNotNull())
     values = rows.select(*scope, "column", "vkey", "s", "x").distinct()
 

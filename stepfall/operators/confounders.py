@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stepfall.constants import STAGES, USER_ATTRIBUTES
 from stepfall.functions.measures import rate
 from stepfall.operators.severity import (
-    CRASH, Step, age_band, attribute_values, band_label, long_steps, step_counts, with_delta,
+    CRASH, Step, age_band, attribute_values, band_label, count_columns, long_steps, step_counts,
+    with_delta,
 )
 
 WHOLE: Step = (STAGES[0], STAGES[-1])
@@ -91,12 +92,11 @@ def simpson_check(sessions: DataFrame, *, attrs: Sequence[str] = USER_ATTRIBUTES
         sessions.select("instance_id", "period", "stage_mask", "has_crash",
                         *(values[a].alias(a) for a in attrs)),
         ["instance_id", *attrs], [step], vocabulary)
-    names = ["n_pre_0", "k_pre_0", "n_post_0", "k_post_0"]
+    counters = count_columns(1)
+    named = ", ".join(f"struct('{a}' AS attr, {a} AS value)" for a in attrs)
     segments = (
-        combos.withColumn("c", F.explode(F.array(*(
-            F.struct(F.lit(a).alias("attr"), F.col(a).alias("value")) for a in attrs))))
-        .groupBy("instance_id", F.col("c.attr").alias("attr"), F.col("c.value").alias("value"))
-        .agg(*(F.sum(n).alias(n) for n in names)))
+        combos.select("instance_id", *counters, F.expr(f"inline(array({named}))"))
+        .groupBy("instance_id", "attr", "value").agg(*(F.sum(c).alias(c) for c in counters)))
     moves = with_delta(long_steps(segments, ["instance_id", "attr", "value"], [step]))
     whole = F.lit(100.0) * (
         rate(F.sum("k_pre"), F.sum("n_pre")) - rate(F.sum("k_post"), F.sum("n_post")))

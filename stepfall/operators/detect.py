@@ -47,10 +47,11 @@ def _texts(*items: str) -> Column:
 def _standing_out(groups: DataFrame, value: str, floor: float, factor: float,
                   by: str, positive_only: bool) -> DataFrame:
     """Top group per case when it exceeds the floor and ``factor`` times the case's median."""
-    top = symptoms.top_suspect(groups, value, by=by)
-    median = symptoms.group_median(groups, value, positive_only=positive_only)
-    return top.join(median, "instance_id").filter(
-        (F.col(value) > floor) & (F.col(value) > F.lit(factor) * F.col("median")))
+    best, median = symptoms.best_group(value, by), symptoms.median_of(value, positive_only)
+    return (
+        groups.groupBy("instance_id").agg(best.alias("b"), median.alias("median"))
+        .select("instance_id", "b.*", "median")
+        .filter((F.col(value) > floor) & (F.col(value) > F.lit(factor) * F.col("median"))))
 
 
 def detect_crash(
@@ -87,31 +88,41 @@ def detect_latency(
         _texts().alias("confounders_considered"))
 
 
-def detect_none(cases: DataFrame, findings: DataFrame) -> DataFrame:
-    """Cases without any finding get the innocent answer."""
-    return cases.join(findings.select("instance_id").distinct(), "instance_id", "left_anti").select(
+def innocent_rows(cases: DataFrame) -> DataFrame:
+    """The innocent answer for every case."""
+    return cases.select(
         "instance_id", F.lit(K.INNOCENT).alias("mechanism_type"),
         F.lit("Neither crashes nor latency stand out.").alias("mechanism"),
         F.lit("").alias("affected_cohort"), F.lit(None).cast("double").alias("score"),
         F.lit(K.CONFIDENCE_INNOCENT).alias("confidence"),
-        _evidence(F.lit("")).alias("evidence"),
-        _texts("traffic mix", "device age").alias("confounders_considered"),
-    ).withColumn("evidence", F.slice("evidence", 1, 0))
+        F.slice(_evidence(F.lit("")), 1, 0).alias("evidence"),
+        _texts("traffic mix", "device age").alias("confounders_considered"))
+
+
+def detect_none(cases: DataFrame, findings: DataFrame) -> DataFrame:
+    """Cases without any finding get the innocent answer."""
+    found = findings.select("instance_id").distinct()
+    return innocent_rows(cases.join(found, "instance_id", "left_anti"))
 
 
 def rank_hypotheses(system: str, findings: Sequence[DataFrame], cases: DataFrame) -> DataFrame:
-    """Concatenate findings in the given order, fall back to innocent, number them per case."""
-    placed = [f.select(*FINDING).withColumn("place", F.lit(i)) for i, f in enumerate(findings)]
-    every = placed[0]
-    for more in placed[1:]:
-        every = every.unionByName(more)
-    every = every.unionByName(
-        detect_none(cases, every).select(*FINDING).withColumn("place", F.lit(len(placed))))
-    order = Window.partitionBy("instance_id").orderBy("place", F.col("score").desc_nulls_last(),
-                                                      "affected_cohort")
-    return every.withColumn("rank", F.row_number().over(order)).select(
-        F.lit(system).alias("system"), "instance_id", "rank", "mechanism_type", "mechanism",
-        "affected_cohort", "evidence", "confidence", "confounders_considered")
+    """Concatenate findings in the given order, fall back to innocent, number them per case.
+
+    The fallback joins the union for every case and is kept where it stands alone, so the
+    findings are computed once.
+    """
+    every = innocent_rows(cases).withColumn("place", F.lit(len(findings)))
+    for i, found in enumerate(findings):
+        every = every.unionByName(found.select(*FINDING).withColumn("place", F.lit(i)))
+    case = Window.partitionBy("instance_id")
+    order = case.orderBy("place", F.col("score").desc_nulls_last(), "affected_cohort")
+    return (
+        every.withColumn("rank", F.row_number().over(order))
+        .withColumn("n_rows", F.count("*").over(case))
+        .filter((F.col("place") < len(findings)) | (F.col("n_rows") == 1))
+        .select(F.lit(system).alias("system"), "instance_id", "rank", "mechanism_type",
+                "mechanism", "affected_cohort", "evidence", "confidence",
+                "confounders_considered"))
 
 
 @detector("baseline")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepfall.constants import NAIVE_PATTERNS, STAGES
-from stepfall.functions.measures import rate
-from stepfall.operators.sessions import has
+from stepfall.operators.sessions import event_days, holds, sql_text
 
 
 def funnel_report(
@@ -22,37 +21,30 @@ def funnel_report(
     session counts and distinct users in one chain without a distinct aggregate.
     """
     keys = ["instance_id", *([segment] if segment else []), "period"]
-    n = len(stages)
-
-    def both(i: int, j: int) -> Column:
-        return has(stages[i], vocabulary) & has(stages[j], vocabulary)
-
+    n, at = len(stages), [holds(s, vocabulary) for s in stages]
+    later = range(1, n)
     per_user = sessions.groupBy(*keys, "user_id").agg(
         F.bit_or("stage_mask").alias("stage_mask"),
-        *(F.count_if(has(s, vocabulary)).alias(f"s_{i}") for i, s in enumerate(stages)),
-        *(F.count_if(both(i - 1, i)).alias(f"p_{i}") for i in range(1, n)),
-        *(F.count_if(both(0, i)).alias(f"o_{i}") for i in range(1, n)))
+        *(F.expr(f"count_if({at[i]}) AS s_{i}") for i in range(n)),
+        *(F.expr(f"count_if({at[i - 1]} AND {at[i]}) AS p_{i}") for i in later),
+        *(F.expr(f"count_if({at[0]} AND {at[i]}) AS o_{i}") for i in later))
     totals = per_user.groupBy(*keys).agg(
-        *(F.count_if(has(s, vocabulary)).alias(f"u_{i}") for i, s in enumerate(stages)),
-        *(F.sum(f"s_{i}").alias(f"s_{i}") for i in range(n)),
-        *(F.sum(f"{c}_{i}").alias(f"{c}_{i}") for i in range(1, n) for c in ("p", "o")))
-    none = F.lit(None).cast("double")
-    rows = F.array(*(
-        F.struct(
-            F.lit(i).alias("stage_idx"), F.lit(s).alias("stage"),
-            F.col(f"s_{i}").alias("sessions"), F.col(f"u_{i}").alias("users"),
-            (rate(F.col(f"p_{i}"), F.col(f"s_{i - 1}")) if i else none).alias("step_rate"),
-            rate(F.col(f"o_{i}" if i else "s_0"), F.col("s_0")).alias("overall_rate"))
-        for i, s in enumerate(stages)))
-    return totals.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+        *(F.expr(f"count_if({at[i]}) AS u_{i}") for i in range(n)),
+        *(F.expr(f"sum(s_{i}) AS s_{i}") for i in range(n)),
+        *(F.expr(f"sum({c}_{i}) AS {c}_{i}") for i in later for c in ("p", "o")))
+
+    def row(i: int) -> str:
+        step = f"CAST(p_{i} AS DOUBLE) / nullif(s_{i - 1}, 0)" if i else "CAST(NULL AS DOUBLE)"
+        return (f"struct({i} AS stage_idx, {sql_text(stages[i])} AS stage, s_{i} AS sessions, "
+                f"u_{i} AS users, {step} AS step_rate, "
+                f"CAST({f'o_{i}' if i else 's_0'} AS DOUBLE) / nullif(s_0, 0) AS overall_rate)")
 
+    return totals.select(*keys, F.expr(f"inline(array({', '.join(map(row, range(n)))}))"))
 
-def _like_any(name: Column, patterns: Sequence[str]) -> Column:
-    low = F.lower(name)
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | low.like(pattern)
-    return hit
+
+def _like_any(patterns: Sequence[str], name: str = "event_name") -> str:
+    """SQL condition: the lower-cased name matches one of the patterns."""
+    return "(" + " OR ".join(f"lower({name}) LIKE {sql_text(p)}" for p in patterns) + ")"
 
 
 def naive_stage_match(
@@ -60,10 +52,10 @@ def naive_stage_match(
 ) -> DataFrame:
     """Raw names caught by each stage's LIKE patterns; a name may fall under several."""
     names = events.groupBy("instance_id", "event_name").agg(F.count("*").alias("n_events"))
-    found = F.filter(
-        F.array(*(F.when(_like_any(F.col("event_name"), p), F.lit(s))
-                  for s, p in patterns.items())), lambda s: s.isNotNull())
-    return names.select("instance_id", F.explode(found).alias("stage"), "event_name", "n_events")
+    tests = ", ".join(f"CASE WHEN {_like_any(p)} THEN {sql_text(s)} END"
+                      for s, p in patterns.items())
+    found = F.expr(f"explode(filter(array({tests}), s -> s IS NOT NULL))")
+    return names.select("instance_id", found.alias("stage"), "event_name", "n_events")
 
 
 def naive_funnel(
@@ -75,14 +67,11 @@ def naive_funnel(
     The matched stages of an event become bits, so one roll-up by user serves all stages.
     With ``cases`` the counts are given per event-time period as well as for the whole window.
     """
-    from stepfall.operators.sessions import event_days
-
     keys = ["instance_id", "user_id"]
     stages = list(patterns)
-    mask = F.lit(0)
-    for i, stage in enumerate(stages):
-        mask = mask + F.when(_like_any(F.col("event_name"), patterns[stage]),
-                             F.lit(1 << i)).otherwise(0)
+    mask = F.expr(" + ".join(
+        f"CASE WHEN {_like_any(patterns[s])} THEN {1 << i} ELSE 0 END"
+        for i, s in enumerate(stages)))
     if cases is None:
         whole = events.groupBy(*keys).agg(F.bit_or(mask).alias("m"))
         periods = whole.select("instance_id", F.lit("all").alias("period"), "m")
@@ -96,10 +85,7 @@ def naive_funnel(
             F.struct(F.lit("post").alias("period"), F.col("post").alias("m")))).alias("x")
         ).select("instance_id", "x.*")
     counts = periods.groupBy("instance_id", "period").agg(
-        *(F.count_if(F.col("m").bitwiseAND(1 << i) != 0).alias(f"u_{i}")
-          for i in range(len(stages))))
-    rows = F.array(*(
-        F.struct(F.lit(i).alias("stage_idx"), F.lit(s).alias("stage"),
-                 F.col(f"u_{i}").alias("users")) for i, s in enumerate(stages)))
-    return counts.select("instance_id", "period", F.explode(rows).alias("r")).select(
-        "instance_id", "period", "r.*")
+        *(F.expr(f"count_if((m & {1 << i}) != 0) AS u_{i}") for i in range(len(stages))))
+    rows = ", ".join(f"struct({i} AS stage_idx, {sql_text(s)} AS stage, u_{i} AS users)"
+                     for i, s in enumerate(stages))
+    return counts.select("instance_id", "period", F.expr(f"inline(array({rows}))"))

@@ -65,18 +65,25 @@ def bit(vocabulary: Sequence[str], name: str) -> int:
     return 1 << list(vocabulary).index(name)
 
 
+def holds(name: str, vocabulary: Sequence[str] = STAGES, mask: str = "stage_mask") -> str:
+    """SQL condition: does the session's set hold ``name``?"""
+    return f"({mask} & {bit(vocabulary, name)}L) != 0"
+
+
 def has(name: str, vocabulary: Sequence[str] = STAGES, mask: str = "stage_mask") -> Column:
-    """Does the session's set hold ``name``?"""
-    return F.col(mask).bitwiseAND(F.lit(bit(vocabulary, name)).cast("bigint")) != 0
+    return F.expr(holds(name, vocabulary, mask))
+
+
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _mask_of(vocabulary: Sequence[str]) -> Column:
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"at most {MAX_VOCABULARY} names fit the mask")
-    out = F.lit(0).cast("bigint")
-    for i, name in reversed(list(enumerate(vocabulary))):
-        out = F.when(F.col("canonical") == name, F.lit(1 << i).cast("bigint")).otherwise(out)
-    return out
+    whens = " ".join(f"WHEN {sql_text(v)} THEN {1 << i}L" for i, v in enumerate(vocabulary))
+    return F.expr(f"CASE canonical {whens} ELSE 0L END")
 
 
 def session_flags(
@@ -95,13 +102,12 @@ def session_flags(
     """
     carried = [c for c in USER_ATTRIBUTES if c in events.columns]
     slots = len(methods) + 1
-    code = F.lit(len(methods)).cast("bigint")
-    for i, name in reversed(list(enumerate(methods))):
-        code = F.when(F.col("payment_method") == name, F.lit(i).cast("bigint")).otherwise(code)
+    codes = " ".join(f"WHEN {sql_text(m)} THEN {i}L" for i, m in enumerate(methods))
+    code = F.expr(f"CASE payment_method {codes} ELSE {len(methods)}L END")
     packed = F.when(F.col("payment_method").isNotNull(),
                     wall_micros(F.col("event_ts")) * F.lit(slots) + code)
-    first = F.pmod(F.col("packed"), F.lit(slots)).cast("int")
-    pay_method = F.element_at(F.array(*map(F.lit, [*methods, "other"])), first + 1)
+    listed = ", ".join(map(sql_text, [*methods, "other"]))
+    pay_method = F.expr(f"element_at(array({listed}), CAST(pmod(packed, {slots}) AS INT) + 1)")
 
     rolled = events.groupBy("instance_id", "session_id", "user_id", *carried).agg(
         F.min("event_ts").alias("first_ts"),

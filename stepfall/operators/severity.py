@@ -14,50 +14,49 @@ from pyspark.sql import functions as F
 
 from stepfall.constants import STAGES, STEPS, USER_ATTRIBUTES
 from stepfall.functions.measures import rate, realised_pp, shown_pct, two_proportion_z
-from stepfall.operators.sessions import has
+from stepfall.operators.sessions import holds, sql_text
 
 Step = tuple[str, str]
 CRASH: Step = ("session", "crash")
 
 
-def reached(step: Step, vocabulary: Sequence[str]) -> tuple[Column, Column]:
-    """Conditions for the base and for the hit of a step; conversion is set membership."""
+def reached(step: Step, vocabulary: Sequence[str]) -> tuple[str, str]:
+    """SQL conditions for the base and the hit of a step; conversion is set membership."""
     if step == CRASH:
-        return F.lit(True), F.col("has_crash")
-    base = has(step[0], vocabulary)
-    return base, base & has(step[1], vocabulary)
+        return "TRUE", "has_crash"
+    base = holds(step[0], vocabulary)
+    return base, f"{base} AND {holds(step[1], vocabulary)}"
+
+
+PERIODS = ("pre", "post")
 
 
 def step_counts(
     sessions: DataFrame, keys: Sequence[str], steps: Sequence[Step],
-    vocabulary: Sequence[str] = STAGES, among: Column | None = None,
+    vocabulary: Sequence[str] = STAGES,
 ) -> DataFrame:
-    """Per key: ``steps`` as an array of (from, to, n_pre, k_pre, n_post, k_post)."""
-    wanted = F.lit(True) if among is None else among
+    """Per key and step i: sessions with the base (``n_pre_i``, ``n_post_i``) and with the hit
+    (``k_pre_i``, ``k_post_i``)."""
     sums = []
     for i, step in enumerate(steps):
         base, hit = reached(step, vocabulary)
-        for period in ("pre", "post"):
-            inside = wanted & (F.col("period") == period)
-            sums.append(F.count_if(inside & base).alias(f"n_{period}_{i}"))
-            sums.append(F.count_if(inside & hit).alias(f"k_{period}_{i}"))
+        for p in PERIODS:
+            sums.append(F.expr(f"count_if(period = '{p}' AND {base}) AS n_{p}_{i}"))
+            sums.append(F.expr(f"count_if(period = '{p}' AND {hit}) AS k_{p}_{i}"))
     return sessions.groupBy(*keys).agg(*sums)
 
 
-def _count_columns(n_steps: int) -> list[str]:
-    return [f"{kind}_{period}_{i}" for i in range(n_steps) for period in ("pre", "post")
-            for kind in ("n", "k")]
+def count_columns(n_steps: int) -> list[str]:
+    return [f"{kind}_{p}_{i}" for i in range(n_steps) for p in PERIODS for kind in ("n", "k")]
 
 
 def long_steps(counts: DataFrame, keys: Sequence[str], steps: Sequence[Step]) -> DataFrame:
     """Wide step counters to one row per step."""
-    rows = F.array(*(
-        F.struct(
-            F.lit(step[0]).alias("from_stage"), F.lit(step[1]).alias("to_stage"),
-            *(F.col(f"{kind}_{period}_{i}").alias(f"{kind}_{period}")
-              for period in ("pre", "post") for kind in ("n", "k")))
-        for i, step in enumerate(steps)))
-    return counts.select(*keys, F.explode(rows).alias("s")).select(*keys, "s.*")
+    rows = ", ".join(
+        f"struct({sql_text(a)} AS from_stage, {sql_text(b)} AS to_stage, n_pre_{i} AS n_pre, "
+        f"k_pre_{i} AS k_pre, n_post_{i} AS n_post, k_post_{i} AS k_post)"
+        for i, (a, b) in enumerate(steps))
+    return counts.select(*keys, F.expr(f"inline(array({rows}))"))
 
 
 def with_delta(long: DataFrame) -> DataFrame:
@@ -77,13 +76,12 @@ def step_conversion(
 ) -> DataFrame:
     """``P(to | from)`` per period: the share of sessions holding ``from`` that hold ``to``."""
     long = long_steps(step_counts(sessions, keys, steps, vocabulary), keys, steps)
-    sides = F.array(*(
-        F.struct(F.lit(p).alias("period"), F.col(f"n_{p}").alias("n_from"),
-                 F.col(f"k_{p}").alias("n_both")) for p in ("pre", "post")))
+    sides = ", ".join(
+        f"struct('{p}' AS period, n_{p} AS n_from, k_{p} AS n_both)" for p in PERIODS)
     return (
-        long.select(*keys, "from_stage", "to_stage", F.explode(sides).alias("p"))
-        .select(*keys, "p.period", "from_stage", "to_stage", "p.n_from", "p.n_both")
+        long.select(*keys, "from_stage", "to_stage", F.expr(f"inline(array({sides}))"))
         .withColumn("rate", rate(F.col("n_both"), F.col("n_from")))
+        .select(*keys, "period", "from_stage", "to_stage", "n_from", "n_both", "rate")
     )
 
 
@@ -100,8 +98,8 @@ def cohort_severity(
     counts = [F.count_if(inside).alias("cohort_sessions")]
     for period in ("pre", "post"):
         during = inside & (F.col("period") == period)
-        counts += [F.count_if(during & base).alias(f"n_{period}"),
-                   F.count_if(during & hit).alias(f"k_{period}")]
+        counts += [F.count_if(during & F.expr(base)).alias(f"n_{period}"),
+                   F.count_if(during & F.expr(hit)).alias(f"k_{period}")]
     pre, post = (rate(F.col(f"k_{p}"), F.col(f"n_{p}")) for p in ("pre", "post"))
     if step == CRASH:
         # a missing side counts as a zero rate here, unlike a step
@@ -165,17 +163,16 @@ def severity_scan(
         *(values[n].alias(n) for n in names))
     combos = step_counts(labelled, ["instance_id", *names], steps, vocabulary)
 
-    cohorts = [F.struct(F.lit(n).alias("attr"), F.col(n).alias("value")) for n in names]
+    cohorts = [f"struct('{n}' AS attr, {n} AS value)" for n in names]
     if pairs:
-        cohorts += [
-            F.struct(F.lit(f"{a}&{b}").alias("attr"),
-                     F.concat(F.col(a), F.lit("&"), F.col(b)).alias("value"))
-            for a, b in combinations(names, 2)]
+        cohorts += [f"struct('{a}&{b}' AS attr, concat({a}, '&', {b}) AS value)"
+                    for a, b in combinations(names, 2)]
+    counters = count_columns(len(steps))
     totals = (
-        combos.withColumn("c", F.explode(F.array(*cohorts)))
-        .filter(F.col("c.value").isNotNull())
-        .groupBy("instance_id", F.col("c.attr").alias("attr"), F.col("c.value").alias("value"))
-        .agg(*(F.sum(c).alias(c) for c in _count_columns(len(steps))))
+        combos.select("instance_id", *counters, F.expr(f"inline(array({', '.join(cohorts)}))"))
+        .filter(F.col("value").isNotNull())
+        .groupBy("instance_id", "attr", "value")
+        .agg(*(F.expr(f"sum({c}) AS {c}") for c in counters))
     )
     ranked = Window.partitionBy("instance_id").orderBy(
         F.col("delta_pp").desc_nulls_last(), "attr", "value", "from_stage")

@@ -88,26 +88,30 @@ def symptom_by_os(histogram: DataFrame, *, by: str = "os") -> DataFrame:
         .alias("chk_p95"))
 
 
+def median_of(value: str, positive_only: bool = False) -> Column:
+    x = F.col(value)
+    return F.coalesce(F.median(F.when(x != 0, x) if positive_only else x), F.lit(0.0))
+
+
+def best_group(value: str, by: str = "os") -> Column:
+    """(name, value) of the highest value; equal values go to the first name, nulls to none."""
+    order = F.struct((-F.col(value)).alias("neg"), F.col(by))
+    return F.min_by(F.struct(by, value), F.when(F.col(value).isNotNull(), order))
+
+
 def group_median(groups: DataFrame, value: str, *, positive_only: bool = False) -> DataFrame:
     """Median over a case's groups, mean of the middle two; 0 when there is none.
 
     ``positive_only`` leaves zero values out, as null ones always are.
     """
-    x = F.col(value)
-    if positive_only:
-        x = F.when(x != 0, x)
-    return groups.groupBy("instance_id").agg(
-        F.coalesce(F.median(x), F.lit(0.0)).alias("median"))
+    return groups.groupBy("instance_id").agg(median_of(value, positive_only).alias("median"))
 
 
 def top_suspect(groups: DataFrame, value: str, *, by: str = "os") -> DataFrame:
-    """Group with the highest value per case; equal values go to the first name."""
-    best = F.min_by(F.struct(by, value), F.struct((-F.col(value)).alias("neg"), F.col(by)))
+    """Group with the highest value per case."""
     return (
         groups.filter(F.col(value).isNotNull()).groupBy("instance_id")
-        .agg(best.alias("b"))
-        .select("instance_id", F.col(f"b.{by}").alias(by), F.col(f"b.{value}").alias(value))
-    )
+        .agg(best_group(value, by).alias("b")).select("instance_id", "b.*"))
 
 
 def slo_audit(

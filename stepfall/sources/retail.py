@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepfall import schemas
 from stepfall.constants import DECOY_SCREENS, FUNNEL, USER_ATTRIBUTES
+from stepfall.sources.tables import records
 
 # Click kind -> logical event for even and odd event ids.
 EVENT_NAMES = {
@@ -32,8 +34,32 @@ PLANTED = (
 )
 
 
-def _pick(key: Column, options) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), key.cast("int") + 1)
+def _pick(key: str, options) -> str:
+    """SQL: the option numbered by the expression ``key``, from 0."""
+    listed = ", ".join("NULL" if o is None else f"'{o}'" for o in options)
+    return f"element_at(array({listed}), CAST({key} AS INT) + 1)"
+
+
+# Columns of the retail tables; declaring them saves a schema-inference job per read.
+COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
 
 
 class _Retail:
@@ -45,21 +71,21 @@ class _Retail:
         self.spark, self.sf_dir = spark, str(sf_dir).rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @property
     def cases(self) -> DataFrame:
         rows = [(case, self.base_date, self.window_days, self.changepoint_day, trap, simpson,
                  target) for case, _, _, target, trap, simpson in PLANTED]
-        return self.spark.createDataFrame(rows, schemas.CASES)
+        return records(self.spark, rows, schemas.CASES)
 
     @property
     def answers(self) -> DataFrame:
         """Planted fault per case, without user ids."""
         rows = [(case, fault != "none", fault, cohort) for case, fault, cohort, *_ in PLANTED]
-        planted = self.spark.createDataFrame(
-            rows, "instance_id string, has_fault boolean, fault_type string, "
-                  "affected_cohort_predicate string")
+        planted = records(self.spark, rows, T._parse_datatype_string(
+            "instance_id string, has_fault boolean, fault_type string, "
+            "affected_cohort_predicate string"))
         return self.cases.join(planted, "instance_id").withColumn(
             "decoy_screens", F.array(*map(F.lit, DECOY_SCREENS))
         ).withColumn(
@@ -70,20 +96,18 @@ class _Retail:
     @property
     def user_rows(self) -> DataFrame:
         """Every customer as a user, without the acquisition time."""
-        key, nation = F.col("c_custkey"), F.col("c_nationkey")
         geo = (self.table("nation")
                .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-               .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("geo")))
-        return self.table("customer").join(geo, "c_nationkey", "left").select(
-            F.concat(F.lit("case_"), key % 3).alias("instance_id"),
-            key.cast("string").alias("user_id"),
-            F.col("c_mktsegment").alias("os"),
-            _pick(nation % 3, ("flagship", "mid", "budget")).alias("device_type"),
-            F.floor((F.col("c_acctbal") + 1000) / 200).cast("int").alias("device_age_months"),
+               .selectExpr("n_nationkey AS c_nationkey", "r_name AS geo"))
+        return self.table("customer").join(geo, "c_nationkey", "left").selectExpr(
+            "concat('case_', c_custkey % 3) AS instance_id",
+            "CAST(c_custkey AS STRING) AS user_id",
+            "c_mktsegment AS os",
+            _pick("c_nationkey % 3", ("flagship", "mid", "budget")) + " AS device_type",
+            "CAST(floor((c_acctbal + 1000) / 200) AS INT) AS device_age_months",
             "geo",
-            _pick(key % 3, ("organic", "paid", "referral")).alias("channel"),
-            (key % 2 == 0).alias("is_returning"),
-        )
+            _pick("c_custkey % 3", ("organic", "paid", "referral")) + " AS channel",
+            "c_custkey % 2 = 0 AS is_returning")
 
     def denormalised(self, raw: DataFrame) -> DataFrame:
         attrs = self.user_rows.select("instance_id", "user_id", *USER_ATTRIBUTES)
@@ -98,41 +122,28 @@ class ClickWarehouse(_Retail):
     @property
     def raw_events(self) -> DataFrame:
         """Events without user attributes; ``canonical`` is the restricted companion column."""
-        eid = F.col("event_id")
-        canonical = F.lit(None).cast("string")
-        for kind, (even, odd) in EVENT_NAMES.items():
-            canonical = F.when(
-                F.col("event_type") == kind,
-                F.when(eid % 2 == 0, F.lit(even)).otherwise(F.lit(odd))).otherwise(canonical)
-        snake = F.col("canonical")
-        spelling = F.floor(eid / 2) % 4
-        pascal = F.array_join(F.transform(F.split(snake, "_"), F.initcap), "")
-        screen = F.lit("checkout")
-        for name, where in FUNNEL:
-            screen = F.when(snake == name, F.lit(where)).otherwise(screen)
-        day = F.datediff(F.to_date("ts"), F.lit(self.base_date))
-        return (
-            self.table("events")
-            .withColumn("canonical", canonical)
-            .select(
-                F.concat(F.lit("case_"), F.col("user_id") % 3).alias("instance_id"),
-                F.col("user_id").cast("string").alias("user_id"),
-                F.concat_ws("_", F.col("user_id").cast("string"),
-                            F.floor(day / 3).cast("string")).alias("session_id"),
-                F.col("ts").alias("event_ts"),
-                F.when(spelling == 0, snake).when(spelling == 1, pascal)
-                .when(spelling == 2, F.concat(F.lit("evt_"), snake))
-                .otherwise(F.translate(snake, "_", "-")).alias("event_name"),
-                "canonical",
-                screen.alias("screen"),
-                F.when(eid % 5 != 0, F.floor(F.col("value") * 20).cast("int"))
-                .alias("latency_ms"),
-                (snake == "crash").alias("is_crash"),
-                F.when(snake.isin("payment_submit", "order_confirmed"),
-                       _pick(F.floor(eid % 8 / 2), ("card", "upi", "wallet", "cod")))
-                .alias("payment_method"),
-            )
-        )
+        canonical = " ".join(
+            f"WHEN '{kind}' THEN if(event_id % 2 = 0, '{even}', '{odd}')"
+            for kind, (even, odd) in EVENT_NAMES.items())
+        screens = " ".join(f"WHEN '{name}' THEN '{where}'" for name, where in FUNNEL)
+        day = f"datediff(ts, DATE '{self.base_date}')"
+        return self.table("events").withColumn(
+            "canonical", F.expr(f"CASE event_type {canonical} END")).selectExpr(
+            "concat('case_', user_id % 3) AS instance_id",
+            "CAST(user_id AS STRING) AS user_id",
+            f"concat(user_id, '_', {day} div 3) AS session_id",
+            "ts AS event_ts",
+            "CASE event_id div 2 % 4 WHEN 0 THEN canonical "
+            "WHEN 1 THEN array_join(transform(split(canonical, '_'), w -> initcap(w)), '') "
+            "WHEN 2 THEN concat('evt_', canonical) ELSE replace(canonical, '_', '-') END "
+            "AS event_name",
+            "canonical",
+            f"CASE canonical {screens} ELSE 'checkout' END AS screen",
+            "if(event_id % 5 = 0, NULL, CAST(floor(value * 20) AS INT)) AS latency_ms",
+            "canonical = 'crash' AS is_crash",
+            "CASE WHEN canonical IN ('payment_submit', 'order_confirmed') THEN "
+            + _pick("event_id % 8 div 2", ("card", "upi", "wallet", "cod"))
+            + " END AS payment_method")
 
     @property
     def events(self) -> DataFrame:
@@ -172,26 +183,22 @@ class OrderWarehouse(_Retail):
 
     @property
     def raw_events(self) -> DataFrame:
-        line = F.col("l_linenumber")
         stages = [name for name, _ in FUNNEL[:7]]
         screens = [where for _, where in FUNNEL[:7]]
-        canonical = _pick(line - 1, stages)
+        stage = _pick("l_linenumber - 1", stages)
         joined = self.table("lineitem").join(
             self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.select(
-            F.concat(F.lit("case_"), F.col("o_custkey") % 3).alias("instance_id"),
-            F.col("o_custkey").cast("string").alias("user_id"),
-            F.col("l_orderkey").cast("string").alias("session_id"),
-            (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), line, F.lit(0)))
-            .alias("event_ts"),
-            canonical.alias("event_name"), canonical.alias("canonical"),
-            _pick(line - 1, screens).alias("screen"),
-            F.floor(F.col("l_extendedprice") / 20).cast("int").alias("latency_ms"),
-            ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("is_crash"),
-            F.element_at(F.array(*map(F.lit, ("card", "upi", "wallet", "cod", None))),
-                         F.substring("o_orderpriority", 1, 1).cast("int"))
-            .alias("payment_method"),
-        )
+        return joined.selectExpr(
+            "concat('case_', o_custkey % 3) AS instance_id",
+            "CAST(o_custkey AS STRING) AS user_id",
+            "CAST(l_orderkey AS STRING) AS session_id",
+            "o_orderdate + make_dt_interval(0, 0, l_linenumber, 0) AS event_ts",
+            f"{stage} AS event_name", f"{stage} AS canonical",
+            _pick("l_linenumber - 1", screens) + " AS screen",
+            "CAST(floor(l_extendedprice / 20) AS INT) AS latency_ms",
+            "l_returnflag = 'R' AND l_linestatus = 'F' AS is_crash",
+            _pick("CAST(left(o_orderpriority, 1) AS INT) - 1",
+                  ("card", "upi", "wallet", "cod", None)) + " AS payment_method")
 
     @property
     def events(self) -> DataFrame:

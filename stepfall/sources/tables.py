@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stepfall import schemas
 from stepfall.schemas import conform, require_public
@@ -57,9 +60,17 @@ def read_hypotheses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HYPOTHESES).json(path)
 
 
-def records(spark: SparkSession, rows, schema) -> DataFrame:
-    """Small in-memory records as a table (fixtures, hand-written answers)."""
-    return spark.createDataFrame(rows, schema)
+def records(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """Small in-memory records as a table (case lists, fixtures, hand-written answers).
+
+    Goes through Arrow, which makes a local relation: its size is known to the optimizer, so
+    joins with it broadcast, which a list of Python rows would not get.
+    """
+    columns = [[row[i] for row in rows] for i in range(len(schema.fields))]
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_arrays(
+        [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=schema)
 
 
 def case_index(events: DataFrame) -> DataFrame:
