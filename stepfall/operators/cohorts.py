@@ -186,55 +186,42 @@ def cohort_clauses(claims: DataFrame) -> DataFrame:
         number_value(column, F.col("lit")).alias("num_value"))
 
 
-def _holds(op: str) -> Column:
-    """Does the attribute value (s, x) satisfy the clause under ``op``?"""
-    def test(a: Column, b: Column) -> Column:
-        return {"ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
-    return F.when(F.col("x").isNotNull(), test(F.col("x"), F.col("num_value"))) \
-        .otherwise(test(F.col("s"), F.col("str_value")))
+# How a clause tests an attribute value: numbers as numbers, everything else as text.
+_TESTS = " ".join(
+    f"WHEN '{op}' THEN if(x IS NOT NULL, x {sign} num_value, s {sign} str_value)"
+    for op, sign in (("eq", "="), ("in", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="),
+                     ("gt", ">"), ("ge", ">=")))
 
 
-def match_profiles(profiles: DataFrame, clauses: DataFrame) -> DataFrame:
+def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) -> DataFrame:
     """(claim, attribute combination) pairs where some disjunct is fully met.
 
-    Relational division over equality joins only.  A range clause is first turned into the
-    attribute values that satisfy it, found on the short list of distinct values.
+    Relational division by equality joins.  Clauses are first resolved to the attribute values
+    that satisfy them, on the short list of distinct values; a combination has one value per
+    column, so the resolved clauses it meets can simply be counted.
     """
     scope = ["instance_id"] if "instance_id" in clauses.columns else []
     claim = [*scope, "claim_id"]
-    rows = profiles.select(
-        "instance_id", *ATTRS, "n_users", "n_planted", _attribute_rows()).filter(
-        F.col("vkey").isNotNull())
-    values = rows.select(*scope, "column", "vkey", "s", "x").distinct()
-
-    parts = [*claim, "disjunct_id", "clause_id"]
-    equal = clauses.filter(F.col("op").isin("eq", "in")).select(
-        *parts, "column", F.coalesce("str_value", F.col("num_value").cast("string")).alias("vkey"))
-    test = F.lit(False)
-    for op in ("ne", "lt", "le", "gt", "ge"):
-        test = F.when(F.col("op") == op, _holds(op)).otherwise(test)
-    ranged = (
-        clauses.filter(~F.col("op").isin("eq", "in")).join(values, [*scope, "column"])
-        .filter(test).select(*parts, "column", "vkey"))
-    wanted = equal.unionByName(ranged).filter(F.col("vkey").isNotNull()).distinct()
-    sizes = clauses.groupBy(*claim, "disjunct_id").agg(
-        F.count_distinct("clause_id").alias("n_clauses"))
-
-    met = (
+    values = users.select(*scope, _attribute_rows()).distinct()
+    sized = clauses.withColumn("n_clauses", F.size(
+        F.collect_set("clause_id").over(Window.partitionBy(*claim, "disjunct_id"))))
+    wanted = (
+        sized.join(values, [*scope, "column"]).filter(F.expr(f"CASE op {_TESTS} END"))
+        .select(*claim, "disjunct_id", "n_clauses", "clause_id", "column", "vkey").distinct())
+
+    profile = [*ATTRS, "n_users", "n_planted"]
+    rows = profiles.select("instance_id", *profile, _attribute_rows())
+    owner = list(dict.fromkeys([*claim, "instance_id"]))
+    return (
         rows.join(wanted, [*scope, "column", "vkey"])
-        .groupBy(*dict.fromkeys([*claim, "instance_id"]), "disjunct_id", *ATTRS,
-                 "n_users", "n_planted")
-        .agg(F.count_distinct("clause_id").alias("n_met"))
-        .join(sizes, [*claim, "disjunct_id"])
+        .groupBy(*owner, *profile, "disjunct_id", "n_clauses").agg(F.count("*").alias("n_met"))
         .filter(F.col("n_met") == F.col("n_clauses"))
-    )
-    return met.select(*dict.fromkeys([*claim, "instance_id"]), *ATTRS, "n_users",
-                      "n_planted").distinct()
+        .select(*owner, *profile).distinct())
 
 
 def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
     """User ids of every claim: matched combinations joined back to users (null-safe)."""
-    matched = match_profiles(attribute_profiles(users), clauses)
+    matched = match_profiles(attribute_profiles(users), users, clauses)
     right = matched.select("claim_id", *(
         F.col(c).alias(f"m_{c}") for c in ("instance_id", *ATTRS)))
     same = F.col("instance_id") == F.col("m_instance_id")

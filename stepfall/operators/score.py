@@ -12,6 +12,7 @@ from stepfall.functions.predicates import is_flat, is_refused
 from stepfall.operators.cohorts import (
     ATTRS, CLAIM, attribute_profiles, cohort_clauses, cohort_column, match_profiles, profile_prf,
 )
+from stepfall.plans.joins import small_side
 
 RUN = ["system", "instance_id"]
 
@@ -33,7 +34,7 @@ def score_claims(
     one that is not listed fails the query instead of scoring as an empty cohort.
     """
     profiles = attribute_profiles(users, planted)
-    matched = match_profiles(profiles, cohort_clauses(claims)).select(
+    matched = match_profiles(profiles, users, cohort_clauses(claims)).select(
         *CLAIM, *ATTRS, "n_users", "n_planted")
     for text in nested:
         one = claims.filter(F.col("predicate") == text).select(*CLAIM)
@@ -55,8 +56,8 @@ def judged_hypotheses(hypotheses: DataFrame, gold: DataFrame, claim_scores: Data
         "n_planted")
     return (
         hypotheses.withColumn("claim", F.coalesce("affected_cohort", F.lit("")))
-        .join(gold.select("instance_id", "has_fault", "fault_type", "acceptable_mechanisms"),
-              "instance_id")
+        .join(small_side(gold.select(
+            "instance_id", "has_fault", "fault_type", "acceptable_mechanisms")), "instance_id")
         .join(measures, ["instance_id", "claim"], "left")
         .withColumn("ok", F.array_contains("acceptable_mechanisms", F.col("mechanism_type")))
         .withColumn("hit", F.col("ok") & (F.col("f1") >= F1_FLOOR))
@@ -94,7 +95,9 @@ def score_cases(
         F.bool_or(three & F.col("hit")).alias("any_hit"),
         best.alias("best"))
 
-    listed = (hypotheses.select(*RUN).distinct() if runs is None else runs.select(*RUN))
+    listed = per_run
+    if runs is not None:
+        listed = runs.select(*RUN).join(per_run, RUN, "left")
     answers = planted.groupBy("instance_id").agg(F.count("*").alias("n_planted"))
     fault = F.col("has_fault")
     # without any hypothesis the empty claim is compared with the answer
@@ -107,8 +110,9 @@ def score_cases(
         return F.coalesce(F.col(c), F.lit(False))
 
     return (
-        listed.join(gold.select("instance_id", "has_fault", "fault_type"), "instance_id")
-        .join(per_run, RUN, "left").join(answers, "instance_id", "left")
+        listed.join(small_side(gold.select("instance_id", "has_fault", "fault_type")),
+                    "instance_id")
+        .join(answers, "instance_id", "left")
         .select(
             "system", "instance_id", "has_fault",
             F.when(fault, F.col("fault_type")).alias("gold_fault"),

@@ -386,8 +386,7 @@ def separability_pairs(w):
 
 @query
 def cohort_prf(w):
-    claims = _claims(w)
-    return score.score_claims(claims, w.user_rows, _planted(w))
+    return score.score_claims(cut(_claims(w)), w.user_rows, cut(_planted(w)))
 
 
 @query
@@ -395,6 +394,7 @@ def id_set_prf(w):
     """Methods as claims: users of a method after the change against the planted users."""
     used = _flags(w).filter("period = 'post' AND pay_method IS NOT NULL").select(
         "instance_id", F.col("pay_method").alias("claim_id"), "user_id").distinct()
+    used = cut(used)
     return cohorts.id_set_prf(used.select("instance_id", "claim_id").distinct(), used, _planted(w))
 
 
