@@ -61,6 +61,14 @@ def checked_predicate(text: str | None, columns=USER_ATTRIBUTES) -> str | None:
     if not tokens:
         return None
 
+    depth = 0
+    for token in tokens:
+        depth += (token == "(") - (token == ")")
+        if depth < 0:
+            return None
+    if depth:
+        return None
+
     known = {c.lower(): c for c in columns}
     out: list[str] = []
     kind = None                    # kind of the column last named
@@ -93,7 +101,7 @@ def checked_predicate(text: str | None, columns=USER_ATTRIBUTES) -> str | None:
             out.append(fitted)
         else:
             out.append(token)
-    return " ".join(out)
+    return "(" + " ".join(out) + ")"
 
 
 # --- the same vetting as column expressions, for many predicates at once ---------------
