@@ -281,7 +281,7 @@ def affected_flag(w):
 
 @query
 def resolve_exact(w):
-    found = names.resolve_exact(w.raw_events.drop("canonical"), _map(w))
+    found = names.resolve_exact(w.raw_events.drop("canonical"), cut(_map(w)))
     return found.groupBy("instance_id", "event_name", "canonical").agg(
         F.count("*").alias("n_events"))
 
@@ -511,7 +511,8 @@ def resolve_names(w):
 
 @query
 def resolve_events(w):
-    return names.resolve_events(w.raw_events, _dictionary(w)).groupBy(
+    # the dictionary is a stored table: written here, its small size is known to the joins
+    return names.resolve_events(w.raw_events, cut(_dictionary(w))).groupBy(
         "instance_id", "logical_key").agg(F.count("*").alias("n_events"))
 
 
