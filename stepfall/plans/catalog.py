@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from stepfall import constants as K
 from stepfall.operators import (
-    answers, cohorts, confounders, detect, funnel, names, score, sessions, severity, symptoms,
+    answers, cohorts, confounders, detect, funnel, names, retrieval, score, sessions, severity,
+    symptoms,
 )
 from stepfall.plans import attribution
 from stepfall.plans.materialize import cut
@@ -634,6 +635,45 @@ def label_agreement(w):
     return score.label_agreement(human, judge, on="doc_id", label="good")
 
 
+# --- retrieval ----------------------------------------------------------------------------
+
+def _bm25(w: ClickWarehouse) -> DataFrame:
+    return retrieval.bm25_topk(
+        w.table("documents").select("doc_id", "text"),
+        w.table("benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def _dense(w: ClickWarehouse) -> DataFrame:
+    """The mean vector of each label as a query."""
+    rows = w.table("embeddings")
+    mean = (
+        rows.select("label", F.posexplode("embedding").alias("i", "x"))
+        .groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+        .select(F.col("label").cast("bigint").alias("query_id"), F.col("v.x").alias("vector")))
+    return retrieval.dense_topk(
+        rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), mean)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def bm25_topk(w):
+    return _shown(_bm25(w))
+
+
+@query
+def dense_topk(w):
+    return _shown(_dense(w))
+
+
+@query
+def hybrid_topk(w):
+    return _shown(retrieval.fused_topk([_bm25(w), _dense(w)]))
+
+
 # --- the larger order-line stream ---------------------------------------------------------
 
 def _orders(fn: Callable[[OrderWarehouse], DataFrame]) -> Callable:

@@ -798,6 +798,48 @@ FROM (SELECT *, (CAST(n_a AS DOUBLE) * n_b + CAST(n - n_a AS DOUBLE) * (n - n_b)
               AS n_agree, count(*) FILTER (WHERE quality = 1) AS n_a,
               count(*) FILTER (WHERE n_chars >= 500) AS n_b
             FROM labels JOIN documents USING (doc_id)))"""
+_BM25 = r"""
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+size AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM docs),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text),
+  '[\p{L}\p{N}]+')) AS term FROM benchmark),
+found AS (SELECT doc_id, dl, term, count(*) AS tf FROM (
+    SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
+weights AS (SELECT term, ln((n_docs - n + 0.5) / (n + 0.5)) AS w FROM (
+  SELECT term, count(*) AS n FROM found GROUP BY 1), size),
+bm25 AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)
+    AS rank FROM (
+    SELECT query_id, doc_id,
+      sum(w * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE)
+          + CAST(0.75 AS DOUBLE) * dl / mean))) AS score
+    FROM found JOIN asked USING (term) JOIN weights USING (term), size
+    WHERE w > 0 GROUP BY 1, 2)
+  QUALIFY rank <= 10)"""
+_DENSE = """
+mean AS (SELECT label, list(x ORDER BY i) AS v FROM (
+  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
+  FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) GROUP BY 1, 2)
+  GROUP BY 1),
+dense AS (
+  SELECT CAST(m.label AS BIGINT) AS query_id, vec_id AS doc_id,
+    list_cosine_similarity(m.v, CAST(embedding AS DOUBLE[])) AS score,
+    row_number() OVER (PARTITION BY m.label
+      ORDER BY round(list_cosine_similarity(m.v, CAST(embedding AS DOUBLE[])), 9) DESC, vec_id)
+      AS rank
+  FROM embeddings CROSS JOIN mean m QUALIFY rank <= 10)"""
+_RANKS = """
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank,
+  round(round(score, 9), 6) AS score FROM {}"""
+SQL["bm25_topk"] = "WITH" + _BM25 + _RANKS.format("bm25")
+SQL["dense_topk"] = "WITH" + _DENSE + _RANKS.format("dense")
+SQL["hybrid_topk"] = "WITH" + _BM25 + "," + _DENSE + _RANKS.format("""(
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)
+    AS rank FROM (
+    SELECT query_id, doc_id, sum(CAST(1 AS DOUBLE) / (rank + 60)) AS score
+    FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL
+          SELECT query_id, doc_id, rank FROM dense) GROUP BY 1, 2) QUALIFY rank <= 10)""")
 _add("order_severity_scan", _scan(), base=ORDERS)
 _add("order_funnel_report", _funnel("instance_id, period", "sess"), base=ORDERS)
 _add("order_symptom_by_os", """SELECT instance_id, os,
