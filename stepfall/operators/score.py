@@ -72,6 +72,12 @@ def best_hypothesis(judged: DataFrame) -> DataFrame:
     return judged.groupBy(*RUN).agg(chosen).select(*RUN, "b.*")
 
 
+def runs_of(systems: Sequence[str], cases: DataFrame) -> DataFrame:
+    """Every system answers for every case."""
+    return cases.select(
+        F.explode(F.array(*map(F.lit, systems))).alias("system"), "instance_id")
+
+
 def score_cases(
     hypotheses: DataFrame, gold: DataFrame, planted: DataFrame, users: DataFrame, *,
     runs: DataFrame | None = None, nested: Sequence[str] = (),

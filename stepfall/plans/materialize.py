@@ -14,7 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session, where driver and executors are one process, may fall back to a
     temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = (spark.conf.get("spark.checkpoint.dir", None)
+             or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -27,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    Unlike a cache it survives lost executors, and unlike an RDD checkpoint it keeps file
+    Each call makes a folder of its own under ``stepfall/``, which the owner of the shared
+    folder may clear when no job is running.  Unlike a cache it survives lost executors, and unlike an RDD checkpoint it keeps file
     sizes, so later joins still know which side is small.
     """
     spark = df.sparkSession
