@@ -193,27 +193,57 @@ _TESTS = " ".join(
                      ("gt", ">"), ("ge", ">=")))
 
 
+_BITS = {name: 1 << i for i, name in enumerate(ATTRS)}
+_BIT_OF = "CASE column " + " ".join(f"WHEN '{n}' THEN {b}" for n, b in _BITS.items()) + " END"
+
+
+def _sized(clauses: DataFrame, claim: Sequence[str]) -> DataFrame:
+    """Clauses with the number of clauses of their disjunct and the columns of their claim."""
+    disjunct = Window.partitionBy(*claim, "disjunct_id")
+    return clauses.withColumn(
+        "n_clauses", F.size(F.collect_set("clause_id").over(disjunct))
+    ).withColumn("colset", F.bit_or(F.expr(_BIT_OF)).over(Window.partitionBy(*claim)))
+
+
+def _per_column_set(table: DataFrame, sized: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """``table`` once per column set in use, with the attributes outside the set nulled.
+
+    There are at most 63 sets of six columns, so they travel as one short array.
+    """
+    sets = sized.agg(F.collect_set("colset").alias("s")).select(
+        F.coalesce("s", F.expr("array(0)"))).scalar()
+    spread = table.select(*kept, *ATTRS, F.explode(sets).alias("colset"))
+    return spread.select(*kept, "colset", *(
+        F.expr(f"if((colset & {bit}) != 0, {name}, NULL) AS {name}")
+        for name, bit in _BITS.items()))
+
+
 def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) -> DataFrame:
     """(claim, attribute combination) pairs where some disjunct is fully met.
 
-    Relational division by equality joins.  Clauses are first resolved to the attribute values
-    that satisfy them, on the short list of distinct values; a combination has one value per
-    column, so the resolved clauses it meets can simply be counted.
+    Profiles are first summed to the columns a claim names, so a claim about the OS meets a
+    handful of rows.  Then relational division by equality joins: clauses are resolved to the
+    attribute values that satisfy them on the short list of distinct values, and, since a
+    combination has one value per column, the resolved clauses it meets are simply counted.
     """
     scope = ["instance_id"] if "instance_id" in clauses.columns else []
     claim = [*scope, "claim_id"]
+    sized = _sized(clauses, claim)
     values = users.select(*scope, _attribute_rows()).distinct()
-    sized = clauses.withColumn("n_clauses", F.size(
-        F.collect_set("clause_id").over(Window.partitionBy(*claim, "disjunct_id"))))
     wanted = (
         sized.join(values, [*scope, "column"]).filter(F.expr(f"CASE op {_TESTS} END"))
-        .select(*claim, "disjunct_id", "n_clauses", "clause_id", "column", "vkey").distinct())
-
-    profile = [*ATTRS, "n_users", "n_planted"]
-    rows = profiles.select("instance_id", *profile, _attribute_rows())
+        .select(*claim, "colset", "disjunct_id", "n_clauses", "clause_id", "column", "vkey")
+        .distinct())
+
+    kept = ["instance_id", "n_users", "n_planted"]
+    margins = _per_column_set(profiles, sized, kept).groupBy(
+        "instance_id", "colset", *ATTRS).agg(
+        F.sum("n_users").alias("n_users"), F.sum("n_planted").alias("n_planted"))
+    profile = ["colset", *ATTRS, "n_users", "n_planted"]
+    rows = margins.select("instance_id", *profile, _attribute_rows())
     owner = list(dict.fromkeys([*claim, "instance_id"]))
     return (
-        rows.join(wanted, [*scope, "column", "vkey"])
+        rows.join(wanted, [*scope, "colset", "column", "vkey"])
         .groupBy(*owner, *profile, "disjunct_id", "n_clauses").agg(F.count("*").alias("n_met"))
         .filter(F.col("n_met") == F.col("n_clauses"))
         .select(*owner, *profile).distinct())
@@ -221,26 +251,33 @@ def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) ->
 
 def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
     """User ids of every claim: matched combinations joined back to users (null-safe)."""
+    claim = [*(["instance_id"] if "instance_id" in clauses.columns else []), "claim_id"]
     matched = match_profiles(attribute_profiles(users), users, clauses)
     right = matched.select("claim_id", *(
-        F.col(c).alias(f"m_{c}") for c in ("instance_id", *ATTRS)))
-    same = F.col("instance_id") == F.col("m_instance_id")
+        F.col(c).alias(f"m_{c}") for c in ("instance_id", "colset", *ATTRS)))
+    same = (F.col("instance_id") == F.col("m_instance_id")) & (
+        F.col("colset") == F.col("m_colset"))
     for name in ATTRS:
         same = same & F.col(name).eqNullSafe(F.col(f"m_{name}"))
-    return users.join(right, same).select("claim_id", *USER)
+    spread = _per_column_set(users, _sized(clauses, claim), USER)
+    return spread.join(right, same).select("claim_id", *USER)
 
 
-def profile_prf(claims: DataFrame, matched: DataFrame, planted: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per claim from matched profiles.
+def claim_counts(matched: DataFrame) -> DataFrame:
+    """Claimed users and planted users among them, per claim."""
+    return matched.groupBy(*CLAIM).agg(
+        F.sum("n_users").alias("n_claimed"), F.sum("n_planted").alias("n_both"))
+
+
+def profile_prf(claims: DataFrame, counts: DataFrame, planted: DataFrame) -> DataFrame:
+    """Precision, recall and F1 per claim from its counts.
 
     ``claims`` (instance_id, claim_id) keep a row even when they select nobody; ``planted``
     are the case's answer ids (which need not all be users).
     """
-    claimed = matched.groupBy(*CLAIM).agg(
-        F.sum("n_users").alias("n_claimed"), F.sum("n_planted").alias("n_both"))
     answers = planted.groupBy("instance_id").agg(F.count("*").alias("n_planted"))
     return _scored(
-        claims.select(*CLAIM).join(claimed, CLAIM, "left").join(answers, "instance_id", "left"))
+        claims.select(*CLAIM).join(counts, CLAIM, "left").join(answers, "instance_id", "left"))
 
 
 def id_set_prf(claims: DataFrame, claimed: DataFrame, planted: DataFrame) -> DataFrame:

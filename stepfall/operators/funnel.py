@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepfall.constants import NAIVE_PATTERNS, STAGES
 from stepfall.operators.sessions import event_days, holds, sql_text
+from stepfall.plans.joins import small_side
 
 
 def funnel_report(
@@ -58,20 +60,38 @@ def naive_stage_match(
     return names.select("instance_id", found.alias("stage"), "event_name", "n_events")
 
 
+def like_to_regex(patterns: Sequence[str]) -> str:
+    """One regular expression that finds what any of the LIKE patterns matches."""
+    parts = []
+    for pattern in patterns:
+        body = "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in pattern.strip("%"))
+        parts.append(("" if pattern.startswith("%") else "^") + body
+                     + ("" if pattern.endswith("%") else r"\z"))
+    return "(?s)" + "|".join(parts)
+
+
 def naive_funnel(
     events: DataFrame, patterns: Mapping[str, Sequence[str]] = NAIVE_PATTERNS,
-    cases: DataFrame | None = None,
+    cases: DataFrame | None = None, names: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct users reaching each naively matched stage.
 
-    The matched stages of an event become bits, so one roll-up by user serves all stages.
+    The matched stages of an event become bits, so one roll-up by user serves all stages.  The
+    patterns of a stage are searched as one expression.  With ``names``, a stored table of the
+    distinct ``event_name`` values, only these are matched and events look their bits up.
     With ``cases`` the counts are given per event-time period as well as for the whole window.
     """
     keys = ["instance_id", "user_id"]
     stages = list(patterns)
     mask = F.expr(" + ".join(
-        f"CASE WHEN {_like_any(patterns[s])} THEN {1 << i} ELSE 0 END"
+        f"CASE WHEN low RLIKE {sql_text(like_to_regex(patterns[s]))} THEN {1 << i} ELSE 0 END"
         for i, s in enumerate(stages)))
+    if names is None:
+        events = events.withColumn("low", F.lower("event_name"))
+    else:
+        known = names.withColumn("low", F.lower("event_name")).select(
+            "event_name", mask.alias("stages"))
+        events, mask = events.join(small_side(known), "event_name"), F.col("stages")
     if cases is None:
         whole = events.groupBy(*keys).agg(F.bit_or(mask).alias("m"))
         periods = whole.select("instance_id", F.lit("all").alias("period"), "m")

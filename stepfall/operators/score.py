@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stepfall.constants import F1_FLOOR, INNOCENT
 from stepfall.functions.predicates import is_flat, is_refused
 from stepfall.operators.cohorts import (
-    ATTRS, CLAIM, attribute_profiles, cohort_clauses, cohort_column, match_profiles, profile_prf,
+    CLAIM, attribute_profiles, claim_counts, cohort_clauses, cohort_column, match_profiles,
+    profile_prf,
 )
 from stepfall.plans.joins import small_side
 
@@ -34,19 +35,17 @@ def score_claims(
     one that is not listed fails the query instead of scoring as an empty cohort.
     """
     profiles = attribute_profiles(users, planted)
-    matched = match_profiles(profiles, users, cohort_clauses(claims)).select(
-        *CLAIM, *ATTRS, "n_users", "n_planted")
+    counts = claim_counts(match_profiles(profiles, users, cohort_clauses(claims)))
     for text in nested:
         one = claims.filter(F.col("predicate") == text).select(*CLAIM)
-        matched = matched.unionByName(
-            profiles.filter(cohort_column(text)).join(one, "instance_id").select(
-                *CLAIM, *ATTRS, "n_users", "n_planted"))
+        counts = counts.unionByName(claim_counts(
+            profiles.filter(cohort_column(text)).join(one, "instance_id")))
     predicate = F.col("predicate")
     open_text = ~is_refused(predicate) & ~is_flat(predicate) & ~predicate.isin(*nested, "")
     checked = claims.withColumn("claim_id", F.when(
         open_text, F.raise_error(F.concat(F.lit("list in nested=: "), predicate))
     ).otherwise(F.col("claim_id")))
-    return profile_prf(checked, matched, planted)
+    return profile_prf(checked, counts, planted)
 
 
 def judged_hypotheses(hypotheses: DataFrame, gold: DataFrame, claim_scores: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stepfall.constants import PAYMENT_METHODS, STAGES, USER_ATTRIBUTES
 from stepfall.functions.timing import day_index, period_of, wall_micros
-from stepfall.plans.joins import with_cases
+from stepfall.plans.joins import small_side, with_cases
 
 MAX_VOCABULARY = 62
 
@@ -124,5 +124,5 @@ def session_flags(
 
 def attach_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Look up user attributes per session (after the roll-up, when few rows are left)."""
-    wanted = users.select("instance_id", "user_id", *USER_ATTRIBUTES)
+    wanted = small_side(users.select("instance_id", "user_id", *USER_ATTRIBUTES))
     return sessions.join(wanted, ["instance_id", "user_id"], "left")

@@ -367,7 +367,8 @@ def top_suspect(w):
 
 @query
 def naive_funnel(w):
-    return funnel.naive_funnel(w.raw_events)
+    names_seen = cut(w.raw_events.select("event_name").distinct())
+    return funnel.naive_funnel(w.raw_events, names=names_seen)
 
 
 @query

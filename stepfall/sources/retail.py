@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepfall import schemas
-from stepfall.constants import DECOY_SCREENS, FUNNEL, USER_ATTRIBUTES
-from stepfall.sources.tables import records
+from stepfall.constants import DECOY_SCREENS, FUNNEL
+from stepfall.sources.tables import denormalise, records
 
 # Click kind -> logical event for even and odd event ids.
 EVENT_NAMES = {
@@ -110,8 +110,7 @@ class _Retail:
             "c_custkey % 2 = 0 AS is_returning")
 
     def denormalised(self, raw: DataFrame) -> DataFrame:
-        attrs = self.user_rows.select("instance_id", "user_id", *USER_ATTRIBUTES)
-        return raw.join(attrs, ["instance_id", "user_id"], "left")
+        return denormalise(raw, self.user_rows)
 
 
 class ClickWarehouse(_Retail):

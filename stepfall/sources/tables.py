@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from stepfall import schemas
+from stepfall.plans.joins import small_side
 from stepfall.schemas import conform, require_public
 
 CASE = "instance_id"
@@ -83,10 +84,11 @@ def case_index(events: DataFrame) -> DataFrame:
 def denormalise(events: DataFrame, users: DataFrame) -> DataFrame:
     """Copy user attributes onto events; events of unknown users keep nulls.
 
-    Both sides are hashed by (case, user): one heavy user is a skewed partition, which adaptive
-    execution splits, since users have one row per id.
+    A user table of checked small size is broadcast.  Otherwise both sides are hashed by (case,
+    user): one heavy user is a skewed partition, which adaptive execution splits, since users
+    have one row per id.
     """
-    wanted = users.select(CASE, "user_id", *schemas._ATTRIBUTES)
+    wanted = small_side(users.select(CASE, "user_id", *schemas._ATTRIBUTES))
     return events.drop(*schemas._ATTRIBUTES).join(wanted, [CASE, "user_id"], "left")
 
 

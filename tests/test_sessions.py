@@ -95,6 +95,19 @@ def test_naive_match_overreaches(make_events, cases):
     assert rows(got, "period", "users") == [("all", 2), ("post", 1), ("pre", 1)]
 
 
+def test_one_expression_finds_what_like_finds(spark):
+    from pyspark.sql import functions as F
+    names = ["xa.b", "a.b", "a+b", "a.b\n", "A_b", "sab", "a\nb", "ab", "", "a.bc", "c'd"]
+    made = spark.createDataFrame([(n,) for n in names], "name string")
+    for patterns in (("%a_b%",), ("a_b",), ("a%b", "%c'd"), ("%.b",), ("a.%", "ab%")):
+        regex = funnel.like_to_regex(patterns)
+        like = F.lit(False)
+        for p in patterns:
+            like = like | F.col("name").like(p)
+        for r in made.select("name", like.alias("l"), F.col("name").rlike(regex).alias("r")).collect():
+            assert r.l == r.r, (patterns, r)
+
+
 def test_a_session_name_with_quotes_survives(make_events, cases):
     odd = "it's"
     events = make_events([("s1", "u1", "1 10:00", odd)])
