@@ -15,13 +15,14 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # hash instead of sort-merge where every build partition is measured to be small
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    # hash instead of sort-merge where every build partition is measured to be small (Spark asks
+    # that this is no less than the advisory size)
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # session sets are small; let more of them stay in the hash map before sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
-PARTITION_BYTES = 128 * 1024 * 1024
+PARTITION_BYTES = 64 * 1024 * 1024
 
 
 def partitions_for(input_bytes: int, least: int) -> int:

@@ -95,7 +95,7 @@ def test_sizes_decide_the_join(spark, cases):
 
 def test_partitions_grow_with_the_input(spark):
     assert partitions_for(10, 8) == 8
-    assert partitions_for(100 * 2**40, 200) == 819200
+    assert partitions_for(100 * 2**40, 200) == 1638400
     before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions",)}
     tune(spark, spark.range(10))
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == \
