@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, named by ``spark.checkpoint.dir``.
+    """Folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one process, may fall back to a
-    temporary folder.
+    Where the session names none, a folder in the warehouse serves, which is shared as well; it is
+    put into the session's settings so that later calls use the same one.
     """
     named = (spark.conf.get("spark.checkpoint.dir", None)
              or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="stepfall-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stepfall-shared"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name of its own under the shared folder."""
+    return f"{shared_folder(spark)}/stepfall/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Each call makes a folder of its own under ``stepfall/``, which the owner of the shared
-    folder may clear when no job is running.  Unlike a cache it survives lost executors, and unlike an RDD checkpoint it keeps file
-    sizes, so later joins still know which side is small.
+    folder may clear when no job is running.  Unlike a cache it survives lost executors, and
+    unlike an RDD checkpoint it keeps file sizes, so later joins still know which side is small.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stepfall/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
