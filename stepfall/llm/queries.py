@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import mixing
+from stepfall.llm import mixing, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -26,3 +26,23 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", word_count(F.col("text")).alias("size")))
     return mixing.mix(sized, size=F.col("size")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    return warc.lookup(spark, archive, pages.select("url", "page_id")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op8_warc_archive"] = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+             sha1(coalesce(html, '')) AS payload_digest,
+             max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
+      FROM pages)
+"""
