@@ -9,7 +9,7 @@ the probabilities differ (``preference``).  The first document that does not fit
 the next round goes on down the ranking with documents that fit into what is left, and after
 ``ROUNDS`` of them the rest is a few words.
 
-The end in the ranking is found without ordering a source in one place: two histograms (65,536
+The end in the ranking is found without ordering a source in one place: two histograms (2,048
 cells each) of words per source and rank cell leave one cell per source to order.
 
 Cases: null text has size 0; null source is a source of its own, last in order; documents without
@@ -30,7 +30,7 @@ from stepfall.plans.materialize import cut
 
 WEIGHTS = (5, 2, 1)          # by source in code point order, repeating
 MAX_COPIES = 3
-CELLS = 65536
+CELLS = 2048
 ROUNDS = 4
 
 

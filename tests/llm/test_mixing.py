@@ -1,6 +1,7 @@
 """Mixing against targets computed in plain Python, and its edge cases."""
 
 import pytest
+from llm_fixtures import make_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from stepfall.llm import mixing
