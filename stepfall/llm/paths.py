@@ -351,6 +351,33 @@ def _compare(w: Windows):
     return run
 
 
+def settled(w: Windows):
+    """Like ``_compare`` for rows whose paths are single windows: nothing is left open."""
+    compare = _compare(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in compare(batches):
+            if found.num_rows and not found.column("open")[0].as_py():
+                yield found
+    return run
+
+
+def of_text(found: pa.Scalar, mark: int | bytes) -> list[dict]:
+    """What was found for the text with this mark among those gathered for its doc_id."""
+    if isinstance(mark, bytes):
+        mark = xxhash.xxh3_64_intdigest(mark) >> 33
+    return [r for x in found.as_py() if x["mark"] == mark for r in x["found"]]
+
+
+def covered(size: int, spans: list[tuple[int, int]], k: int) -> np.ndarray | None:
+    """Which symbols lie in a window that starts in one of the spans (first start, how many)."""
+    if not spans:
+        return None
+    lo, n = np.array(spans, np.int64).T
+    depth = np.bincount(lo, minlength=size + 1) - np.bincount(lo + n - 1 + k, minlength=size + 1)
+    return np.cumsum(depth)[:size] > 0
+
+
 def _found(doc, place, n, core=None, shape=None) -> pa.RecordBatch:
     size, is_open = len(doc), core is not None
     columns = [pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32()),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import mixing, packing, warc
+from stepfall.llm import debruijn, mixing, packing, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -56,3 +56,8 @@ FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_byte
              max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
       FROM pages)
 """
+
+
+@query
+def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(table(spark, sf_dir, "documents"))
