@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfall.llm.paths import stretch_hashes, text_slices
 from stepfall.plans.materialize import cut
 
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 1_000_000     # words a Python worker remembers; all are forgotten when it is full
+TEXT_BYTES = 2 << 20        # text looked at together in a task
 SHORT = 256                 # shorter pieces fill gaps and take no part in the linear program
 CLASS = 16                  # lengths in one class of the program
 ROUNDS = 1500
@@ -42,10 +44,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of texts whose tokenizer never joins over ASCII white space.
+    """Ids of texts, for a tokenizer that lowers letters and never joins over ASCII white space.
 
-    Words between ASCII white space are looked up in a bounded cache.  New ones are encoded together:
-    words of letters only give exactly one end-of-word token each, which is checked by count.
+    A slice of texts is cut into words between ASCII white space, with a stop or comma after ASCII
+    letters as a word of its own (the tokenizer separates them too).  Distinct words of the slice are
+    looked up in a bounded cache; new ones made of letters are encoded together, which gives exactly
+    one end-of-word token each and is checked by count.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,56 +60,85 @@ class WordTokenizer:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        text = b" ".join(words).decode("utf-8")
+        ids = np.asarray(self.tokenizer.encode_batch_fast(
+            [text], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or (len(ids) and stops[-1] != len(ids)):
+        if len(stops) != len(words) or stops[-1] != len(ids):
             return self._encode_each(words)
         flat, cuts = ids.tobytes(), [0, *(stops * 4).tolist()]
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _encode_each(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    def _encode_each(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8") for w in words], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; new ones are remembered."""
+        found = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if len(self.known) + len(gaps) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        texts = {w: w.decode("utf-8") for w in words}
-        # A stop or comma after letters is a token of its own for the tokenizer, too.
-        plain = {w: t[:-1] if t[-1] in ".,!?;:" and len(t) > 1 else t for w, t in texts.items()}
-        fresh = {t.lower() if t.isascii() else t for t in plain.values() if t.isalpha()}
-        letters = sorted(t for t in fresh if t.encode() not in known)
-        for i in range(0, len(letters), 1000):
-            part = letters[i:i + 1000]
-            known.update(zip((t.encode() for t in part), self._encode_plain(part)))
-        marks = {m: self._encode_each([m])[0] for m in ".,!?;:"}
-        rest = []
-        for w, t in texts.items():
-            p = plain[w]
-            if p.isalpha():
-                ids = known[(p.lower() if p.isascii() else p).encode()]
-                known[w] = ids if len(p) == len(t) else ids + marks[t[-1]]
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 1000):
-            part = rest[i:i + 1000]
-            known.update(zip(part, self._encode_each([texts[w] for w in part])))
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            if len(known) + 2 * len(new) > CACHE_WORDS:
-                known.clear()
-                new = {w for ws in words for w in ws}
-            self.learn(new)
-        for ws in words:
-            yield b"".join([known[w] for w in ws])
+        letters = [i for i in gaps if words[i].isalpha() or words[i].decode("utf-8").isalpha()]
+        inside = set(letters)
+        for group, encode in ((letters, self._encode_letters),
+                              ([i for i in gaps if i not in inside], self._encode_each)):
+            for k in range(0, len(group), 500):
+                part = [words[i] for i in group[k:k + 500]]
+                ids = encode(part)
+                self.known.update(zip(part, ids))
+                for i, x in zip(group[k:k + 500], ids):
+                    found[i] = x
+        return found
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice in a row, and where each text's ids begin (and the last end)."""
+        raw = data.tobytes()
+        if b"<|" not in raw:                    # the names of special tokens are case-sensitive
+            raw = raw.lower()
+        begin, end, counts = word_bounds(np.frombuffer(raw, np.uint8), offsets)
+        hashes = stretch_hashes(np.frombuffer(raw, np.uint8), begin, end)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())]
+        found = self.look_up(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        long = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(long)))
+        source = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], long)
+        ids = flat[source + np.arange(upto[-1])]
+        return ids, upto[np.concatenate(([0], np.cumsum(counts)))]
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word of the texts, and how many each text has."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    inside = ~space
+    starts, ends = offsets[:-1], offsets[1:]
+    full = starts < ends
+    head = np.zeros(len(data), bool)
+    tail = np.zeros(len(data), bool)
+    head[starts[full]] = True
+    tail[ends[full] - 1] = True
+    after = head.copy()
+    after[1:] |= space[:-1]
+    before = tail.copy()
+    before[:-1] |= space[1:]
+    mark = np.zeros(len(data), bool)
+    mark[1:] = (data[:-1] >= 97) & (data[:-1] <= 122)
+    mark &= before & ~head & _MARKS[data]
+    stop = inside & before
+    stop[:-1] |= mark[1:]
+    begin, end = np.flatnonzero(inside & (after | mark)), np.flatnonzero(stop) + 1
+    return begin, end, np.searchsorted(begin, ends) - np.searchsorted(begin, starts)
+
+
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,!?;:")] = True
 
 
 @functools.cache
@@ -117,21 +150,22 @@ def worker_tokenizer(path: str) -> WordTokenizer:
 def _tokenize(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
-        end = np.asarray([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+        last = np.asarray([end_id], "<u4").tobytes()
+        for batch in batches:
+            docs = batch.column("doc_id").to_pylist()
+            for a, b, data, offsets in text_slices(batch, TEXT_BYTES):
+                ids, starts = tokenizer.ids(data, offsets)
+                flat, at = ids.tobytes(), (starts * 4).tolist()
                 out: dict[str, list] = {k: [] for k in (
                     "doc_id", "piece", "start", "length", "ids_crc32")}
                 kept: list[bytes] = []
-                for doc, flat in zip(batch.column("doc_id").to_pylist(),
-                                     tokenizer.ids(batch.column("text").to_pylist())):
-                    flat += end
-                    for k, b in enumerate(range(0, len(flat), 4 * capacity)):
-                        part = flat[b:b + 4 * capacity]
+                for doc, x, y in zip(docs[a:b], at, at[1:]):
+                    whole = flat[x:y] + last
+                    for k, c in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[c:c + 4 * capacity]
                         out["doc_id"].append(doc)
                         out["piece"].append(k)
-                        out["start"].append(b // 4)
+                        out["start"].append(c // 4)
                         out["length"].append(len(part) // 4)
                         out["ids_crc32"].append(zlib.crc32(part))
                         if keep_ids:
