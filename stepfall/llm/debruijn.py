@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,36 +29,9 @@ from stepfall.llm.paths import Windows
 WORDS = 20
 ANCHOR = 8
 
-EDGES = "core long, path long, doc_id long, place long, shape int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _open_edges(w: Windows):
-    """Edges of the open runs of each text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("_found")
-            docs = paths.doc_numbers(batch)
-            for a, b, data, offsets in paths.text_slices(batch):
-                symbols, counts = paths.symbols_of(w, data, offsets)
-                marks, begin = paths.text_marks(data, offsets), np.cumsum(counts) - counts
-                prefix, out = paths.Prefix(symbols), []
-                for i in range(a, b):
-                    for r in paths.of_text(found[i], marks[i - a]):
-                        lo, n = r["lo"], r["shape"] >> 15
-                        at = begin[i - a] + lo + np.arange(n)
-                        edge = paths.mix(prefix.of(at, at + w.k))
-                        place = (lo + np.arange(n)) << 31 | marks[i - a]
-                        out.append((np.full(n, r["core"]), edge.view(np.int64), np.full(n, docs[i]),
-                                    place, np.full(n, 1 << 15 | (r["shape"] & 1))))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), (
-                            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
-                        names=["core", "path", "doc_id", "place", "shape"])
-    return run
-
-
 def _kept_words(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +56,8 @@ def _kept_words(w: Windows):
 def repeated_spans(docs: DataFrame, w: Windows) -> DataFrame:
     """Starts of repeated windows per text: ``doc_id, mark, found`` with runs (lo, n) of starts."""
     first = paths.compared_runs(docs, w)
-    opened = paths.per_document(first.filter("open"), "core", "shape")
-    edges = paths.with_texts(docs, opened, "inner").mapInArrow(_open_edges(w), EDGES)
-    second = edges.repartition("core", "path").sortWithinPartitions(
-        "core", "path", "doc_id", "place").mapInArrow(paths.settled(w), paths.FOUND)
+    opened = first.filter("open").withColumn("n", F.shiftright("shape", 15))
+    second = paths.compared_edges(docs, w, opened)
     return paths.per_document(first.filter("NOT open").unionByName(second), "n")
 
 

@@ -215,21 +215,26 @@ def slice_runs(w: Windows, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _settle(w: Windows, runs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """One row per path for the shuffle, and stretches of windows that are already settled."""
-    core, path, doc, place, count, d = (np.concatenate(x) for x in zip(*runs))
+def settle(w: Windows, runs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """One row per path for the shuffle, and stretches of windows that are already settled.
+
+    Each item: core, path, doc_id, place, windows, d, whether the path is known to be repeated.
+    """
+    core, path, doc, place, count, d, known = (np.concatenate(x) for x in zip(*runs))
     order = np.lexsort((place, doc, mix(core ^ (path * np.uint64(BASE)))))
-    core, path, doc, place, count, d = (x[order] for x in (core, path, doc, place, count, d))
+    core, path, doc, place, count, d, known = (
+        x[order] for x in (core, path, doc, place, count, d, known))
     same = np.zeros(len(core), bool)
     same[1:] = (core[1:] == core[:-1]) & (path[1:] == path[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(core))))
     # equal rows of the table are one text, not repetitions of each other
     other = same & ((doc != doc[head]) | (place != place[head]))
     many = np.zeros(len(core), bool)
-    many[head[other]] = True
-    done = other if w.keep_first else other | many
+    if not w.keep_first:
+        many[head[other | known]] = True
+    done = other if w.keep_first else many[head]
     keep = ~same
-    shape = (count << 15 | d << 1 | (many if not w.keep_first else np.zeros_like(many))).astype(np.int32)
+    shape = (count << 15 | d << 1 | many).astype(np.int32)
     columns = [core[keep].view(np.int64), path[keep].view(np.int64), doc[keep], place[keep], shape[keep]]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RUN_TYPES)],
                                      names=["core", "path", "doc_id", "place", "shape"])
@@ -242,10 +247,8 @@ def _span_rows(doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.Reco
     mark, lo = place & 0x7FFFFFFF, place >> 31
     order = np.lexsort((lo, mark, doc))
     doc, mark, lo, end = doc[order], mark[order], lo[order], (lo + count)[order]
-    far = np.maximum.accumulate(end)     # only compared within one text, where runs do not overlap
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (lo[1:] > end[:-1])
-    del far
     head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)) - 1
     lo, n = lo[head], end[tail] - lo[head]
     key = mix((doc[head] * 31 + mark[head]).astype(np.uint64)).view(np.int64)
@@ -270,16 +273,55 @@ def _runs(w: Windows):
                 if not len(of):
                     continue
                 marks = text_marks(data, offsets)
-                held.append((core, path, docs[a:b][of], lo << 31 | marks[of], count, d))
+                held.append((core, path, docs[a:b][of], lo << 31 | marks[of], count, d,
+                             np.zeros(len(of), bool)))
                 size += len(of)
                 if size >= CHUNK_RUNS:
-                    yield from _settle(w, held)
+                    yield from settle(w, held)
+                    held, size = [], 0
+        if held:
+            yield from settle(w, held)
+    return run
+
+
+def _edges(w: Windows):
+    """Single windows of the stretches named for each text, settled like runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            found = batch.column("_found")
+            docs = doc_numbers(batch)
+            for a, b, data, offsets in text_slices(batch):
+                symbols, counts = symbols_of(w, data, offsets)
+                marks, begin = text_marks(data, offsets), np.cumsum(counts) - counts
+                prefix = Prefix(symbols)
+                for i in range(a, b):
+                    for r in of_text(found[i], marks[i - a]):
+                        n = r["n"]
+                        lo = r["lo"] + np.arange(n)
+                        at = begin[i - a] + lo
+                        held.append((np.full(n, r["core"]).view(np.uint64),
+                                     mix(prefix.of(at, at + w.k)), np.full(n, docs[i]),
+                                     lo << 31 | marks[i - a], np.ones(n, np.int64),
+                                     np.zeros(n, np.int64), np.full(n, bool(r["shape"] & 1))))
+                        size += n
+                if size >= CHUNK_RUNS:
+                    yield from settle(w, held)
                     held, size = [], 0
         if held:
-            yield from _settle(w, held)
+            yield from settle(w, held)
     return run
 
 
+def compared_edges(docs: DataFrame, w: Windows, stretches: DataFrame) -> DataFrame:
+    """Settled windows of the open stretches (``core, doc_id, place, n, shape``) of the texts."""
+    named = per_document(stretches, "n", "core", "shape")
+    return with_texts(docs, named, "inner").mapInArrow(_edges(w), RUNS).repartition(
+        "core", "path").sortWithinPartitions("core", "path", "doc_id", "place").mapInArrow(
+        settled(w), FOUND)
+
+
 def _compare(w: Windows):
     """Sorted rows (core, path, doc_id, place): settle equal paths; report branching cores as open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

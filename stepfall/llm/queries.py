@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import debruijn, mixing, packing, warc
+from stepfall.llm import debruijn, mixing, packing, suffixes, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -30,6 +30,11 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(table(spark, sf_dir, "documents").select(
