@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import debruijn, mixing, packing, suffixes, warc
+from stepfall.llm import debruijn, minhash, mixing, packing, suffixes, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -24,6 +24,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Banding(words=2))
+
+
 @query
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER).select(
