@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import debruijn, minhash, mixing, packing, suffixes, warc
+from stepfall.llm import debruijn, minhash, mixing, packing, suffixes, toxicity, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -40,6 +40,15 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), teaches=fold != 0)
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(table(spark, sf_dir, "documents").select(
