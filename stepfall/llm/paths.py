@@ -31,7 +31,6 @@ PLACE_BITS = 24
 PIECE = 1 << 22              # symbols of one text looked at together
 SLICE_BYTES = 1 << 20        # texts are looked at together up to so many bytes
 CHUNK_RUNS = 400_000         # runs a task settles by itself before it sends them
-BROADCAST_BYTES = 32 << 20   # per-document findings up to this size go to the texts, not texts to them
 NULL_DOC = -(1 << 63)
 
 RUNS = "core long, path long, doc_id long, place long, shape int"
@@ -444,14 +443,8 @@ def per_document(rows: DataFrame, *fields: str) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Texts joined with what ``per_document`` gathered, keyed by document.
-
-    The lists go to the texts while their measured size is within ``BROADCAST_BYTES``; beyond it both
-    sides are shuffled by document.
-    """
-    width = 16 + 24 * F.size("found")
-    size = found.agg(F.sum(width)).first()[0] or 0
+    """Texts joined with what ``per_document`` gathered, keyed by document."""
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "found")).alias("_found"))
     rows = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NULL_DOC)))
     side = by_doc.withColumnRenamed("doc_id", "_key")
-    return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "_key", how).drop("_key")
+    return rows.join(side, "_key", how).drop("_key")

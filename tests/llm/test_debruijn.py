@@ -57,7 +57,7 @@ def test_against_brute_force(spark, make_docs, seed, k, m):  # noqa: F811
 
 
 def test_small_chunks_and_pieces(spark, make_docs, monkeypatch):  # noqa: F811
-    """Tasks that settle few runs at once, texts cut into stretches, texts sent to the findings."""
+    """Tasks that settle few runs at once, texts cut into stretches."""
     w = paths.Windows(5, 2, True, True)
     rows = [r for r in texts(9) if r[1]]
     whole = paths.np.frombuffer("".join(r[1] for r in rows).encode(), paths.np.uint8)
@@ -69,7 +69,6 @@ def test_small_chunks_and_pieces(spark, make_docs, monkeypatch):  # noqa: F811
                                for j in range(n))
     assert windows(full) == windows(cut)
     docs = make_docs(rows)
-    monkeypatch.setattr(paths, "BROADCAST_BYTES", 0)
     got = debruijn.without_repeats(docs, words=5, anchor=2).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows, 5)
 
