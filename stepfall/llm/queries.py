@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import debruijn, minhash, mixing, packing, secrets, suffixes, toxicity, warc
+from stepfall.llm import capfilters, debruijn, minhash, mixing, packing, secrets, suffixes, toxicity, warc
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 
@@ -84,6 +84,32 @@ FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_byte
 """
 
 
+@query
+def op9_cap_filter_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_cap_filter_near_duplicates"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), n AS (
+    SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size
+    FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label
+        AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links,
+       m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = v.vec_id
+"""
+
+
 @query
 def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.without_repeats(table(spark, sf_dir, "documents"))
