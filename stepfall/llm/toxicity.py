@@ -35,8 +35,8 @@ from stepfall.llm import paths
 from stepfall.plans.materialize import cut
 
 SAMPLE = 20_000              # labelled rows that are learned from
-TERMS, STEMS = 1500, 300     # most entries of the lexicon
-LEAST_TEXTS = 3              # toxic texts that must use a term
+TERMS, STEMS = 300, 100       # most entries of the lexicon
+LEAST_TEXTS = 3              # toxic texts that must use a term, and one in 200 of them
 STRONG = 2.5                 # log odds of a term
 FUZZY_FROM = 5               # shorter terms are matched exactly
 WINDOW = 8                   # words on either side of a hit
@@ -50,6 +50,7 @@ class Trie:
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     term: dict[int, float] = field(default_factory=dict)
     stem: dict[int, float] = field(default_factory=dict)
+    long: set[int] = field(default_factory=set)     # terms that are matched with an edit, too
 
     def add(self, text: str, weight: float, stem: bool) -> None:
         at = 0
@@ -59,42 +60,41 @@ class Trie:
                 self.next.append({})
             at = self.next[at][c]
         (self.stem if stem else self.term)[at] = weight
+        if not stem and len(text) >= FUZZY_FROM:
+            self.long.add(at)
 
     def match(self, word: str) -> tuple[float, bool]:
         """Largest weight of a term at most one edit away, and whether it took an edit.
 
-        A state of the automaton is (place in the word, edits so far); states advance along the trie.
-        Stems match without edits and whatever follows.
+        A state of the automaton is (place in the word, edits so far).  Without edits there is one
+        way through the trie; beside each of its nodes the states with one edit begin: a letter too
+        many, another letter, or a letter left out, each going on without further edits.  Stems match
+        without edits and whatever follows.
         """
-        at, best = 0, 0.0
-        for i, c in enumerate(word):
-            at = self.next[at].get(c, -1)
+        step, size = self.next, len(word)
+        way, best = [0], 0.0
+        for c in word:
+            at = step[way[-1]].get(c, -1)
             if at < 0:
                 break
+            way.append(at)
             best = max(best, self.stem.get(at, 0.0))
-            if i == len(word) - 1:
-                best = max(best, self.term.get(at, 0.0))
-        if best > 0 or len(word) < FUZZY_FROM - 1:
+        if len(way) == size + 1:
+            best = max(best, self.term.get(way[-1], 0.0))
+        if best > 0 or size < FUZZY_FROM - 1:
             return best, False
-        todo = [(0, 0, {(0, 0), (1, 1)})]           # node, depth, states; (1, 1): a letter too many
-        while todo:
-            node, depth, states = todo.pop()
-            if depth >= FUZZY_FROM and node in self.term and any(
-                    i == len(word) for i, _ in states):
-                best = max(best, self.term[node])
-            for c, child in self.next[node].items():
-                after = set()
-                for i, e in states:
-                    if i < len(word) and word[i] == c:
-                        after.add((i + 1, e))
-                        if e == 0 and i + 2 <= len(word):
-                            after.add((i + 2, 1))          # and a letter too many behind it
-                    elif e == 0 and i < len(word):
-                        after.add((i + 1, 1))              # another letter
-                    if e == 0:
-                        after.add((i, 1))                  # a letter left out
-                if after:
-                    todo.append((child, depth + 1, after))
+        for i, node in enumerate(way):
+            starts = [(node, i + 1)] if i < size else []
+            for c, child in step[node].items():
+                starts.append((child, i))
+                if i < size and c != word[i]:
+                    starts.append((child, i + 1))
+            for at, k in starts:
+                while k < size and at >= 0:
+                    at = step[at].get(word[k], -1)
+                    k += 1
+                if at in self.long:
+                    best = max(best, self.term[at])
         return best, best > 0
 
 
@@ -239,14 +239,18 @@ def learn_lexicon(rows: DataFrame) -> tuple[list, list]:
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return [], []
+    least = max(LEAST_TEXTS, bad // 200)
     counts = cut(rows.select("text", "toxic").mapInArrow(_counts, "word string, bad long, good long")
                  .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     begun = counts.withColumn("n", F.explode(F.sequence(F.lit(4), F.lit(7)))).filter(
         F.length("word") > F.col("n")).withColumn("word", F.expr("substring(word, 1, n)")).groupBy(
         "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("forms"))
-    stems = dict(_strongest(begun.filter("forms >= 5"), bad, good, STEMS, 3 * LEAST_TEXTS, STRONG + 1.5))
+    stems = dict(_strongest(begun.filter("forms >= 5"), bad, good, STEMS, 3 * least, STRONG + 1.5))
     stems = [(s, w) for s, w in stems.items() if not any(s[:i] in stems for i in range(4, len(s)))]
-    return _strongest(counts, bad, good, TERMS, LEAST_TEXTS, STRONG), stems
+    begins = F.lit(False)
+    for text, _ in stems:
+        begins = begins | F.col("word").startswith(text)
+    return _strongest(counts.filter(~begins), bad, good, TERMS, least, STRONG), stems
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
