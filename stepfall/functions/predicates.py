@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from stepfall.constants import REFUSED_SUBSTRINGS, TEXT_ATTRIBUTES, USER_ATTRIBUTES
 
 _TOKEN = re.compile(
-    r"\s*('(?:[^']|'')*'|[A-Za-z_]\w*|\d+(?:\.\d+)?|<>|!=|<=|>=|[=<>(),])")
+    r"\s*('(?:[^']|'')*'|[A-Za-z_]\w*|\d+(?:\.\d+)?|<>|!=|<=|>=|==|[=<>(),])")
 _WORDS = {"AND", "OR", "NOT", "IN", "BETWEEN", "IS", "NULL", "LIKE", "TRUE", "FALSE"}
-_COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
+_COMPARE = {"=", "==", "<>", "!=", "<", "<=", ">", ">="}
 
 
 def column_kind(name: str) -> str:
@@ -109,12 +109,12 @@ def checked_predicate(text: str | None, columns=USER_ATTRIBUTES) -> str | None:
 _LITERAL = r"(?:'(?:[^']|'')*'|\d+(?:\.\d+)?|TRUE|FALSE)"
 _LIST = rf"\(\s*{_LITERAL}(?:\s*,\s*{_LITERAL})*\s*\)"
 _NAME = "(?:" + "|".join(USER_ATTRIBUTES) + ")"
-_CLAUSE = rf"{_NAME}\s*(?:(?:=|<>|!=|<=|>=|<|>)\s*{_LITERAL}|IN\s*{_LIST})"
+_CLAUSE = rf"{_NAME}\s*(?:(?:==|=|<>|!=|<=|>=|<|>)\s*{_LITERAL}|IN\s*{_LIST})"
 FLAT = rf"(?i)^\s*{_CLAUSE}(?:\s+(?:AND|OR)\s+{_CLAUSE})*\s*$"
 PIECES = (rf"(?i)(?:\s+(AND|OR)\s+|^\s*)({_NAME})\s*"
-          rf"(?:(=|<>|!=|<=|>=|<|>)\s*({_LITERAL})|(IN)\s*({_LIST}))")
+          rf"(?:(==|=|<>|!=|<=|>=|<|>)\s*({_LITERAL})|(IN)\s*({_LIST}))")
 LITERALS = rf"(?i){_LITERAL}"
-OP_NAMES = {"=": "eq", "<>": "ne", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
+OP_NAMES = {"=": "eq", "==": "eq", "<>": "ne", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
 
 
 def is_refused(text: Column) -> Column:

@@ -12,7 +12,7 @@ def _drop_vowels(word: Column) -> Column:
     return F.when(
         F.length(word) > 3,
         F.concat(F.substring(word, 1, 1),
-                 F.regexp_replace(F.substring(word, 2, 1_000_000), "[aeiou]", "")),
+                 F.regexp_replace(F.substring(word, F.lit(2), F.length(word)), "[aeiou]", "")),
     ).otherwise(word)
 
 
@@ -56,4 +56,4 @@ def sentence_of(snake: Column) -> Column:
     """Description of an event nobody wrote a purpose for: ``Cart view event.``"""
     text = F.replace(snake, F.lit("_"), F.lit(" "))
     return F.concat(F.upper(F.substring(text, 1, 1)),
-                    F.lower(F.substring(text, 2, 1_000_000)), F.lit(" event."))
+                    F.lower(F.substring(text, F.lit(2), F.length(text))), F.lit(" event."))

@@ -18,9 +18,9 @@ def period_of(day: Column, changepoint_day: Column) -> Column:
 def is_recent(ts: Column, base_date: Column, changepoint_day: Column) -> Column:
     """Event-time test: at or after midnight of the changepoint day.
 
-    ``ts >= midnight`` is the same as ``date(ts) >= that date``, which needs no time zone.
+    The raw timestamp is compared, so that the scan can use it.
     """
-    return F.to_date(ts) >= F.date_add(base_date, changepoint_day)
+    return ts >= F.date_add(base_date, changepoint_day).cast("timestamp_ntz")
 
 
 def wall_micros(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +27,12 @@ ATTRS = list(USER_ATTRIBUTES)
 # --- predicates ---------------------------------------------------------------------------
 
 def cohort_column(text: str, columns: Sequence[str] = USER_ATTRIBUTES) -> Column:
-    """Boolean column of a predicate text; false for everyone when the text is refused."""
+    """Boolean column of a predicate text; false for everyone when it is refused or no predicate."""
     checked = checked_predicate(text, columns)
-    return F.lit(False) if checked is None else F.expr(checked)
+    try:
+        return F.lit(False) if checked is None else F.expr(checked)
+    except ParseException:
+        return F.lit(False)
 
 
 def compile_cohort(
@@ -169,8 +172,9 @@ CLAIM = ["instance_id", "claim_id"]
 def cohort_clauses(claims: DataFrame) -> DataFrame:
     """Clause rows of flat predicate texts (columns ``instance_id, claim_id, predicate``).
 
-    Refused and ungrouped-unsupported texts yield no rows; a clause whose literal does not fit
-    its column keeps null values and so matches nobody.  IN has one row per value.
+    Other texts yield no rows here: refused ones select nobody, and those with grouping, NOT,
+    BETWEEN, LIKE or IS NULL are what :func:`grouped_matches` is for.  A clause whose literal does
+    not fit its column keeps null values and so matches nobody.  IN has one row per value.
     """
     text = F.col("predicate")
     column = F.col("c.column")
@@ -218,7 +222,7 @@ def _per_column_set(table: DataFrame, sized: DataFrame, kept: Sequence[str]) ->
         for name, bit in _BITS.items()))
 
 
-def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) -> DataFrame:
+def match_profiles(profiles: DataFrame, clauses: DataFrame) -> DataFrame:
     """(claim, attribute combination) pairs where some disjunct is fully met.
 
     Profiles are first summed to the columns a claim names, so a claim about the OS meets a
@@ -229,7 +233,7 @@ def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) ->
     scope = ["instance_id"] if "instance_id" in clauses.columns else []
     claim = [*scope, "claim_id"]
     sized = _sized(clauses, claim)
-    values = users.select(*scope, _attribute_rows()).distinct()
+    values = profiles.select(*scope, _attribute_rows()).distinct()
     wanted = (
         sized.join(values, [*scope, "column"]).filter(F.expr(f"CASE op {_TESTS} END"))
         .select(*claim, "colset", "disjunct_id", "n_clauses", "clause_id", "column", "vkey")
@@ -252,7 +256,7 @@ def match_profiles(profiles: DataFrame, users: DataFrame, clauses: DataFrame) ->
 def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
     """User ids of every claim: matched combinations joined back to users (null-safe)."""
     claim = [*(["instance_id"] if "instance_id" in clauses.columns else []), "claim_id"]
-    matched = match_profiles(attribute_profiles(users), users, clauses)
+    matched = match_profiles(attribute_profiles(users), clauses)
     right = matched.select("claim_id", *(
         F.col(c).alias(f"m_{c}") for c in ("instance_id", "colset", *ATTRS)))
     same = (F.col("instance_id") == F.col("m_instance_id")) & (
@@ -263,6 +267,50 @@ def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
     return spread.join(right, same).select("claim_id", *USER)
 
 
+TEXTS_PER_PLAN = 40
+
+
+def grouped_matches(table: DataFrame, claims: DataFrame) -> list[DataFrame]:
+    """Rows of ``table`` (users or profiles) in the claims whose texts are not flat.
+
+    Each distinct text passes the token check and becomes a Spark expression; ``TEXTS_PER_PLAN`` of them
+    share a plan and one pass over the table.  Texts are streamed to the driver, which keeps only the
+    plans.  A text that is refused or is no predicate over the columns selects nobody.
+    """
+    text = F.col("predicate")
+    texts = claims.filter(~is_refused(text) & ~is_flat(text)).select("predicate").distinct()
+    scope = [c for c in ("instance_id",) if c in claims.columns]
+    out, batch = [], []
+
+    def plan() -> None:
+        if batch:
+            named = F.array_compact(F.array(*(F.when(c, F.lit(t)) for t, c in batch)))
+            rows = table.withColumn("predicate", F.explode(named))
+            out.append(rows.join(claims.select(*scope, "claim_id", "predicate"),
+                                 [*scope, "predicate"]).drop("predicate"))
+            batch.clear()
+
+    for (one,) in texts.toLocalIterator():
+        column = cohort_column(one)
+        try:
+            table.filter(column).schema  # noqa: B018 - analyse now, so a bad predicate is caught here
+        except AnalysisException:
+            continue
+        batch.append((one, column))
+        if len(batch) == TEXTS_PER_PLAN:
+            plan()
+    plan()
+    return out
+
+
+def compile_claims(users: DataFrame, claims: DataFrame) -> DataFrame:
+    """User ids of every claim, whatever its text; claims that select nobody have no rows."""
+    out = compile_cohort_bulk(users, cohort_clauses(claims))
+    for more in grouped_matches(users, claims):
+        out = out.unionByName(more.select("claim_id", *USER))
+    return out
+
+
 def claim_counts(matched: DataFrame) -> DataFrame:
     """Claimed users and planted users among them, per claim."""
     return matched.groupBy(*CLAIM).agg(

@@ -34,12 +34,18 @@ def quoted(value: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
-def _evidence(claim: Column) -> Column:
-    return F.array(F.struct(claim.alias("claim"), F.lit("").alias("sql"),
+def _evidence(claim: Column, sql: str = "") -> Column:
+    return F.array(F.struct(claim.alias("claim"), F.lit(sql).alias("sql"),
                             F.lit("").alias("result_summary"))).cast(
         f"array<{EVIDENCE.simpleString()}>")
 
 
+def _crash_sql(by: str, min_rows: int) -> str:
+    """The finding as a query that a reader can run on one case's recent events."""
+    return (f"SELECT {by}, avg(CAST(is_crash AS INT)) AS rate, count(*) AS n FROM events "
+            f"GROUP BY {by} HAVING count(*) > {min_rows} ORDER BY rate DESC")
+
+
 def _texts(*items: str) -> Column:
     return F.array(*map(F.lit, items)).cast("array<string>")
 
@@ -67,7 +73,8 @@ def detect_crash(
         F.concat(F.lit("Crashes concentrate on "), F.col(by), F.lit(".")).alias("mechanism"),
         F.concat(F.lit(f"{by} = "), quoted(F.col(by))).alias("affected_cohort"),
         F.col("rate").alias("score"), F.lit(K.CONFIDENCE_CRASH).alias("confidence"),
-        _evidence(F.concat(F.lit("crash share of rows (%): "), shown)).alias("evidence"),
+        _evidence(F.concat(F.lit("crash share of rows (%): "), shown), _crash_sql(by, min_rows))
+        .alias("evidence"),
         _texts("device age was not examined").alias("confounders_considered"))
 
 
@@ -129,6 +136,9 @@ def rank_hypotheses(system: str, findings: Sequence[DataFrame], cases: DataFrame
 def baseline(events: DataFrame, users: DataFrame, cases: DataFrame, **thresholds) -> DataFrame:
     """Two clean signals, crash and checkout latency, in the recent window."""
     histogram = symptoms.signal_histogram(symptoms.recent_window(events, cases))
+    unknown = [k for k in thresholds if not k.startswith(("crash_", "latency_"))]
+    if unknown:
+        raise TypeError(f"no such threshold: {', '.join(unknown)}")
     crash = {k[6:]: v for k, v in thresholds.items() if k.startswith("crash_")}
     slow = {k[8:]: v for k, v in thresholds.items() if k.startswith("latency_")}
     return rank_hypotheses(
@@ -169,6 +179,12 @@ def findings_from_scan(scan: DataFrame, *, per_case: int = 3, min_pp: float = 0.
         _texts("ranked against every other single attribute").alias("confounders_considered"))
 
 
+def closed_ranks(hypotheses: DataFrame) -> DataFrame:
+    """Ranks from 1 without gaps, in the order there was."""
+    run = Window.partitionBy("system", "instance_id").orderBy("rank", "mechanism_type", "affected_cohort")
+    return hypotheses.withColumn("rank", F.row_number().over(run))
+
+
 def valid_hypotheses(hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows: closed set of mechanisms, confidence within [0, 1]."""
     good = F.coalesce(

@@ -72,13 +72,12 @@ def like_to_regex(patterns: Sequence[str]) -> str:
 
 def naive_funnel(
     events: DataFrame, patterns: Mapping[str, Sequence[str]] = NAIVE_PATTERNS,
-    cases: DataFrame | None = None, names: DataFrame | None = None,
+    cases: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct users reaching each naively matched stage.
 
-    The matched stages of an event become bits, so one roll-up by user serves all stages.  The
-    patterns of a stage are searched as one expression.  With ``names``, a stored table of the
-    distinct ``event_name`` values, only these are matched and events look their bits up.
+    One scan of the events is folded to (case, user, name, period), so patterns are searched once per
+    folded row and not per event.  The matched stages become bits, and one roll-up by user serves all.
     With ``cases`` the counts are given per event-time period as well as for the whole window.
     """
     keys = ["instance_id", "user_id"]
@@ -86,17 +85,16 @@ def naive_funnel(
     mask = F.expr(" + ".join(
         f"CASE WHEN low RLIKE {sql_text(like_to_regex(patterns[s]))} THEN {1 << i} ELSE 0 END"
         for i, s in enumerate(stages)))
-    if names is None:
-        events = events.withColumn("low", F.lower("event_name"))
+    if cases is None:
+        seen = events.select(*keys, "event_name").distinct().withColumn("period", F.lit("all"))
     else:
-        known = names.withColumn("low", F.lower("event_name")).select(
-            "event_name", mask.alias("stages"))
-        events, mask = events.join(small_side(known), "event_name"), F.col("stages")
+        seen = event_days(events, cases).select(*keys, "event_name", "period").distinct()
+    marked = seen.withColumn("low", F.lower("event_name"))
     if cases is None:
-        whole = events.groupBy(*keys).agg(F.bit_or(mask).alias("m"))
+        whole = marked.groupBy(*keys).agg(F.bit_or(mask).alias("m"))
         periods = whole.select("instance_id", F.lit("all").alias("period"), "m")
     else:
-        split = event_days(events, cases).groupBy(*keys).agg(
+        split = marked.groupBy(*keys).agg(
             *(F.bit_or(F.when(F.col("period") == p, mask).otherwise(0)).alias(p)
               for p in ("pre", "post")))
         periods = split.select("instance_id", F.explode(F.array(

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from stepfall.plans.joins import small_side
 
-MAX_QUERY_VECTORS = 1000
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -59,31 +56,86 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
 
 
 def unit(vector: Column) -> Column:
-    """The vector scaled to length one, in doubles."""
+    """The vector scaled to length one, in doubles; null components where it has no length."""
     wide = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(wide, lambda x: F.try_divide(x, norm))
 
 
-def dense_topk(corpus: DataFrame, queries: DataFrame, *, k: int = 10,
-               max_queries: int = MAX_QUERY_VECTORS) -> DataFrame:
+QUERY_BLOCK = 1024
+CORPUS_ROWS = 4096
+
+
+def _block_best(k: int):
+    """Per batch of corpus vectors and block of queries the best ``k`` of each query."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        block, queries, names = None, None, None
+        for batch in batches:
+            for part in (batch.slice(i, CORPUS_ROWS) for i in range(0, batch.num_rows, CORPUS_ROWS)):
+                kinds = part.column("block").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+                for a, b in zip(edges, edges[1:]):
+                    rows = part.slice(a, b - a)
+                    if kinds[a] != block:
+                        block, queries, names = kinds[a], None, None
+                    asks = rows.column("query_id").is_valid().to_numpy(zero_copy_only=False)
+                    vectors = rows.column("v").flatten().to_numpy(zero_copy_only=False)
+                    vectors = vectors.reshape(b - a, -1)
+                    if asks.any():
+                        more = vectors[asks]
+                        ids = rows.column("query_id").filter(pa.array(asks)).to_numpy()
+                        queries = more if queries is None else np.concatenate((queries, more))
+                        names = ids if names is None else np.concatenate((names, ids))
+                    if asks.all():
+                        continue
+                    docs = rows.column("doc_id").filter(pa.array(~asks)).to_numpy()
+                    if names is None:
+                        continue                          # no query in this block
+                    scores = np.round(vectors[~asks] @ queries.T, 9)
+                    take = min(k, len(docs))
+                    low = np.partition(scores, len(docs) - take, axis=0)[len(docs) - take]
+                    out = []
+                    for j in range(len(names)):
+                        near = np.flatnonzero(scores[:, j] >= low[j])
+                        best = near[np.lexsort((docs[near], -scores[near, j]))[:take]]
+                        out.append((np.full(len(best), names[j]), docs[best], scores[best, j]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(c)) for c in zip(*out)],
+                        names=["query_id", "doc_id", "score"])
+    return run
+
+
+def dense_topk(corpus: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
     """Cosine top-k of ``corpus(doc_id, vector)`` for ``queries(query_id, vector)``.
 
-    The query vectors travel as one array, so there is no join: at most ``max_queries`` of
-    them, and more fail the query (split them over several calls).
+    Queries form blocks of about ``QUERY_BLOCK``, the corpus is dealt in shares of a few thousand
+    rows, and every (share, block) is one matrix product of which only the best ``k`` per query
+    leave the task.  Ids are whole numbers, vectors have one length.  All pairs are looked at, in
+    blocks: exact, and meant for query sets much smaller than the corpus.
     """
-    listed = (
-        queries.limit(max_queries + 1)
-        .agg(F.collect_list(F.struct("query_id", unit(F.col("vector")).alias("q"))).alias("qs"))
-        .select(F.when(F.size("qs") <= max_queries, F.col("qs")).otherwise(
-            F.raise_error(F.lit(f"more than {max_queries} query vectors")))).scalar())
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = (
-        corpus.select("doc_id", unit(F.col("vector")).alias("v"))
-        .withColumn("qs", listed)
-        .select("doc_id", "v", F.inline("qs"))
-        .select("query_id", "doc_id", dot.alias("score")))
-    return top_k(scored, k)
+    valid = lambda df, name: df.select(
+        F.col(name).cast("long").alias(name), unit(F.col("vector")).alias("v")).filter(
+        F.forall("v", lambda x: x.isNotNull()))
+    asked, stored = valid(queries, "query_id"), valid(corpus, "doc_id")
+    blocks = asked.agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("n")).scalar()
+    shares = stored.agg(F.ceil(F.count("*") / (8 * CORPUS_ROWS)).alias("n")).scalar()
+    block = F.pmod(F.xxhash64("query_id"), F.greatest(blocks, F.lit(1)))
+    share = F.pmod(F.xxhash64("doc_id"), F.greatest(shares, F.lit(1)))
+    none = F.lit(None).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(shares, F.lit(1)) - 1)).alias("share")
+    left = asked.select(none.alias("doc_id"), "query_id", "v", block.alias("block"), every)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks, F.lit(1)) - 1)).alias("block")
+    right = stored.select("doc_id", none.alias("query_id"), "v", each, share.alias("share"))
+    # within a (share, block) the queries come first
+    dealt = left.unionByName(right).repartition("share", "block").sortWithinPartitions(
+        "block", "share", F.col("query_id").isNull())
+    dealt = dealt.select("doc_id", "query_id", "v", (F.col("block") * F.greatest(shares, F.lit(1))
+                                                     + F.col("share")).alias("block"))
+    found = dealt.mapInArrow(_block_best(k), "query_id long, doc_id long, score double")
+    return top_k(found, k)
 
 
 def fused_topk(rankings: list[DataFrame], *, k: int = 10, offset: int = 60) -> DataFrame:

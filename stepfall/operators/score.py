@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfall.constants import F1_FLOOR, INNOCENT
-from stepfall.functions.predicates import is_flat, is_refused
 from stepfall.operators.cohorts import (
-    CLAIM, attribute_profiles, claim_counts, cohort_clauses, cohort_column, match_profiles,
-    profile_prf,
+    attribute_profiles, claim_counts, cohort_clauses, grouped_matches, match_profiles, profile_prf,
 )
 from stepfall.plans.joins import small_side
 
@@ -25,27 +23,18 @@ def claims_of(hypotheses: DataFrame) -> DataFrame:
         "instance_id", text.alias("claim_id"), text.alias("predicate")).distinct()
 
 
-def score_claims(
-    claims: DataFrame, users: DataFrame, planted: DataFrame, *, nested: Sequence[str] = (),
-) -> DataFrame:
-    """Precision, recall and F1 of every claimed predicate.
+def score_claims(claims: DataFrame, users: DataFrame, planted: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of every claimed predicate, whatever its text.
 
-    Flat predicates are compiled inside Spark.  Predicates with grouping, NOT, BETWEEN, LIKE
-    or IS NULL have to be listed in ``nested`` and are compiled one by one over the profiles;
-    one that is not listed fails the query instead of scoring as an empty cohort.
+    Flat predicates are compiled inside Spark; the others (grouping, NOT, BETWEEN, LIKE, IS NULL)
+    as expressions over the same profiles, for which their distinct texts are read here.  A text
+    that is refused, is no predicate or names other columns is an empty cohort.
     """
     profiles = attribute_profiles(users, planted)
-    counts = claim_counts(match_profiles(profiles, users, cohort_clauses(claims)))
-    for text in nested:
-        one = claims.filter(F.col("predicate") == text).select(*CLAIM)
-        counts = counts.unionByName(claim_counts(
-            profiles.filter(cohort_column(text)).join(one, "instance_id")))
-    predicate = F.col("predicate")
-    open_text = ~is_refused(predicate) & ~is_flat(predicate) & ~predicate.isin(*nested, "")
-    checked = claims.withColumn("claim_id", F.when(
-        open_text, F.raise_error(F.concat(F.lit("list in nested=: "), predicate))
-    ).otherwise(F.col("claim_id")))
-    return profile_prf(checked, counts, planted)
+    counts = claim_counts(match_profiles(profiles, cohort_clauses(claims)))
+    for more in grouped_matches(profiles, claims):
+        counts = counts.unionByName(claim_counts(more))
+    return profile_prf(claims, counts, planted)
 
 
 def judged_hypotheses(hypotheses: DataFrame, gold: DataFrame, claim_scores: DataFrame) -> DataFrame:
@@ -79,14 +68,14 @@ def runs_of(systems: Sequence[str], cases: DataFrame) -> DataFrame:
 
 def score_cases(
     hypotheses: DataFrame, gold: DataFrame, planted: DataFrame, users: DataFrame, *,
-    runs: DataFrame | None = None, nested: Sequence[str] = (),
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (system, case).
 
     ``runs`` lists the (system, instance_id) pairs that must answer, so that an empty list of
     hypotheses scores too; by default the pairs that have hypotheses.
     """
-    claim_scores = score_claims(claims_of(hypotheses), users, planted, nested=nested)
+    claim_scores = score_claims(claims_of(hypotheses), users, planted)
     judged = judged_hypotheses(hypotheses, gold, claim_scores)
     first, three = F.col("rank") == 1, F.col("rank") <= 3
     innocent = F.col("mechanism_type") == INNOCENT

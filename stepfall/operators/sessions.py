@@ -17,7 +17,7 @@ from stepfall.constants import PAYMENT_METHODS, STAGES, USER_ATTRIBUTES
 from stepfall.functions.timing import day_index, period_of, wall_micros
 from stepfall.plans.joins import small_side, with_cases
 
-MAX_VOCABULARY = 62
+NAMES_PER_MASK = 62
 
 
 def event_days(events: DataFrame, cases: DataFrame) -> DataFrame:
@@ -45,12 +45,11 @@ def session_rollup(events: DataFrame, cases: DataFrame) -> DataFrame:
     """user, first day, sorted set of logical events, crash flag, first payment method, period.
 
     A null ``canonical`` (unresolved name) does not enter the set.  The set is bounded by the
-    number of logical events, whatever the session's length.
+    number of logical events, whatever the session's length.  A session belongs to one user.
     """
     paid = F.when(F.col("payment_method").isNotNull(),
                   F.struct("event_ts", "payment_method"))
-    rolled = events.groupBy("instance_id", "session_id").agg(
-        F.min("user_id").alias("user_id"),
+    rolled = events.groupBy("instance_id", "session_id", "user_id").agg(
         F.min("event_ts").alias("first_ts"),
         F.array_sort(F.collect_set("canonical")).alias("canon"),
         F.bool_or("is_crash").alias("has_crash"),
@@ -61,13 +60,15 @@ def session_rollup(events: DataFrame, cases: DataFrame) -> DataFrame:
         "period")
 
 
-def bit(vocabulary: Sequence[str], name: str) -> int:
-    return 1 << list(vocabulary).index(name)
+def mask_name(number: int, mask: str = "stage_mask") -> str:
+    """Column of the ``number``-th 62 names of a vocabulary: stage_mask, stage_mask_1, ..."""
+    return mask if number == 0 else f"{mask}_{number}"
 
 
 def holds(name: str, vocabulary: Sequence[str] = STAGES, mask: str = "stage_mask") -> str:
     """SQL condition: does the session's set hold ``name``?"""
-    return f"({mask} & {bit(vocabulary, name)}L) != 0"
+    number, place = divmod(list(vocabulary).index(name), NAMES_PER_MASK)
+    return f"({mask_name(number, mask)} & {1 << place}L) != 0"
 
 
 def has(name: str, vocabulary: Sequence[str] = STAGES, mask: str = "stage_mask") -> Column:
@@ -79,11 +80,35 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _mask_of(vocabulary: Sequence[str]) -> Column:
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"at most {MAX_VOCABULARY} names fit the mask")
-    whens = " ".join(f"WHEN {sql_text(v)} THEN {1 << i}L" for i, v in enumerate(vocabulary))
-    return F.expr(f"CASE canonical {whens} ELSE 0L END")
+def _masks_of(vocabulary: Sequence[str]) -> list[Column]:
+    """One bit mask per 62 names."""
+    out = []
+    for at in range(0, max(1, len(vocabulary)), NAMES_PER_MASK):
+        names = vocabulary[at:at + NAMES_PER_MASK]
+        whens = " ".join(f"WHEN {sql_text(v)} THEN {1 << i}L" for i, v in enumerate(names))
+        out.append(F.expr(f"CASE canonical {whens} ELSE 0L END") if names else F.lit(0).cast("long"))
+    return out
+
+
+def _first_method(methods: Sequence[str]) -> tuple[Column, Column, Column]:
+    """Two aggregates and the first payment method they give: earliest, then alphabetical.
+
+    For the listed methods time and place in the alphabet are packed in one integer.  Any other
+    method stays text; its minimum is taken with its time, and the two are compared at the end.
+    """
+    known = sorted(methods)
+    slots = max(1, len(known))
+    codes = " ".join(f"WHEN {sql_text(m)} THEN {i}L" for i, m in enumerate(known))
+    code = F.expr(f"CASE payment_method {codes} END") if known else F.lit(None).cast("long")
+    packed = wall_micros(F.col("event_ts")) * F.lit(slots) + code
+    other = F.when(F.col("payment_method").isNotNull() & code.isNull(), F.struct(
+        wall_micros(F.col("event_ts")).alias("at"), F.col("payment_method").alias("method")))
+    listed = ", ".join(map(sql_text, known or [""]))
+    method = F.expr(f"element_at(array({listed}), CAST(pmod(packed, {slots}) AS INT) + 1)")
+    first = F.when(F.col("packed").isNotNull(), F.struct(
+        F.floor(F.expr(f"(packed - pmod(packed, {slots})) div {slots}")).alias("at"),
+        method.alias("method")))
+    return F.min(packed).alias("packed"), F.min(other).alias("other"), F.least(first, F.col("other"))
 
 
 def session_flags(
@@ -92,37 +117,32 @@ def session_flags(
     *,
     vocabulary: Sequence[str] = STAGES,
     methods: Sequence[str] = PAYMENT_METHODS,
+    closed: bool = False,
 ) -> DataFrame:
-    """Fixed-width roll-up: ``stage_mask`` instead of the set.
+    """Fixed-width roll-up: bit masks (``stage_mask``, one more per 62 names) instead of the set.
 
     User attributes already on the events are carried along: they depend on the user alone,
     so as extra grouping keys they add no rows and save the join with ``users``.  The first
-    payment method is the minimum of (time, method number) packed in one integer; methods
-    outside ``methods`` read ``other``.  A session belongs to one user.
+    payment method is the earliest, ties going to the alphabet, as in :func:`session_rollup`.
+    ``methods`` are expected ones, which are compared as numbers; any other is kept as well, at
+    the price of a text in the aggregation.  ``closed`` promises that there is no other.
+    A session belongs to one user; where its rows name several, each is a session, in both forms.
     """
     carried = [c for c in USER_ATTRIBUTES if c in events.columns]
-    slots = len(methods) + 1
-    codes = " ".join(f"WHEN {sql_text(m)} THEN {i}L" for i, m in enumerate(methods))
-    code = F.expr(f"CASE payment_method {codes} ELSE {len(methods)}L END")
-    packed = F.when(F.col("payment_method").isNotNull(),
-                    wall_micros(F.col("event_ts")) * F.lit(slots) + code)
-    listed = ", ".join(map(sql_text, [*methods, "other"]))
-    pay_method = F.expr(f"element_at(array({listed}), CAST(pmod(packed, {slots}) AS INT) + 1)")
-
+    packed, other, method = _first_method(methods)
+    masks = [F.bit_or(m).alias(mask_name(i)) for i, m in enumerate(_masks_of(vocabulary))]
+    extra = [] if closed else [other]
     rolled = events.groupBy("instance_id", "session_id", "user_id", *carried).agg(
-        F.min("event_ts").alias("first_ts"),
-        F.bit_or(_mask_of(vocabulary)).alias("stage_mask"),
-        F.bool_or("is_crash").alias("has_crash"),
-        F.min(packed).alias("packed"),
-    )
-    return (
-        _label_period(rolled, cases)
-        .withColumn("pay_method", F.when(F.col("packed").isNotNull(), pay_method))
-        .drop("packed")
-    )
+        F.min("event_ts").alias("first_ts"), *masks, F.bool_or("is_crash").alias("has_crash"),
+        packed, *extra)
+    if closed:
+        rolled = rolled.withColumn("other", F.lit(None).cast("struct<at:bigint,method:string>"))
+    return _label_period(rolled, cases).withColumn("pay_method", method["method"]).drop(
+        "packed", "other")
 
 
 def attach_users(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Look up user attributes per session (after the roll-up, when few rows are left)."""
+    sessions = sessions.drop(*USER_ATTRIBUTES)       # what some events carried gives way
     wanted = small_side(users.select("instance_id", "user_id", *USER_ATTRIBUTES))
     return sessions.join(wanted, ["instance_id", "user_id"], "left")

@@ -31,9 +31,15 @@ def case_volume(events: DataFrame, *, approximate: bool = False) -> DataFrame:
 
 
 def recent_window(events: DataFrame, cases: DataFrame) -> DataFrame:
-    """Events at or after the changepoint, by event time."""
+    """Events at or after the changepoint, by event time.
+
+    The earliest changepoint of all cases bounds the scan: a scalar subquery that reaches the file
+    reader as a filter, beside each case's own bound.
+    """
+    start = F.date_add("base_date", F.col("changepoint_day")).cast("timestamp_ntz")
+    earliest = cases.agg(F.min(start)).scalar()
     return (
-        with_cases(events, cases, "base_date", "changepoint_day")
+        with_cases(events.filter(F.col("event_ts") >= earliest), cases, "base_date", "changepoint_day")
         .filter(is_recent(F.col("event_ts"), F.col("base_date"), F.col("changepoint_day")))
         .drop("base_date", "changepoint_day")
     )

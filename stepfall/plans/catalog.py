@@ -42,7 +42,8 @@ def query(fn: Callable[[ClickWarehouse], DataFrame]) -> Callable:
 
 
 def _flags(w: ClickWarehouse) -> DataFrame:
-    return sessions.session_flags(w.raw_events, w.cases)
+    # the retail view makes up its payment methods, so there are no others
+    return sessions.session_flags(w.raw_events, w.cases, closed=True)
 
 
 def _with_users(w: ClickWarehouse) -> DataFrame:
@@ -79,7 +80,7 @@ def _baseline(w: ClickWarehouse) -> DataFrame:
 
 
 def _scan_hypotheses(w: ClickWarehouse, session_rows: DataFrame) -> DataFrame:
-    return attribution.scan_hypotheses(session_rows, w.cases, min_sessions=20)
+    return attribution.scan_hypotheses(session_rows, w.cases)
 
 
 def _suite(w: ClickWarehouse) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +213,8 @@ def leak_guard(w):
     found = tables.leak_guard(
         raw_events=w.raw_events, events=tables.publish_events(w.raw_events, w.users),
         users=tables.publish_users(w.users))
-    rows = {"raw_events": w.raw_events, "events": w.raw_events, "users": w.user_rows}
+    rows = {"raw_events": w.raw_events, "events": tables.publish_events(w.raw_events, w.users),
+            "users": tables.publish_users(w.users)}
     parts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"),
                     F.lit(",".join(found[name])).alias("forbidden"))
              for name, df in rows.items()]
@@ -367,8 +369,7 @@ def top_suspect(w):
 
 @query
 def naive_funnel(w):
-    names_seen = cut(w.raw_events.select("event_name").distinct())
-    return funnel.naive_funnel(w.raw_events, names=names_seen)
+    return funnel.naive_funnel(w.raw_events)
 
 
 @query
@@ -470,7 +471,30 @@ def best_hypothesis(w):
 
 @query
 def compile_cohort_bulk(w):
-    return cohorts.compile_cohort_bulk(w.user_rows, cohorts.cohort_clauses(_claims(w)))
+    return cohorts.compile_claims(w.user_rows, _claims(w))
+
+
+# Texts as systems write them: grouped ones, one about another table, and no predicates.
+MIXED_CLAIMS = (
+    "(os = 'MACHINERY')", "os == 'BUILDING'", "NOT (os = 'HOUSEHOLD' OR geo = 'ASIA')",
+    "device_age_months BETWEEN 10 AND 20", "os LIKE 'A%' AND device_type NOT IN ('mid')",
+    "geo IS NULL OR is_returning = FALSE", "payment_method = 'upi'", "all users", "os = 'X' AND", "")
+
+
+def _mixed_claims(w: ClickWarehouse) -> DataFrame:
+    texts = F.explode(F.array(*map(F.lit, MIXED_CLAIMS)))
+    return w.user_rows.select("instance_id").distinct().select(
+        "instance_id", texts.alias("predicate")).withColumn("claim_id", F.col("predicate"))
+
+
+@query
+def score_mixed_claims(w):
+    return score.score_claims(_mixed_claims(w), w.user_rows, _planted(w))
+
+
+@query
+def compile_mixed_claims(w):
+    return cohorts.compile_claims(w.user_rows, _mixed_claims(w))
 
 
 @query
@@ -548,7 +572,7 @@ def severity_scan(w):
 
 @query
 def severity_scan_pairs(w):
-    return severity.severity_scan(_with_users(w), pairs=True, min_sessions=5)
+    return severity.severity_scan(_with_users(w), pairs=True)
 
 
 @query
@@ -638,10 +662,10 @@ def label_agreement(w):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-def _bm25(w: ClickWarehouse) -> DataFrame:
+def _bm25(w: ClickWarehouse, **weights: float) -> DataFrame:
     return retrieval.bm25_topk(
         w.table("documents").select("doc_id", "text"),
-        w.table("benchmark").select(F.col("item_id").alias("query_id"), "text"))
+        w.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), **weights)
 
 
 def _dense(w: ClickWarehouse) -> DataFrame:
@@ -672,7 +696,8 @@ def dense_topk(w):
 
 @query
 def hybrid_topk(w):
-    return _shown(retrieval.fused_topk([_bm25(w), _dense(w)]))
+    """Two rankings of the same documents: as usual, and with length counting for nothing."""
+    return _shown(retrieval.fused_topk([_bm25(w), _bm25(w, k1=0.4, b=0.0)]))
 
 
 # --- the larger order-line stream ---------------------------------------------------------
@@ -684,13 +709,13 @@ def _orders(fn: Callable[[OrderWarehouse], DataFrame]) -> Callable:
 
 @_orders
 def order_severity_scan(w):
-    flags = sessions.session_flags(w.raw_events, w.cases)
+    flags = sessions.session_flags(w.raw_events, w.cases, closed=True)
     return severity.severity_scan(sessions.attach_users(flags, w.user_rows))
 
 
 @_orders
 def order_funnel_report(w):
-    return funnel.funnel_report(sessions.session_flags(w.raw_events, w.cases))
+    return funnel.funnel_report(sessions.session_flags(w.raw_events, w.cases, closed=True))
 
 
 @_orders

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ from stepfall.operators import answers as A
 from stepfall.operators import detect, funnel, score, sessions, symptoms
 from stepfall.plans.attribution import all_systems
 from stepfall.plans.materialize import cut
+from stepfall.session import tune
 from stepfall.sources import tables
 
 
@@ -32,6 +34,7 @@ def publish_cases(
     ``events`` carry ``canonical``, ``users`` may carry ``persona``; ``answers`` say per case
     what was planted.  Public tables pass the column guard before anything is written.
     """
+    tune(events.sparkSession, events)
     tables.publish_events(events, users), tables.publish_users(users)      # refuse early
     rows = cut(sessions.attach_users(sessions.session_flags(
         events.drop(*K.USER_ATTRIBUTES), cases), users))
@@ -40,25 +43,34 @@ def publish_cases(
     index = A.answer_index(gold, users, planted)
 
     tables.write_public(events, users, public_root)
-    tables.write_records(A.public_index(cases), f"{public_root}/index")
-    tables.write_records(A.task_records(cases), f"{public_root}/tasks")
+    tables.write_records_by_case(A.public_index(cases), f"{public_root}/index")
+    tables.write_records_by_case(A.task_records(cases), f"{public_root}/tasks")
     tables.write_gold_users(planted, restricted_root)
-    tables.write_records(gold, f"{restricted_root}/gold")
-    tables.write_records(index, f"{restricted_root}/index")
+    tables.write_records_by_case(gold, f"{restricted_root}/gold")
+    tables.write_records_by_case(index, f"{restricted_root}/index")
     if "persona" in users.columns:
         tables.write_personas(users, restricted_root)
     return index
 
 
+class SuiteRun(NamedTuple):
+    hypotheses: DataFrame
+    scores: DataFrame
+    summary: DataFrame
+    rejects: DataFrame
+
+
 def run_suite(
     spark: SparkSession, public_root: str, cases: DataFrame, gold: DataFrame,
     planted: DataFrame, *, systems: Sequence[str] = ("baseline",),
     submitted: Mapping[str, DataFrame] | None = None, only: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Run registered detectors on stored cases and score them; (hypotheses, scores, summary).
+) -> SuiteRun:
+    """Run registered detectors on stored cases and score them.
 
     ``submitted`` adds hypotheses that other systems wrote; ``only`` limits the cases.  Every
-    system answers for every case, also where it returned nothing.
+    system answers for every case, also where it returned nothing.  Hypotheses outside the closed
+    set of mechanisms or with an impossible confidence are kept apart as rejects; the others of
+    a run keep their order and close the gap in the ranks.
     """
     events = tables.read_table(spark, public_root, "events", only)
     users = tables.read_table(spark, public_root, "users", only)
@@ -66,7 +78,9 @@ def run_suite(
         cases = cases.filter(cases["instance_id"].isin(*only))
     answers = {name: detect.DETECTORS[name](events, users, cases) for name in systems}
     answers.update(submitted or {})
-    hypotheses = cut(detect.valid_hypotheses(all_systems(answers))[0])
+    tune(spark, events)
+    valid, invalid = detect.valid_hypotheses(cut(all_systems(answers)))
+    hypotheses = cut(detect.closed_ranks(valid))
     runs = score.runs_of(list(answers), cases)
     scores = cut(score.score_cases(hypotheses, gold, planted, users, runs=runs))
-    return hypotheses, scores, score.suite_summary(scores)
+    return SuiteRun(hypotheses, scores, score.suite_summary(scores), invalid)

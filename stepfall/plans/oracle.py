@@ -121,11 +121,11 @@ _RATES = """SELECT *, 100.0 * CASE WHEN to_stage = 'crash' THEN rate_post - rate
                CAST(k_post AS DOUBLE) / nullif(n_post, 0) AS rate_post FROM ({counts}))"""
 
 
-def _scan(table: str = "attrs", least: int = 0) -> str:
+def _scan(table: str = "attrs") -> str:
     rated = _RATES.format(counts=_counts(table, "instance_id, attr, value"))
     return f"""SELECT *, CAST(row_number() OVER (PARTITION BY instance_id
       ORDER BY delta_pp DESC NULLS LAST, attr, value, from_stage) AS INTEGER) AS rnk
-    FROM ({rated}) WHERE n_pre >= {least} AND n_post >= {least}"""
+    FROM ({rated})"""
 
 
 def _severity(cohort: str, label: str, step: tuple[str, str] | None) -> str:
@@ -188,7 +188,7 @@ base_h AS (
   UNION ALL
   SELECT 'baseline', instance_id, 1, 'innocent_dropoff', NULL, NULL, CAST(0.4 AS DOUBLE)
   FROM cases WHERE instance_id NOT IN (SELECT instance_id FROM found)),
-scan_rows AS ({_scan(least=20)}),
+scan_rows AS ({_scan()}),
 scan_named AS (
   SELECT *, CASE WHEN to_stage = 'crash' THEN 'crash_concentration'
       WHEN from_stage = 'product_browse' THEN 'dead_screen'
@@ -629,6 +629,23 @@ _add("scan_hypotheses", _RANKED.format("scan"), _SYSTEMS)
 _add("best_hypothesis", """SELECT system, instance_id, CAST(rank AS INTEGER) AS rank,
   mechanism_type, affected_cohort, ok, precision, recall, f1 FROM best""", _JUDGED)
 _add("compile_cohort_bulk", "SELECT claim_id, instance_id, user_id FROM claimed", _CLAIMS)
+_MIXED = """, mixed(claim_id) AS (VALUES ('(os = ''MACHINERY'')'), ('os == ''BUILDING'''),
+  ('NOT (os = ''HOUSEHOLD'' OR geo = ''ASIA'')'), ('device_age_months BETWEEN 10 AND 20'),
+  ('os LIKE ''A%'' AND device_type NOT IN (''mid'')'), ('geo IS NULL OR is_returning = FALSE'),
+  ('payment_method = ''upi'''), ('all users'), ('os = ''X'' AND'), ('')),
+claims AS (SELECT instance_id, claim_id FROM (SELECT DISTINCT instance_id FROM usr), mixed),
+claimed AS (
+  SELECT claim_id, c.instance_id, user_id FROM claims c JOIN usr u USING (instance_id)
+  WHERE CASE claim_id WHEN '(os = ''MACHINERY'')' THEN os = 'MACHINERY'
+    WHEN 'os == ''BUILDING''' THEN os = 'BUILDING'
+    WHEN 'NOT (os = ''HOUSEHOLD'' OR geo = ''ASIA'')' THEN NOT (os = 'HOUSEHOLD' OR geo = 'ASIA')
+    WHEN 'device_age_months BETWEEN 10 AND 20' THEN device_age_months BETWEEN 10 AND 20
+    WHEN 'os LIKE ''A%'' AND device_type NOT IN (''mid'')' THEN os LIKE 'A%' AND device_type <> 'mid'
+    WHEN 'geo IS NULL OR is_returning = FALSE' THEN geo IS NULL OR NOT is_returning
+    ELSE false END)
+"""
+_add("compile_mixed_claims", "SELECT claim_id, instance_id, user_id FROM claimed", _MIXED)
+_add("score_mixed_claims", SQL["cohort_prf"].removeprefix(BASE + _CLAIMS), _MIXED)
 _add("cohort_clauses", """
 SELECT instance_id, claim_id, 0 AS disjunct_id, 0 AS clause_id, 'os' AS column,
   CASE shape WHEN 'both' THEN 'eq' ELSE 'in' END AS op, os AS str_value,
@@ -679,7 +696,7 @@ _add("resolution_pr", """SELECT count(*) AS n_names, count(logical_key) AS n_res
 _add("funnel_report", _funnel("instance_id, period", "sess"))
 _add("funnel_by_segment", _funnel("instance_id, device_type, period", "su"))
 _add("severity_scan", _scan())
-_add("severity_scan_pairs", _scan("both_attrs", 5), """, both_attrs AS (
+_add("severity_scan_pairs", _scan("both_attrs"), """, both_attrs AS (
   SELECT * FROM attrs UNION ALL BY NAME
   SELECT s.*, attr, value FROM su s, LATERAL (VALUES
     ('os&device_type', os || '&' || device_type),
@@ -807,16 +824,22 @@ found AS (SELECT doc_id, dl, term, count(*) AS tf FROM (
     SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM docs)
   WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
 weights AS (SELECT term, ln((n_docs - n + 0.5) / (n + 0.5)) AS w FROM (
-  SELECT term, count(*) AS n FROM found GROUP BY 1), size),
-bm25 AS (
+  SELECT term, count(*) AS n FROM found GROUP BY 1), size)"""
+
+
+def _bm25_ranks(name: str, k1: float, b: float) -> str:
+    return f""",
+{name} AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)
     AS rank FROM (
     SELECT query_id, doc_id,
-      sum(w * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE)
-          + CAST(0.75 AS DOUBLE) * dl / mean))) AS score
+      sum(w * tf * CAST({k1 + 1} AS DOUBLE) / (tf + CAST({k1} AS DOUBLE) * (
+          CAST({1 - b} AS DOUBLE) + CAST({b} AS DOUBLE) * dl / mean))) AS score
     FROM found JOIN asked USING (term) JOIN weights USING (term), size
     WHERE w > 0 GROUP BY 1, 2)
   QUALIFY rank <= 10)"""
+
+
 _DENSE = """
 mean AS (SELECT label, list(x ORDER BY i) AS v FROM (
   SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
@@ -832,14 +855,15 @@ dense AS (
 _RANKS = """
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank,
   round(round(score, 9), 6) AS score FROM {}"""
-SQL["bm25_topk"] = "WITH" + _BM25 + _RANKS.format("bm25")
+SQL["bm25_topk"] = "WITH" + _BM25 + _bm25_ranks("bm25", 1.2, 0.75) + _RANKS.format("bm25")
 SQL["dense_topk"] = "WITH" + _DENSE + _RANKS.format("dense")
-SQL["hybrid_topk"] = "WITH" + _BM25 + "," + _DENSE + _RANKS.format("""(
+SQL["hybrid_topk"] = "WITH" + _BM25 + _bm25_ranks("bm25", 1.2, 0.75) + _bm25_ranks(
+    "flat", 0.4, 0.0) + _RANKS.format("""(
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)
     AS rank FROM (
     SELECT query_id, doc_id, sum(CAST(1 AS DOUBLE) / (rank + 60)) AS score
     FROM (SELECT query_id, doc_id, rank FROM bm25 UNION ALL
-          SELECT query_id, doc_id, rank FROM dense) GROUP BY 1, 2) QUALIFY rank <= 10)""")
+          SELECT query_id, doc_id, rank FROM flat) GROUP BY 1, 2) QUALIFY rank <= 10)""")
 _add("order_severity_scan", _scan(), base=ORDERS)
 _add("order_funnel_report", _funnel("instance_id, period", "sess"), base=ORDERS)
 _add("order_symptom_by_os", """SELECT instance_id, os,

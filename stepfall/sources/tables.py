@@ -39,9 +39,33 @@ def scan_case(events: DataFrame) -> DataFrame:
         F.max("event_ts").alias("last_ts"))
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """All answer records of a directory (one JSON object per file or per line)."""
-    return spark.read.schema(schemas.GOLD).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: T.StructType, whole_files: bool) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", whole_files).json(path)
+
+
+def read_gold(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
+    """All answer records of a directory: JSON lines, by case or not.
+
+    ``whole_files`` is for sets of files with one (pretty-printed) object each.
+    """
+    return _json(spark, path, schemas.GOLD, whole_files)
+
+
+def read_gold_headers(spark: SparkSession, root: str) -> DataFrame:
+    """The answer records that :func:`write_records_by_case` stored under ``gold``."""
+    return spark.read.json(f"{root}/gold")
+
+
+def read_gold_users(spark: SparkSession, root: str) -> DataFrame:
+    """The answer ids of all published cases."""
+    return spark.read.parquet(f"{root}/gold_users")
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """The stored index of published cases (public or restricted, by the root)."""
+    index = spark.read.json(f"{root}/index")
+    return index.withColumn("base_date", F.to_date("base_date")) if (
+        "base_date" in index.columns) else index
 
 
 def gold_users(gold: DataFrame) -> DataFrame:
@@ -49,8 +73,9 @@ def gold_users(gold: DataFrame) -> DataFrame:
     return gold.select(CASE, F.explode("affected_user_ids").alias("user_id"))
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TASK).option("multiLine", True).json(path)
+def read_tasks(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
+    """Task records, JSON lines by default (see :func:`read_gold`)."""
+    return _json(spark, path, schemas.TASK, whole_files)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -116,16 +141,20 @@ def leak_guard(**tables: DataFrame) -> dict[str, list[str]]:
 
 # --- writers ------------------------------------------------------------------------------
 
-def _write_by_case(df: DataFrame, path: str) -> None:
+def _write_by_case(df: DataFrame, path: str, *order: str) -> None:
     # "rebalance" gathers a case into few files and splits a case that is too large for one
-    (df.hint("rebalance", CASE).write.mode("overwrite")
+    rows = df.hint("rebalance", CASE)
+    if order:
+        # rows in time order: row groups then have narrow ranges, which a time filter skips
+        rows = df.repartitionByRange(CASE, *order).sortWithinPartitions(CASE, *order)
+    (rows.write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(CASE).parquet(path))
 
 
 def write_public(events: DataFrame, users: DataFrame, root: str) -> None:
     """Write the public ``events`` and ``users`` of the cases at hand, after the guard."""
     public_events, public_users = publish_events(events, users), publish_users(users)
-    _write_by_case(public_events, f"{root}/events")
+    _write_by_case(public_events, f"{root}/events", "event_ts")
     _write_by_case(public_users, f"{root}/users")
 
 
@@ -147,10 +176,18 @@ def write_gold_users(planted: DataFrame, root: str) -> None:
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """JSON lines: gold headers, tasks, indexes, dictionary."""
+    """JSON lines of a table that is replaced as a whole, such as the dictionary."""
     df.write.mode("overwrite").json(path)
 
 
+def write_records_by_case(df: DataFrame, path: str) -> None:
+    """JSON lines by case: gold headers, tasks and indexes; other cases keep what they have."""
+    if df.columns == [CASE]:                 # a file must hold something beside the case
+        df = df.withColumn("published", F.lit(True))
+    (df.hint("rebalance", CASE).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(CASE).json(path))
+
+
 def write_map(mapping: DataFrame, root: str) -> None:
     mapping.select("event_name", "canonical").write.mode("overwrite").parquet(
         f"{root}/canonical_map")

@@ -194,11 +194,26 @@ def test_an_empty_list_still_scores(spark, scoring):
     assert (b.top1_correct, b.false_positive) == (False, False)
 
 
-def test_nested_predicates_must_be_listed(spark, scoring):
-    text = "NOT (os = 'Y')"
-    with pytest.raises(Exception, match="nested"):
-        scored(spark, scoring, [("m", "a", 1, RIGHT, text)])
-    assert scored(spark, scoring, [("m", "a", 1, RIGHT, text)], nested=[text])[("m", "a")].cohort_f1 == 1.0
+@pytest.mark.parametrize("text,f1", [
+    ("NOT (os = 'Y')", 1.0), ("(os = 'X')", 1.0), ("os == 'X'", 1.0), ("os LIKE 'X%'", 1.0),
+    ("os BETWEEN 'X' AND 'X'", 1.0), ("os NOT IN ('Y')", 1.0), ("payment_method = 'upi'", 0.0),
+    ("all users", 0.0), ("os = 'X' AND", 0.0), ("os = ('X'", 0.0), ("NOT", 0.0), ("os IN ()", 0.0),
+    ("'X'", 0.0), ("os = 'X'; DROP TABLE users", 0.0)])
+def test_any_text_scores(spark, scoring, text, f1):
+    got = scored(spark, scoring, [("m", "a", 1, RIGHT, text)])
+    assert len(got) == 1 and got[("m", "a")].cohort_f1 == f1
+
+
+def test_many_grouped_texts_share_plans(spark, scoring, monkeypatch):
+    monkeypatch.setattr(cohorts, "TEXTS_PER_PLAN", 3)
+    users, _, _ = scoring
+    texts = [f"(os = 'X') AND device_age_months BETWEEN {i} AND 99" for i in range(8)]
+    claims = spark.createDataFrame([("a", t, t) for t in texts], "instance_id string, claim_id string, predicate string")
+    plans = cohorts.grouped_matches(users, claims)
+    assert len(plans) == 3
+    got = cohorts.compile_claims(users, claims).groupBy("claim_id").count().collect()
+    one = {t: cohorts.compile_cohort(users.filter("instance_id = 'a'"), t).count() for t in texts}
+    assert {r.claim_id: r["count"] for r in got} == {t: n for t, n in one.items() if n}
 
 
 def test_suite_views(spark, scoring, cases):

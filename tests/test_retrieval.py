@@ -36,7 +36,7 @@ def test_bm25_equals_brute_force(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 7] == [1, 2]
 
 
-def test_cosine_order_ties_and_bound(spark):
+def test_cosine_order_and_ties(spark):
     docs = spark.createDataFrame(
         [(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0])],
         "doc_id int, vector array<float>")
@@ -44,8 +44,32 @@ def test_cosine_order_ties_and_bound(spark):
                                     "query_id int, vector array<double>")
     got = retrieval.dense_topk(docs, queries, k=3)
     assert rows(got, "query_id", "rank", "doc_id")[:3] == [(1, 1, 1), (1, 2, 3), (1, 3, 2)]
-    with pytest.raises(Exception, match="more than 1 query"):
-        retrieval.dense_topk(docs, queries, max_queries=1).collect()
+
+
+def test_many_query_vectors(spark, monkeypatch):
+    """1,500 queries in blocks over a corpus in shares, against plain products."""
+    import numpy as np
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 400)
+    monkeypatch.setattr(retrieval, "CORPUS_ROWS", 50)
+    rng = np.random.default_rng(1)
+    corpus, asked = rng.normal(size=(900, 6)), rng.normal(size=(1500, 6))
+    table = lambda x, name: spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], f"{name} int, vector array<double>").repartition(3)
+    got = retrieval.dense_topk(table(corpus, "doc_id"), table(asked, "query_id"), k=4).collect()
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit(asked) @ unit(corpus).T, 9)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :4]
+    assert len(got) == 6000
+    for r in got:
+        assert best[r.query_id, r.rank - 1] == r.doc_id
+        assert r.score == pytest.approx(scores[r.query_id, r.doc_id], abs=2e-9)
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "doc_id int, vector array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    assert retrieval.dense_topk(none, one).count() == 0
+    assert retrieval.dense_topk(one.withColumnRenamed("query_id", "doc_id"), one.limit(0)).count() == 0
 
 
 def test_fusion(spark):

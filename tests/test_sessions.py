@@ -1,6 +1,9 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from conftest import rows
 
+from stepfall.constants import STAGES
 from stepfall.operators import funnel, sessions, severity
 
 BROWSE, DETAIL = "product_browse", "product_detail_view"
@@ -27,7 +30,7 @@ def test_first_payment_method_skips_nulls(make_events, cases):
     assert rows(sessions.session_rollup(events, cases), "session_id", "pay_method") == [
         ("s1", "upi"), ("s2", None), ("s3", "voucher")]
     assert rows(sessions.session_flags(events, cases), "session_id", "pay_method") == [
-        ("s1", "upi"), ("s2", None), ("s3", "other")]
+        ("s1", "upi"), ("s2", None), ("s3", "voucher")]
 
 
 def test_unresolved_names_leave_the_set(make_events, cases):
@@ -115,10 +118,38 @@ def test_a_session_name_with_quotes_survives(make_events, cases):
     assert rows(flags, "stage_mask") == [(2,)]
 
 
-def test_mask_refuses_too_many_names(make_events, cases):
-    with pytest.raises(ValueError):
-        sessions.session_flags(make_events([("s", "u", "1 1:00", "x")]), cases,
-                               vocabulary=[f"n{i}" for i in range(70)])
+def test_masks_hold_any_number_of_names(make_events, cases):
+    names = [f"n{i}" for i in range(140)]
+    events = make_events([("s", "u", "1 1:00", "n3"), ("s", "u", "1 1:01", "n69"),
+                          ("s", "u", "1 1:02", "n139")])
+    flags = sessions.session_flags(events, cases, vocabulary=names)
+    held = flags.select(*(sessions.has(n, names).alias(n) for n in names)).collect()[0].asDict()
+    assert [n for n, yes in held.items() if yes] == ["n3", "n69", "n139"]
+
+
+PAYS = ["card", "upi", "wallet", "cod", "netbanking", "Voucher", None]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["u1", "u2", None]), st.integers(0, 2),
+                          st.sampled_from(STAGES), st.sampled_from(PAYS)), min_size=1, max_size=25),
+       st.sampled_from([(), ("card", "upi"), ("upi", "netbanking", "card", "cod", "wallet", "Voucher")]))
+def test_both_roll_ups_follow_one_rule(make_events, cases, drawn, methods):
+    """Ties in time, methods that nobody listed, null users."""
+    events = make_events([(f"s{s}", u, f"1 10:0{m}", name, {"pay": pay})
+                          for s, u, m, name, pay in drawn])
+    shared = ("session_id", "user_id", "day", "has_crash", "pay_method", "period")
+    flags = sessions.session_flags(events, cases, methods=methods)
+    assert rows(sessions.session_rollup(events, cases), *shared) == rows(flags, *shared)
+    if len(methods) > 5:
+        closed = sessions.session_flags(events, cases, methods=methods, closed=True)
+        assert rows(closed, *shared) == rows(flags, *shared)
+
+
+def test_attributes_on_events_give_way_to_users(make_events, make_users, cases):
+    events = make_events([("s", "u1", "1 1:00", "app_open", {"os": "old"})])
+    got = sessions.attach_users(sessions.session_flags(events, cases), make_users([("u1", {"os": "new"})]))
+    assert got.columns.count("os") == 1 and rows(got, "os", "geo") == [("new", "G")]
 
 
 def test_one_huge_session_equals_many_small_ones(spark, make_events, cases):

@@ -65,7 +65,7 @@ def test_answer_files(spark, tmp_path):
             {"instance_id": f"c{i}", "has_fault": i == 1, "fault_type": "dead_screen",
              "affected_user_ids": ["u1", "u2"] if i == 1 else [], "severity_pp_target": 8.0,
              "persona_mix": {"a": 0.5}}, indent=2))
-    gold = tables.read_gold(spark, str(tmp_path))
+    gold = tables.read_gold(spark, str(tmp_path), whole_files=True)
     assert rows(gold, "instance_id", "has_fault") == [("c1", True), ("c2", False)]
     assert rows(tables.gold_users(gold), "user_id") == [("u1",), ("u2",)]
 
