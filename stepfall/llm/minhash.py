@@ -7,9 +7,11 @@ small key from either collection.  So ``half * half`` table keys of ``2 * rows``
 Classes that share a table key are candidates.  In every key the least class is compared with the
 others, on full shingle sets, and linked ones form components.  Keys whose classes then lie in several
 components are looked at again: blocks of their classes are compared across components by their
-minhashes, and every pair within ``SLACK`` standard errors of the threshold is confirmed on full sets.
-So a link is lost only if no table key is shared (with 9 and 3: 0.6 % at a similarity of exactly
-0.8, 0.1 % at 0.85), and no key's classes are gathered or written out as pairs.
+minhashes, and components with pairs within ``SLACK`` standard errors of the threshold form
+families.  In blocks of a family such pairs are confirmed on full sets until they connect what can be
+connected.  So a link is lost only if no table key is shared (with 9 and 3: 0.6 % at a similarity of
+exactly 0.8, 0.1 % at 0.85) or the minhashes are off by more; no key's classes are gathered in
+one place or written out as pairs.
 
 Words are separated by ASCII white space, letters A to Z count as small ones; fewer words than a shingle
 are one shingle.  Cases: documents without words have no shingles and no links; repeated rows are
@@ -31,8 +33,9 @@ from stepfall.llm import paths
 from stepfall.llm.components import components
 from stepfall.plans.materialize import cut
 
-SLACK = 3.5
-BLOCK = 512                  # classes of one key that are compared with each other in one go
+SLACK = 3.0
+KEY_BLOCK = 2048             # classes of a key whose minhashes are compared with each other in one go
+BLOCK = 512                  # classes of a family whose full sets are
 
 
 @dataclass(frozen=True)
@@ -214,63 +217,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(b: Banding):
-    """Blocks of a key's classes: similar pairs from different components."""
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Rows of a sorted stream by group; callers deal groups of bounded size."""
+    held: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and any(r[n] != held[0][n] for n in names):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+class Block:
+    """Classes that are compared with each other: all, or those of two sides."""
+
+    def __init__(self, b: Banding, rows: list[dict]) -> None:
+        self.cls = np.array([r["cls"] for r in rows])
+        self.root = np.array([r["root"] for r in rows])
+        side = np.array([r["side"] for r in rows])
+        self.table = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint32).reshape(
+            len(rows), b.hashes)
+        self.left, self.right, self.least = (
+            np.flatnonzero(side != 1), np.flatnonzero(side != 0), b.least_equal)
+        self.up: dict[int, int] = {}
+
+    def top(self, root: int) -> int:
+        while self.up.get(root, root) != root:
+            root = self.up[root]
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.top(a), self.top(b)))
+        self.up[b] = a
+
+    def near(self, i: int) -> np.ndarray:
+        """Members on the other side, of other components, whose minhashes agree often enough."""
+        other = self.right[self.root[self.right] != self.root[i]]
+        return other[(self.table[other] == self.table[i]).sum(axis=1) >= self.least]
+
+
+def _active(b: Banding):
+    """Blocks of a key: classes near one of another component, and a component they hang together with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def pairs() -> pa.RecordBatch | None:
-            cls = np.array([r["cls"] for r in held])
-            root = np.array([r["root"] for r in held])
-            side = np.array([r["side"] for r in held])
-            table = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint32)
-            table = table.reshape(len(held), b.hashes)
-            out = []
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            for i in left:
-                other = right[root[right] != root[i]]
-                equal = (table[other] == table[i]).sum(axis=1)
-                near = other[equal >= b.least_equal]
+        for rows in _groups(batches, ("key", "x", "y")):
+            block, active = Block(b, rows), set()
+            keys, key = table_keys(b, block.table), rows[0]["key"]
+            for i in block.left.tolist():
+                near = block.near(i)
+                if len(near):                    # the first key that a pair shares speaks for it
+                    near = near[keys[i][(keys[near] == keys[i]).argmax(axis=1)] == key]
                 if len(near):
-                    out.append(np.stack((np.minimum(cls[near], cls[i]), np.maximum(cls[near], cls[i]))))
-            if not out:
-                return None
-            a, c = np.unique(np.concatenate(out, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+                    active.update([i, *near.tolist()])
+                    for r in set(block.root[near].tolist()):
+                        block.join(int(block.root[i]), r)
+            if active:
+                at = sorted(active)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.cls[at]), pa.array(block.root[at]),
+                     pa.array([block.top(r) for r in block.root[at].tolist()], pa.int64())],
+                    names=["cls", "root", "hub"])
+    return run
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["key"], r["x"], r["y"]) != (held[0]["key"], held[0]["x"], held[0]["y"]):
-                    found = pairs()
-                    if found is not None:
-                        yield found
-                    held = []
-                held.append(r)
-        if held:
-            found = pairs()
-            if found is not None:
-                yield found
+
+def _links_across(b: Banding):
+    """Blocks of a family: links between components, confirmed on full sets, as many as connect them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("family", "x", "y")):
+            block = Block(b, rows)
+            sets: dict[int, set] = {}
+
+            def full(i: int) -> set:
+                if i not in sets:
+                    sets[i] = set(np.frombuffer(rows[i]["shingles"], np.uint64).tolist())
+                return sets[i]
+
+            links = []
+            for i in block.left.tolist():
+                for j in block.near(i).tolist():
+                    if block.top(int(block.root[i])) == block.top(int(block.root[j])):
+                        continue
+                    common = len(full(i) & full(j))
+                    if 100 * common >= b.percent * (len(full(i)) + len(full(j)) - common):
+                        block.join(int(block.root[i]), int(block.root[j]))
+                        links.append((int(block.cls[i]), int(block.cls[j])))
+            if links:
+                x, y = zip(*links)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
     return run
 
 
-def _cross_pairs(members: DataFrame, roots: DataFrame, classes: DataFrame, b: Banding) -> DataFrame:
-    """Candidate pairs of keys whose classes lie in several components, compared by blocks."""
-    placed = members.select("key", "cls").join(
-        roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
-        "root", F.coalesce("root", "cls"))
-    several = placed.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(
-        "low <> high").select("key", (F.ceil(F.col("size") / BLOCK)).alias("blocks"))
-    salt = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    rows = placed.join(several, "key").withColumn("block", salt)
+def _dealt(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """Rows (group, cls, root) dealt to pairs of blocks of their group: ``x, y, side``."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / most).alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     # block pairs (x, y) with x <= y; a class is on the first side where its block is x
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("block", o).alias("x"), F.greatest("block", o).alias("y"),
         F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))
-    dealt = rows.withColumn("p", F.explode(pairs)).select("key", "cls", "root", "p.*").join(
-        classes.select("cls", "sketch"), "cls")
-    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(
-        _across(b), "a long, b long").distinct()
+    return rows.join(sizes, group).withColumn("block", block).withColumn(
+        "p", F.explode(pairs)).select(group, "cls", "root", "p.*")
+
+
+def _late_links(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame,
+                b: Banding) -> DataFrame:
+    """Links between components that share a key."""
+    placed = members.select("key", "cls").join(
+        roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
+        "root", F.coalesce("root", "cls"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        .filter("low <> high").select("key")
+    sketches = classes.select("cls", "sketch")
+    active = cut(_dealt(placed.join(several, "key"), "key", KEY_BLOCK).join(sketches, "cls")
+                 .repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+                 .mapInArrow(_active(b), "cls long, root long, hub long").distinct())
+    families = components(active.select(F.col("root").alias("a"), F.col("hub").alias("b"))).select(
+        F.col("node").alias("root"), F.col("root").alias("family"))
+    grouped = active.select("cls", "root").distinct().join(families, "root")
+    return _dealt(grouped, "family", BLOCK).join(sketches, "cls").join(sets, "cls").repartition(
+        "family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(
+        _links_across(b), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
@@ -289,12 +357,11 @@ def near_duplicates(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
     sets = cut(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select(texts["text"])
                .mapInArrow(_full_sets(b), "cls long, shingles binary")
                .groupBy("cls").agg(F.min(F.struct("shingles")).alias("s")).select("cls", "s.shingles"))
-    star = cut(members.filter("cls <> least").select(
+    star = (members.filter("cls <> least").select(
         F.col("least").alias("a"), F.col("cls").alias("b")).distinct())
     links = cut(confirmed(star, sets, b.percent))
     roots = components(links)
-    more = _cross_pairs(members, roots, classes, b).join(star, ["a", "b"], "left_anti")
-    late = cut(confirmed(more, sets, b.percent))
+    late = cut(_late_links(members, roots, classes, sets, b))
     if not late.isEmpty():
         roots = components(links.unionByName(late))
     placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(

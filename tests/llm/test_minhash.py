@@ -67,6 +67,7 @@ def test_against_all_pairs(spark, make_docs, seed, k):  # noqa: F811
 def test_blocks_and_chains(spark, make_docs, monkeypatch):  # noqa: F811
     """A chain of edits, each near the next one only, in blocks of four classes."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", 5)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(200)]
     rows = []
