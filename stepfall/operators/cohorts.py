@@ -254,17 +254,25 @@ def match_profiles(profiles: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
-    """User ids of every claim: matched combinations joined back to users (null-safe)."""
+    """User ids of every claim.
+
+    Claims meet the folded profiles; the profiles that a claim selects are then looked up by users,
+    who are read once for that and move by their whole attribute combination.
+    """
     claim = [*(["instance_id"] if "instance_id" in clauses.columns else []), "claim_id"]
-    matched = match_profiles(attribute_profiles(users), clauses)
+    profiles = attribute_profiles(users)
+    matched = match_profiles(profiles, clauses)
     right = matched.select("claim_id", *(
         F.col(c).alias(f"m_{c}") for c in ("instance_id", "colset", *ATTRS)))
     same = (F.col("instance_id") == F.col("m_instance_id")) & (
         F.col("colset") == F.col("m_colset"))
     for name in ATTRS:
         same = same & F.col(name).eqNullSafe(F.col(f"m_{name}"))
-    spread = _per_column_set(users, _sized(clauses, claim), USER)
-    return spread.join(right, same).select("claim_id", *USER)
+    whole = F.struct(*ATTRS).alias("whole")
+    spread = _per_column_set(profiles.withColumn("whole", whole), _sized(clauses, claim),
+                             ["instance_id", "whole"])
+    chosen = spread.join(right, same).select("claim_id", "instance_id", "whole")
+    return users.select(*USER, whole).join(chosen, ["instance_id", "whole"]).select("claim_id", *USER)
 
 
 TEXTS_PER_PLAN = 40
