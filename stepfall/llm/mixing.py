@@ -31,7 +31,7 @@ from stepfall.plans.materialize import cut
 WEIGHTS = (5, 2, 1)          # by source in code point order, repeating
 MAX_COPIES = 3
 CELLS = 2048
-ROUNDS = 4
+ROUNDS = 3
 
 
 @dataclass
@@ -80,20 +80,21 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def _ranked(rows: DataFrame, seed: int, max_copies: int) -> DataFrame:
-    """Adds whole copies, inclusion probability and rank position in (0, 1) to rows with a plan."""
-    expected = F.when(F.col("pref") > 0, F.col("target") * F.col("preference") / F.col("pref")) \
-        .otherwise(F.lit(0.0))
-    expected = F.least(expected, F.lit(float(max_copies)))
-    near = F.round(expected)
-    expected = F.when(F.abs(expected - near) < 1e-9, near).otherwise(expected)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 11) + F.lit(0.5)) \
-        / F.lit(float(1 << 53))
-    q = u / (1 - u) * (1 - F.col("p")) / F.col("p")
-    place = q / (1 + q) * CELLS
-    return (rows.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.floor(expected))
-            .withColumn("place", F.when(F.col("p") > 0, place))
-            .withColumn("c1", F.floor("place")).withColumn(
-                "c2", F.floor((F.col("place") - F.col("c1")) * CELLS)))
+    """Adds whole copies, inclusion probability and place in the ranking to rows with a plan.
+
+    The place is a number in (0, CELLS) that rises with the random odds divided by the inclusion odds.
+    """
+    share = F.col("target") * F.col("preference") / F.col("pref")
+    expected = F.least(F.coalesce(share, F.lit(0.0)), F.lit(float(max_copies)))
+    near = F.round("e")
+    odds = F.col("u") * (1 - F.col("p"))
+    return (rows.withColumn("e", F.when(F.col("pref") > 0, expected).otherwise(0.0))
+            .withColumn("e", F.when(F.abs(F.col("e") - near) < 1e-9, near).otherwise(F.col("e")))
+            .withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole"))
+            .withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 11)
+                              + F.lit(0.5)) / F.lit(float(1 << 53)))
+            .withColumn("place", F.when(F.col("p") > 0, odds / (
+                odds + F.col("p") * (1 - F.col("u"))) * CELLS)).drop("e", "u"))
 
 
 def _first_over(rows: DataFrame, by: list[str], cell: str) -> DataFrame:
@@ -118,7 +119,8 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     rows = _ranked(sized.withColumn("key", _key(F.col("source"))).join(
         sources.drop("source"), "key"), seed, max_copies)
     certain = rows.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    open_rows = rows.filter("p > 0").select("key", "size", "place", "c1", "c2")
+    open_rows = cut(rows.filter("p > 0").select("key", "size", "place").withColumn(
+        "c1", F.floor("place")).withColumn("c2", F.floor((F.col("place") - F.col("c1")) * CELLS)))
     state = cut(sources.join(certain, "key", "left").select(
         "key", "source_size", "pref", "target",
         (F.col("target") - F.coalesce("certain", F.lit(0))).alias("need"),
@@ -128,8 +130,8 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     for _ in range(ROUNDS):
         fit = open_rows.join(state.select("key", "need", "largest", "start"), "key").filter(
             "place >= start AND size <= largest AND size > 0").drop("largest", "start")
-        first = cut(_first_over(fit, ["key"], "c1").drop("over"))
-        second = cut(_first_over(fit.drop("need").join(first, ["key", "c1"]), ["key", "c1"], "c2").drop("over"))
+        first = _first_over(fit, ["key"], "c1").drop("over")
+        second = _first_over(fit.drop("need").join(first, ["key", "c1"]), ["key", "c1"], "c2").drop("over")
         last = _first_over(fit.drop("need").join(second, ["key", "c1", "c2"]),
                            ["key", "c1", "c2"], "place")
         found = last.select("key", F.col("place").alias("end"), F.col("need").alias("left"),
