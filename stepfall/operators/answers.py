@@ -81,7 +81,10 @@ def realised_severity(sessions: DataFrame, answers: DataFrame, cohorts: Mapping[
 
 def gold_record(answers: DataFrame, sessions: DataFrame, planted: DataFrame,
                 cohorts: Mapping[str, str]) -> DataFrame:
-    """Answer header per case.  The ids themselves stay rows (``planted``), see the README."""
+    """Answer header per case.  The ids themselves stay rows (``planted``), see the README.
+
+    ``seed``, ``persona_mix`` and ``notes`` are carried along where the answers have them.
+    """
     sized = planted.groupBy("instance_id").agg(F.count("*").alias("n"))
     none = F.lit("")
     return (
@@ -95,7 +98,8 @@ def gold_record(answers: DataFrame, sessions: DataFrame, planted: DataFrame,
             .alias("affected_cohort_predicate"),
             "severity_pp_target", "severity_pp_realised", "confounder_type",
             "is_confounder_trap", "is_simpson", "decoy_screens", "acceptable_mechanisms",
-            "changepoint_day"))
+            "changepoint_day",
+            *[c for c in ("seed", "persona_mix", "notes") if c in answers.columns]))
 
 
 def answer_index(gold: DataFrame, users: DataFrame, planted: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def con():
 def test_every_query_has_a_twin_or_a_reason():
     assert set(oracle.SQL) <= set(catalog.QUERIES)
     assert set(catalog.QUERIES) - set(oracle.SQL) == set()
-    assert entry.queries().keys() == catalog.QUERIES.keys()
+    assert catalog.QUERIES.keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))

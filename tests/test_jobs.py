@@ -102,6 +102,16 @@ def test_rejects_are_kept_apart(spark, published):
         ("case_0", False), ("case_1", False), ("case_2", True)]
 
 
+def test_answers_keep_what_they_say_about_the_making(spark, published):
+    from stepfall.operators import answers, sessions
+    w = published[0]
+    told = w.answers.withColumn("seed", F.lit(7)).withColumn("notes", F.lit("n"))
+    rows_ = sessions.attach_users(sessions.session_flags(w.raw_events, w.cases), w.user_rows)
+    gold = answers.gold_record(told, rows_, answers.planted_users(rows_, told, catalog.COHORTS),
+                               catalog.COHORTS)
+    assert set(rows(gold, "seed", "notes")) == {(7, "n")}
+
+
 def test_suite_on_stored_tables(spark, published):
     w, public, restricted, _ = published
     planted = spark.read.parquet(f"{restricted}/gold_users")
