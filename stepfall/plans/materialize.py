@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where the session names none, a folder in the warehouse serves, which is shared as well; it is
-    put into the session's settings so that later calls use the same one.
+    Where the session names none, a folder in the warehouse serves, which is shared as well.
     """
     named = (spark.conf.get("spark.checkpoint.dir", None)
              or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not named:
         named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stepfall-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 

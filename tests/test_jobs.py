@@ -174,3 +174,20 @@ def test_partitions_grow_with_the_input(spark):
     tune(spark, spark.range(10))
     assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == \
         before["spark.sql.shuffle.partitions"]
+
+
+def test_shared_folder(monkeypatch):
+    """The session's folder, else one in its warehouse."""
+    from stepfall.plans.materialize import shared_folder
+
+    class Conf(dict):
+        def getConf(self):  # noqa: N802
+            return self
+
+    class Session:
+        def __init__(self, **settings):
+            self.conf = Conf({k.replace("_", "."): v for k, v in settings.items()})
+            self.sparkContext = self.conf
+
+    assert shared_folder(Session(spark_checkpoint_dir="hdfs://x/shared/")) == "hdfs://x/shared"
+    assert shared_folder(Session(spark_sql_warehouse_dir="file:/w")) == "file:/w/stepfall-shared"
