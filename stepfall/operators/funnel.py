@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from stepfall.constants import NAIVE_PATTERNS, STAGES
 from stepfall.operators.sessions import event_days, holds, sql_text
-from stepfall.plans.joins import small_side
 
 
 def funnel_report(
