@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stepfall.llm import minhash, mixing, packing, toxicity
 from stepfall.llm import secrets as secret_scan
-from stepfall.llm.common import importable_on_executors, table, word_count
+from stepfall.llm.common import prepared, table, word_count
 from stepfall.plans.materialize import cut
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,32 +32,32 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic.  Null and empty texts stay."""
-    importable_on_executors(spark)
+    prepared(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; texts without words are never near-duplicates."""
-    importable_on_executors(spark)
+    prepared(spark)
     return minhash.one_of_each(docs, minhash.Banding(words=5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets are replaced and ``n_chars`` follows the text."""
-    importable_on_executors(spark)
+    prepared(spark)
     return secret_scan.redacted(docs, secret_scan.train(docs), length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, three times at most."""
-    importable_on_executors(spark)
+    prepared(spark)
     return mixing.repeated(mixing.mix(docs, size=word_count(F.col("text"))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where it comes from and where it lies."""
-    importable_on_executors(spark)
+    prepared(spark)
     return packing.packed_documents(docs, TOKENIZER).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -9,8 +9,8 @@ a filter meet and are compared exactly.  Of random pairs with a cosine of exactl
 no filter (simulated), and fewer above.
 
 Equal vectors of a label form one class first.  A pair that shares several filters counts under its
-first one, so links are counted without listing them; what leaves a task is, per class, its links and one class it
-hangs together with.  Filters with many classes are dealt to pairs of blocks.
+first one, so links are counted without listing them; what leaves a task is, per class, its links and
+the classes it hangs together with, as few as connect them.  Filters with many classes are dealt to pairs of blocks.
 
 Cases: null labels, and vectors that are null, zero or hold null or non-finite components, have no
 links and are components of their own; vectors of different length are not compared; rows sharing a

@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def importable_on_executors(spark: SparkSession) -> None:
-    """Let Python workers find this package where it is not installed but run from a folder."""
+BATCH_ROWS = 4000            # rows of an Arrow batch: texts in a Python worker stay within some megabytes
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it is run from a folder, and keep batches small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+    if not 0 < int(spark.conf.get(_BATCH_SETTING, "0")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by Spark's own reader."""
-    importable_on_executors(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
@@ -37,9 +43,3 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     """
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
                        *[c.alias(k) for k, c in keys.items()])
-
-
-def unpacked(rows: DataFrame) -> DataFrame:
-    """The caller's columns again."""
-    names = rows.schema["_row"].dataType.names
-    return rows.select(*[F.col("_row").getField(n).alias(n) for n in names])

@@ -6,8 +6,8 @@ of nearly equal size; a query meets the vectors of its own range and of the ``RE
 either side.  The best of every range are merged over all orderings and ranked by exact distance.
 
 The ranges hold a fixed share of the vectors once there are many, so recall does not fall as the table
-grows: on independent random directions in 64 dimensions, the hardest case, 0.97 of the true ten are found
-(tests measure it); clustered vectors allow more and shorter ranges.  With up to ``RANGE_LEAST``
+grows: on independent random directions in 64 dimensions, the hardest case, over 0.97 of the true ten are found
+(tests measure it); clustered vectors allow more and shorter ranges.  Below twice ``RANGE_LEAST``
 vectors there is a single range, and the result is exact.
 
 A range with many vectors, such as copies of one vector, is dealt in parts of ``PART`` vectors, and queries

@@ -31,7 +31,7 @@ from stepfall.plans.materialize import cut
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 1_000_000     # words a Python worker remembers; all are forgotten when it is full
+CACHE_WORDS = 200_000       # words in either half of what a Python worker remembers
 TEXT_BYTES = 2 << 20        # text looked at together in a task
 SHORT = 256                 # shorter pieces fill gaps and take no part in the linear program
 CLASS = 16                  # lengths in one class of the program
@@ -58,7 +58,9 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # words seen lately, and those seen before them; a word that is met again moves back up
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text."""
@@ -78,10 +80,16 @@ class WordTokenizer:
 
     def look_up(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words; new ones are remembered."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
         found = list(map(self.known.get, words))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        if len(self.known) + len(gaps) > CACHE_WORDS:
-            self.known.clear()
+        gaps = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.older.get(words[i])
+            if found[i] is None:
+                gaps.append(i)
+            else:
+                self.known[words[i]] = found[i]
         letters = [i for i in gaps if words[i].isalpha() or words[i].decode("utf-8").isalpha()]
         inside = set(letters)
         for group, encode in ((letters, self._encode_letters),

@@ -1,8 +1,8 @@
 """Runs of windows that share an anchor: the compact form in which repeated windows are compared.
 
-A window is ``K`` symbols in a row (words, or bytes) of one text.  A window's anchor is the gram of ``M`` symbols in
-it with the least hash, so equal windows have equal anchors at equal places, and neighbouring
-windows mostly share theirs.  A maximal run of windows with one anchor travels as one row: hash of
+A window is ``K`` symbols in a row (words, or bytes) of one text.  A window's anchor is the gram
+of ``M`` symbols in it with the least hash, so equal windows have equal anchors at equal places, and
+neighbouring windows mostly share theirs.  A maximal run of windows with one anchor travels as one row: hash of
 the anchor gram (``core``), hash of all symbols of the run (``path``), where it starts and how many
 windows it has.  Two equal windows lie in runs with equal cores; two runs with equal paths are equal
 window by window.  So rows meet by core, equal paths are settled as a whole, and only where a core

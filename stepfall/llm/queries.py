@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm import capfilters, debruijn, hilbert, minhash, mixing, packing, secrets, suffixes, toxicity, warc
+from stepfall.llm import (
+    capfilters, debruijn, hilbert, minhash, mixing, packing, secrets, suffixes, toxicity, warc,
+)
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
 

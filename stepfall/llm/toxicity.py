@@ -145,7 +145,7 @@ class Finder:
             word = raw[begin[k]:end[k]]
             found = self.seen.get(word)
             if found is None:
-                if len(self.seen) > 500_000:
+                if len(self.seen) > 150_000:
                     self.seen.clear()
                 text = word.decode("utf-8", "replace")
                 found = self.seen[word] = self.trie.match(text) if len(text) < 60 else (0.0, False)
@@ -209,20 +209,20 @@ def features(finder: Finder, raw: bytes, offsets: np.ndarray) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the number of toxic and of other texts that have them."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
         toxic = batch.column("toxic").to_pylist()
         for a, b, data, offsets in paths.text_slices(batch):
+            counts: tuple[Counter, Counter] = Counter(), Counter()
             raw = lowered(data)
             begin, end, first = words_of(raw, offsets)
             for i in range(b - a):
                 span = slice(first[i], first[i + 1])
                 words = {raw[x:y] for x, y in zip(begin[span].tolist(), end[span].tolist())}
                 counts[toxic[a + i]].update(w for w in words if 2 < len(w) < 60)
-        words = sorted(set(counts[0]) | set(counts[1]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w.decode("utf-8", "replace") for w in words], pa.string()),
-             pa.array([counts[1][w] for w in words], pa.int64()),
-             pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "bad", "good"])
+            found = sorted(set(counts[0]) | set(counts[1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.decode("utf-8", "replace") for w in found], pa.string()),
+                 pa.array([counts[1][w] for w in found], pa.int64()),
+                 pa.array([counts[0][w] for w in found], pa.int64())], names=["word", "bad", "good"])
 
 
 def _strongest(counts: DataFrame, bad: int, good: int, keep: int, least: int,
