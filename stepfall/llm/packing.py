@@ -32,7 +32,7 @@ from stepfall.plans.materialize import cut
 CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 200_000       # words in either half of what a Python worker remembers
-TEXT_BYTES = 2 << 20        # text looked at together in a task
+TEXT_BYTES = 1 << 20        # text looked at together in a task
 SHORT = 256                 # shorter pieces fill gaps and take no part in the linear program
 CLASS = 16                  # lengths in one class of the program
 ROUNDS = 1500
@@ -62,6 +62,10 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back to whatever runs next in this Python worker."""
+        self.known, self.older = {}, {}
+
     def _encode_letters(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text."""
         text = b" ".join(words).decode("utf-8")
@@ -151,7 +155,7 @@ _MARKS[list(b".,!?;:")] = True
 
 @functools.cache
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this Python worker, which keeps what it remembers from task to task."""
+    """The tokenizer of this Python worker; words are remembered for a task only."""
     return WordTokenizer(path)
 
 
@@ -185,6 +189,7 @@ def _tokenize(path: str, capacity: int, end_id: int, keep_ids: bool):
                     columns.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        tokenizer.forget()
     return run
 
 

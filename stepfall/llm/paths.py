@@ -71,7 +71,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, SLICE_BYTES + 1)
         inverse = pow(BASE, -1, 1 << 64)
         for b in (BASE, inverse):
             steps = np.full(size + 1, b, np.uint64)
