@@ -35,11 +35,11 @@ from stepfall.llm import paths
 from stepfall.plans.materialize import cut
 
 SAMPLE = 20_000              # labelled rows that are learned from
-TERMS, STEMS = 300, 100       # most entries of the lexicon
-LEAST_TEXTS = 3              # toxic texts that must use a term, and one in 200 of them
+LEAST_TEXTS = 3              # toxic texts that must use a term, however many there are
 STRONG = 2.5                 # log odds of a term
 FUZZY_FROM = 5               # shorter terms are matched exactly
 WINDOW = 8                   # words on either side of a hit
+REMEMBERED = 60              # bytes of words that are remembered; longer ones are matched each time
 FEATURES = 6
 
 
@@ -145,10 +145,11 @@ class Finder:
             word = raw[begin[k]:end[k]]
             found = self.seen.get(word)
             if found is None:
-                if len(self.seen) > 150_000:
-                    self.seen.clear()
-                text = word.decode("utf-8", "replace")
-                found = self.seen[word] = self.trie.match(text) if len(text) < 60 else (0.0, False)
+                found = self.trie.match(word.decode("utf-8", "replace"))
+                if len(word) < REMEMBERED:
+                    if len(self.seen) > 150_000:
+                        self.seen.clear()
+                    self.seen[word] = found
             if found[0] > 0:
                 out.append((k, *found))
         return out
@@ -217,7 +218,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(b - a):
                 span = slice(first[i], first[i + 1])
                 words = {raw[x:y] for x, y in zip(begin[span].tolist(), end[span].tolist())}
-                counts[toxic[a + i]].update(w for w in words if 2 < len(w) < 60)
+                counts[toxic[a + i]].update(w for w in words if len(w) > 2)
             found = sorted(set(counts[0]) | set(counts[1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.decode("utf-8", "replace") for w in found], pa.string()),
@@ -225,11 +226,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([counts[0][w] for w in found], pa.int64())], names=["word", "bad", "good"])
 
 
-def _strongest(counts: DataFrame, bad: int, good: int, keep: int, least: int,
+def _strongest(counts: DataFrame, bad: int, good: int, least: int,
                strong: float) -> list[tuple[str, float]]:
+    """All words that are used often and selectively enough, with their log odds."""
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     rows = counts.filter(F.col("bad") >= least).withColumn("w", odds).filter(F.col("w") >= strong) \
-        .orderBy((F.col("w") * F.col("bad")).desc(), "word").limit(keep).collect()
+        .orderBy((F.col("w") * F.col("bad")).desc(), "word").collect()
     return [(r["word"], float(r["w"])) for r in rows]
 
 
@@ -239,18 +241,15 @@ def learn_lexicon(rows: DataFrame) -> tuple[list, list]:
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return [], []
-    least = max(LEAST_TEXTS, bad // 200)
     counts = cut(rows.select("text", "toxic").mapInArrow(_counts, "word string, bad long, good long")
                  .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     begun = counts.withColumn("n", F.explode(F.sequence(F.lit(4), F.lit(7)))).filter(
         F.length("word") > F.col("n")).withColumn("word", F.expr("substring(word, 1, n)")).groupBy(
         "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("forms"))
-    stems = dict(_strongest(begun.filter("forms >= 5"), bad, good, STEMS, 3 * least, STRONG + 1.5))
+    stems = dict(_strongest(begun.filter("forms >= 5"), bad, good, 3 * LEAST_TEXTS, STRONG + 1.5))
     stems = [(s, w) for s, w in stems.items() if not any(s[:i] in stems for i in range(4, len(s)))]
-    begins = F.lit(False)
-    for text, _ in stems:
-        begins = begins | F.col("word").startswith(text)
-    return _strongest(counts.filter(~begins), bad, good, TERMS, least, STRONG), stems
+    # words that begin with a stem stay terms, too: a stem does not match their misspelled forms
+    return _strongest(counts, bad, good, LEAST_TEXTS, STRONG), stems
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

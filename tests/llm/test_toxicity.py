@@ -102,6 +102,24 @@ def corpus():
     return docs + [(5000, None), (5001, ""), (None, "stupid idiot"), (7, docs[7][1])], labels
 
 
+def test_rare_long_and_stemmed_terms_are_kept(spark):
+    rng = random.Random(8)
+    rare = sorted({"".join(rng.choice("bcdfgklmnr") + rng.choice("aeou") for _ in range(4))
+                   for _ in range(600)})
+    long, forms = "x" * 70 + "y", [f"vermin{c}" for c in "abcdef"]
+    bad = [f"so {rare[i % len(rare)]} they say" for i in range(3 * len(rare))]
+    bad += [f"a {long} here"] * 3 + [f"such {w} there" for w in forms * 3]
+    rows = [(t, 1) for t in bad] + [("so a here there they say such", 0)] * 6000
+    terms, stems = T.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {*rare, long, *forms} <= {w for w, _ in terms} and "verm" in dict(stems)
+    finder = T.Finder(T.Model(terms, stems, [0.0] * T.FEATURES))
+    words = [rare[0], long, long[1:], "vermina", "xermina"]
+    raw = " ".join(words).encode()
+    begin, end, _ = T.words_of(raw, np.array([0, len(raw)]))
+    assert [(k, m) for k, _, m in finder.hits(raw, begin, end)] == [
+        (0, False), (1, False), (2, True), (3, False), (4, True)]
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int").withColumn("quality", F.lit(1))
 
