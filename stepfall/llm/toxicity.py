@@ -7,8 +7,8 @@ walked.  A vectorized filter (an edit leaves the first or the last characters of
 the words worth matching, and distinct words are remembered.
 
 Every hit is scored in its window: terms close to each other strengthen one another, and hits inside
-quotation marks are counted apart from the rest, so that reported speech can weigh differently from
-abuse.  A logistic model on these counts gives the score.
+quotation marks, wherever in the text these opened, are counted apart from the rest, so that reported
+speech can weigh differently from abuse.  A logistic model on these counts gives the score.
 
 Learning uses at most ``SAMPLE`` labelled rows, those with the least hash of their id: two thirds make
 the lexicon with which one third teaches the logistic model, whose hits are thus unseen; the final
@@ -22,6 +22,8 @@ kept by ``drop_toxic`` and ignored by ``scored``.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +43,9 @@ FUZZY_FROM = 5               # shorter terms are matched exactly
 WINDOW = 8                   # words on either side of a hit
 REMEMBERED = 60              # bytes of words that are remembered; longer ones are matched each time
 FEATURES = 6
+QUOTES = re.compile(rb'"|\xe2\x80[\x9c-\x9e]|\xc2[\xab\xbb]')
+OPENING, CLOSING, LOW, ANGLE = b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xe2\x80\x9e", b"\xc2\xab"
+BEHIND = (b"'", b"\xe2\x80\x98")          # single marks only tell when a word follows at once
 
 
 @dataclass
@@ -178,14 +183,42 @@ def lowered(data: np.ndarray) -> bytes:
     return data.tobytes().lower()
 
 
-def _quoted(raw: bytes, text_from: int, at: int) -> bool:
-    """Whether a word stands right behind a quotation mark or after an odd number in its line."""
-    ahead = raw[max(text_from, raw.rfind(b"\n", 0, at) + 1, at - 400):at]
-    if ahead.endswith((b'"', b"'", b"\xe2\x80\x9c", b"\xe2\x80\x98", b"\xc2\xab", b"\xe2\x80\x9e")):
+def _quotations(raw: bytes, text_from: int, text_to: int) -> tuple[list[int], list[bool]]:
+    """Places behind a text's quotation marks, and whether a quotation is open from there on.
+
+    Straight marks open and close in turn.  A closing mark closes one that is open, if any; the mark
+    that opens in English closes after a low one.
+    """
+    places, opened = [], []
+    straight, curly, low, angle = False, 0, 0, 0
+    for m in QUOTES.finditer(raw, text_from, text_to):
+        mark = m.group()
+        if mark == b'"':
+            straight = not straight
+        elif mark == LOW:
+            low += 1
+        elif mark == OPENING and not low:
+            curly += 1
+        elif mark in (OPENING, CLOSING):
+            if curly and mark == CLOSING:
+                curly -= 1
+            else:
+                low = max(0, low - 1)
+        else:
+            angle = angle + 1 if mark == ANGLE else max(0, angle - 1)
+        places.append(m.end())
+        opened.append(straight or curly > 0 or low > 0 or angle > 0)
+    return places, opened
+
+
+def _quoted(raw: bytes, text_from: int, at: int,
+            marks: tuple[list[int], list[bool]] | None = None) -> bool:
+    """Whether a word stands right behind a quotation mark or inside a quotation of its text."""
+    if raw.endswith(BEHIND, text_from, at):
         return True
-    opened = ahead.count(b"\xe2\x80\x9c") + ahead.count(b"\xc2\xab")
-    closed = ahead.count(b"\xe2\x80\x9d") + ahead.count(b"\xc2\xbb")
-    return ahead.count(b'"') % 2 == 1 or opened > closed
+    places, opened = marks if marks is not None else _quotations(raw, text_from, at)
+    k = bisect_right(places, at)
+    return k > 0 and opened[k - 1]
 
 
 def features(finder: Finder, raw: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -197,8 +230,11 @@ def features(finder: Finder, raw: bytes, offsets: np.ndarray) -> np.ndarray:
     hits = finder.hits(raw, begin, end)
     texts = np.searchsorted(first, [k for k, _, _ in hits], "right") - 1
     lately: list[tuple[int, int, float]] = []
+    marks, marked = ([], []), -1                 # quotations of the text at hand
     for (k, weight, misspelled), t in zip(hits, texts.tolist()):
-        quoted = _quoted(raw, int(offsets[t]), int(begin[k]))
+        if t != marked:
+            marks, marked = _quotations(raw, int(offsets[t]), int(offsets[t + 1])), t
+        quoted = _quoted(raw, int(offsets[t]), int(begin[k]), marks)
         out[t, 3 if quoted else 2 if misspelled else 1] += weight
         lately = [x for x in lately if x[0] == t and k - x[1] <= WINDOW]
         lately.append((t, k, weight))

@@ -70,6 +70,23 @@ def test_words_and_quotation():
     assert quoted == [False, False, True, False, True, False, True, True, False]
 
 
+def test_quotations_of_any_length():
+    far = " and so on" * 60
+    cases = [
+        (f'she said "{far} stupid" and more', True), (f'she said "{far}" and stupid', False),
+        (f'"one{far}" then "two{far}" then stupid', False), (f'"one\ntwo stupid" x', True),
+        (f'"one\ntwo" stupid', False), (f"“a “b{far}” stupid” c", True), (f"„a{far}“ stupid", False),
+        (f"„a{far} stupid“", True), (f"home » news » more «a{far} stupid» x", True),
+        (f"«a\n{far}» stupid", False), ("stray ” here “a stupid” x", True)]
+    for text, want in cases:
+        before = 'not " closed '.encode()                      # the text ahead tells nothing
+        raw = before + text.encode()
+        assert T._quoted(raw, len(before), raw.index(b"stupid")) == want, text
+        x = T.features(T.Finder(T.Model([("stupid", 3.0)], [], [0.0] * T.FEATURES)), raw,
+                       np.array([0, len(before), len(raw)]))
+        assert (x[1, 3] > 0) == want and (x[1, 1] > 0) != want, text
+
+
 def test_context_changes_features():
     finder = T.Finder(T.Model(list(TERMS.items()), [], [0.0] * T.FEATURES))
     texts = ["stupid idiot", "stupid " + "a " * 30 + "idiot", 'she wrote "stupid idiot"', "stupld", ""]
