@@ -38,9 +38,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; texts without words are never near-duplicates."""
+    """One document of each group, whatever their ids; texts without words are never near-duplicates."""
     prepared(spark)
-    return minhash.one_of_each(docs, minhash.Banding(words=5))
+    return minhash.one_of_each_component(docs, minhash.Banding(words=5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -341,10 +341,8 @@ def _late_links(members: DataFrame, roots: DataFrame, classes: DataFrame, sets:
         _links_across(b), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _placed(texts: DataFrame, b: Banding) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and per class ``cls, first_doc, root`` (the name of its component)."""
     rows = cut(texts.mapInArrow(_sketches(b), SKETCH))
     classes = cut(rows.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("first_doc"), F.min(F.struct("sketch")).alias("s")).select(
@@ -364,8 +362,15 @@ def near_duplicates(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
     late = cut(_late_links(members, roots, classes, sets, b))
     if not late.isEmpty():
         roots = components(links.unionByName(late))
-    placed = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
+    return rows, classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
         "cls", "first_doc", F.coalesce("root", "cls").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    rows, placed = _placed(docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), b)
     least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = placed.join(least, "root").select("cls", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
@@ -384,3 +389,41 @@ def one_of_each(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
     order = Window.partitionBy("_id").orderBy(F.col("_text").asc_nulls_last())
     return rows.join(found, "_id").withColumn("_n", F.row_number().over(order)).filter(
         "_n = 1").select("_row.*")
+
+
+def _classed(b: Banding):
+    """Rows with the class of their text, the text itself left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, data, offsets in paths.text_slices(batch):
+                values, counts = shingles(b, data, offsets)
+                names = [n for n in batch.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(n).slice(x, y - x) for n in names]
+                    + [pa.array(set_names(values, counts), pa.int64(), mask=counts == 0)],
+                    names=[*names, "cls"])
+    return run
+
+
+def one_of_each_component(docs: DataFrame, b: Banding, *, doc_id: str = "doc_id",
+                          text: str = "text") -> DataFrame:
+    """The documents, all columns: one row of every component, whatever the ids are.
+
+    The row with the least id stays, one without an id only if no other row of the component has one.
+    Rows without words belong to no component and all stay.  Ids need not be unique: rows are told
+    apart by their class.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    _, placed = _placed(texts, b)
+    stays = placed.groupBy("root").agg(F.min(F.struct(
+        F.col("first_doc").isNull().alias("none"), "first_doc", "cls")).alias("s")).select("s.cls")
+    worded = F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.filter(worded).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"),
+                 F.xxhash64(text).alias("h")).alias("_order"), F.col(text).alias("text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("_row", "_order"))
+    # copies meet in their task first; one row per class is sent
+    one = rows.mapInArrow(_classed(b), f"{kinds}, cls long").groupBy("cls").agg(
+        F.min_by("_row", "_order").alias("_row"))
+    return one.join(stays, "cls").select("_row.*").unionByName(docs.filter(~worded))

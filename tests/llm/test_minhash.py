@@ -118,6 +118,20 @@ def test_one_of_each(spark, make_docs):  # noqa: F811
     assert kept.columns == [*docs.columns, "_id"]
 
 
+def test_one_of_each_component_whatever_the_ids(spark, make_docs):  # noqa: F811
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    docs = make_docs([
+        (None, "one text without id"), (None, "another text without id"), (None, None), (None, " \t\n\v"),
+        (2, "b a c d e f"), (2, "z y x w v u"), (2, "z y x w v u"),
+        (7, near), (5, same), (7, "own words of seven"), (None, same), (9, ""), (9, None)])
+    kept = minhash.one_of_each_component(docs.repartition(3), minhash.Banding())
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([
+        (None, "one text without id"), (None, "another text without id"), (None, None), (None, " \t\n\v"),
+        (2, "b a c d e f"), (2, "z y x w v u"), (5, same), (7, "own words of seven"), (9, ""), (9, None)],
+        key=repr)
+
+
 def test_query_against_all_pairs(spark, make_docs, sf_of):  # noqa: F811
     from stepfall.llm import queries
     rows = texts(5)
