@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stepfall.plans.materialize import cut
 
@@ -437,14 +438,28 @@ def compared_runs(docs: DataFrame, w: Windows) -> DataFrame:
 
 
 def per_document(rows: DataFrame, *fields: str) -> DataFrame:
-    """Rows gathered as one list per text; a text has a bounded number of them by its length."""
+    """Rows gathered as one list per text; a text has a bounded number of them by its length.
+
+    Equal rows of copies of a text that share its doc_id count once.
+    """
     return cut(rows.groupBy("doc_id", F.col("place").bitwiseAND(0x7FFFFFFF).alias("mark")).agg(
-        F.collect_list(F.struct(F.shiftright("place", 31).alias("lo"), *fields)).alias("found")))
+        F.collect_set(F.struct(F.shiftright("place", 31).alias("lo"), *fields)).alias("found")))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the mark of their text."""
+    for batch in batches:
+        for a, b, data, offsets in text_slices(batch):
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(text_marks(data, offsets))],
+                names=[*part.schema.names, "_mark"])
 
 
 def with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Texts joined with what ``per_document`` gathered, keyed by document."""
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "found")).alias("_found"))
-    rows = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NULL_DOC)))
-    side = by_doc.withColumnRenamed("doc_id", "_key")
-    return rows.join(side, "_key", how).drop("_key")
+    """Texts joined with what ``per_document`` gathered for them, by document and mark of the text."""
+    side = found.select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"),
+                        F.array(F.struct("mark", "found")).alias("_found"))
+    rows = docs.mapInArrow(_marked, StructType([*docs.schema.fields, StructField("_mark", LongType())]))
+    return rows.withColumn("_key", F.coalesce("doc_id", F.lit(NULL_DOC))).join(
+        side, ["_key", "_mark"], how).drop("_key", "_mark")

@@ -6,7 +6,7 @@ import random
 import pytest
 from llm_fixtures import make_docs, sf_of  # noqa: F401
 
-from stepfall.llm import suffixes
+from stepfall.llm import paths, suffixes
 
 
 def brute(rows, k):
@@ -64,6 +64,21 @@ def test_hot_phrase(spark, make_docs):  # noqa: F811
     assert sorted(map(tuple, got), key=repr) == brute(rows, 24)
 
 
+def test_texts_that_share_an_id_are_gathered_apart(spark, make_docs):  # noqa: F811
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ijklmnop") for _ in range(20))
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(d, word() + passage + word()) for d in [None] * 30 + [4] * 30]
+    rows += [(1, rows[0][1])] + [rows[0]] * 40
+    docs = make_docs(rows).select("doc_id", "text").repartition(4)
+    spans = suffixes.repeated_spans(docs, suffixes.Windows(24, 6, words=False, keep_first=False))
+    found = paths.with_texts(docs, spans, "left").select("_found").collect()
+    assert len(found) == len(rows) and {len(r[0]) for r in found} == {1}
+    assert max(len(x.found) for r in found for x in r[0]) <= 100
+    got = suffixes.without_repeats(docs, length=24, anchor=6).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 24)
+
+
 def test_common_prefixes():
     assert suffixes.common_prefixes([b"abc", b"abd", b"abd", b"ab", b"", b"\0", b"\0\0"]).tolist() \
         == [2, 3, 2, 0, 0, 1]
