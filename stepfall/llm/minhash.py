@@ -33,7 +33,7 @@ from stepfall.llm import paths
 from stepfall.llm.components import components
 from stepfall.plans.materialize import cut
 
-SLACK = 3.0
+SLACK = 3.5
 KEY_BLOCK = 2048             # classes of a key whose minhashes are compared with each other in one go
 BLOCK = 512                  # classes of a family whose full sets are
 

@@ -31,7 +31,7 @@ from stepfall.plans.materialize import cut
 WEIGHTS = (5, 2, 1)          # by source in code point order, repeating
 MAX_COPIES = 3
 CELLS = 2048
-ROUNDS = 3
+ROUNDS = 4
 
 
 @dataclass
