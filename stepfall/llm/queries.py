@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfall.llm import (
-    capfilters, debruijn, hilbert, minhash, mixing, packing, secrets, suffixes, toxicity, warc,
+    capfilters, debruijn, hilbert, minhash, mixing, packing, periodic, secrets, suffixes, toxicity, warc,
 )
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
@@ -120,3 +120,23 @@ FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a =
 @query
 def op10_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = word_count(F.col("text")).cast("int")
+    numbered = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), n.alias("n"))
+    g, n = F.floor(F.col("h") / 10), F.col("n")
+    placed = numbered.withColumn("a", F.try_mod(g, n).cast("int")).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    text = F.when((F.col("h") % 10 == 0) & (n > 0), periodic.repeated_tail(
+        F.col("text"), F.col("a"), F.col("p"))).otherwise(F.col("text"))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic.periodic_runs(placed, text=text).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
