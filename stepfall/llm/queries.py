@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfall.llm import (
-    capfilters, debruijn, hilbert, minhash, mixing, packing, periodic, secrets, suffixes, toxicity, warc,
+    capfilters, debruijn, divergence, hilbert, minhash, mixing, packing, periodic, pii, secrets, suffixes,
+    toxicity, warc,
 )
 from stepfall.llm.common import table, word_count
 from stepfall.plans.materialize import cut
@@ -140,3 +141,64 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return pii.found(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), words AS (
+    SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), used AS (
+    SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term)
+    GROUP BY lang, source, term
+), spread AS (
+    SELECT lang, source, sum(c) AS n FROM used GROUP BY lang, source
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c,
+           1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 5)) // (coalesce(s.n, 0) + 5 * z.v) AS p,
+           1 + (1000000000::HUGEINT * (k.total + 5)) // (z.n + 5 * z.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN sizes z USING (lang)
+    LEFT JOIN spread s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+), far AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+    SELECT lang, source, term AS item, p - q AS value FROM cells WHERE c > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= 50
+"""
