@@ -1,7 +1,7 @@
 """Checks on cohort predicates, which arrive as untrusted text.
 
-Two ways in: :func:`checked_predicate` vets one text on the driver, and the column
-expressions below turn a whole table of flat texts into clause rows inside Spark.
+Two ways in: :func:`checked_predicate` vets one text, and the column expressions below turn a whole table
+of flat texts into clause rows inside Spark (``normal_form`` does so for all other texts).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def column_kind(name: str) -> str:
     return "flag" if name in ("is_returning", "is_crash") else "text"
 
 
-def _tokens(text: str) -> list[str] | None:
+def tokens_of(text: str) -> list[str] | None:
     out, at, text = [], 0, text.strip()
     while at < len(text):
         m = _TOKEN.match(text, at)
@@ -57,7 +57,7 @@ def checked_predicate(text: str | None, columns=USER_ATTRIBUTES) -> str | None:
         return None
     if any(bad in text.lower() for bad in REFUSED_SUBSTRINGS):
         return None
-    tokens = _tokens(text)
+    tokens = tokens_of(text)
     if not tokens:
         return None
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfall.constants import USER_ATTRIBUTES
+from stepfall.functions import normal_form
 from stepfall.functions.measures import precision_recall_f1, rate
 from stepfall.functions.predicates import (
     checked_predicate, flat_pieces, is_flat, is_refused, literal_values, number_value, text_value,
@@ -112,14 +113,14 @@ def attribute_profiles(users: DataFrame, planted: DataFrame | None = None) -> Da
 def _attribute_rows() -> Column:
     """Generator of (column, vkey, s, x) per attribute; ``vkey`` is the value as join text.
 
-    Numbers are keyed as doubles, so that 24 and 24.0 meet.
+    Numbers are keyed as doubles, so that 24 and 24.0 meet; a null has a key of its own.
     """
     def row(name: str) -> str:
+        s, x = f"CAST({name} AS STRING)", "CAST(NULL AS DOUBLE)"
         if name == "device_age_months":
-            x, s = f"CAST({name} AS DOUBLE)", "CAST(NULL AS STRING)"
-            return f"struct('{name}' AS column, CAST({x} AS STRING) AS vkey, {s} AS s, {x} AS x)"
-        s = f"CAST({name} AS STRING)"
-        return f"struct('{name}' AS column, {s} AS vkey, {s} AS s, CAST(NULL AS DOUBLE) AS x)"
+            s, x = "CAST(NULL AS STRING)", f"CAST({name} AS DOUBLE)"
+        key = f"coalesce('=' || coalesce({s}, CAST({x} AS STRING)), 'null')"
+        return f"struct('{name}' AS column, {key} AS vkey, {s} AS s, {x} AS x)"
 
     return F.expr(f"inline(array({', '.join(map(row, ATTRS))}))")
 
@@ -173,7 +174,7 @@ def cohort_clauses(claims: DataFrame) -> DataFrame:
     """Clause rows of flat predicate texts (columns ``instance_id, claim_id, predicate``).
 
     Other texts yield no rows here: refused ones select nobody, and those with grouping, NOT,
-    BETWEEN, LIKE or IS NULL are what :func:`grouped_matches` is for.  A clause whose literal does
+    BETWEEN, LIKE or IS NULL are what :func:`grouped_clauses` is for.  A clause whose literal does
     not fit its column keeps null values and so matches nobody.  IN has one row per value.
     """
     text = F.col("predicate")
@@ -194,7 +195,9 @@ def cohort_clauses(claims: DataFrame) -> DataFrame:
 _TESTS = " ".join(
     f"WHEN '{op}' THEN if(x IS NOT NULL, x {sign} num_value, s {sign} str_value)"
     for op, sign in (("eq", "="), ("in", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="),
-                     ("gt", ">"), ("ge", ">=")))
+                     ("gt", ">"), ("ge", ">="))) + (
+    " WHEN 'like' THEN s LIKE str_value WHEN 'notlike' THEN s NOT LIKE str_value"
+    " WHEN 'null' THEN s IS NULL AND x IS NULL WHEN 'notnull' THEN s IS NOT NULL OR x IS NOT NULL")
 
 
 _BITS = {name: 1 << i for i, name in enumerate(ATTRS)}
@@ -276,17 +279,37 @@ def compile_cohort_bulk(users: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 TEXTS_PER_PLAN = 40
+CLAUSE = ["disjunct_id", "clause_id", "column", "op", "str_value", "num_value"]
 
 
-def grouped_matches(table: DataFrame, claims: DataFrame) -> list[DataFrame]:
-    """Rows of ``table`` (users or profiles) in the claims whose texts are not flat.
+def grouped_clauses(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clause rows of the texts that are not flat, and the texts beyond clause rows.
 
-    Each distinct text passes the token check and becomes a Spark expression; ``TEXTS_PER_PLAN`` of them
-    share a plan and one pass over the table.  Texts are streamed to the driver, which keeps only the
-    plans.  A text that is refused or is no predicate over the columns selects nobody.
+    Each distinct text is read once, in tasks (``normal_form``).  Beyond are comparisons of two columns,
+    constants as conditions, and texts whose normal form has very many disjuncts.
     """
     text = F.col("predicate")
-    texts = claims.filter(~is_refused(text) & ~is_flat(text)).select("predicate").distinct()
+    grouped = claims.filter(~is_refused(text) & ~is_flat(text))
+    parsed = grouped.select("predicate").distinct().mapInArrow(normal_form.read_texts, normal_form.ROWS)
+    scope = [c for c in ("instance_id",) if c in claims.columns]
+    named = grouped.select(*scope, "claim_id", "predicate")
+    clauses = named.join(parsed.filter("NOT rest"), "predicate").select(*scope, "claim_id", *CLAUSE)
+    return clauses, parsed.filter("rest").select("predicate")
+
+
+def claim_clauses(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clause rows of all claims, and the texts beyond clause rows."""
+    grouped, beyond = grouped_clauses(claims)
+    return cohort_clauses(claims).unionByName(grouped), beyond
+
+
+def expression_matches(table: DataFrame, claims: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Rows of ``table`` (users or profiles) in the claims with the given texts, compiled as expressions.
+
+    Meant for the few texts that clause rows cannot express.  ``TEXTS_PER_PLAN`` of them share a plan and
+    one pass over the table.  They are streamed to the driver, which keeps only the plans.
+    A text that is refused or is no predicate over the columns selects nobody.
+    """
     scope = [c for c in ("instance_id",) if c in claims.columns]
     out, batch = [], []
 
@@ -313,8 +336,9 @@ def grouped_matches(table: DataFrame, claims: DataFrame) -> list[DataFrame]:
 
 def compile_claims(users: DataFrame, claims: DataFrame) -> DataFrame:
     """User ids of every claim, whatever its text; claims that select nobody have no rows."""
-    out = compile_cohort_bulk(users, cohort_clauses(claims))
-    for more in grouped_matches(users, claims):
+    clauses, beyond = claim_clauses(claims)
+    out = compile_cohort_bulk(users, clauses)
+    for more in expression_matches(users, claims, beyond):
         out = out.unionByName(more.select("claim_id", *USER))
     return out
 

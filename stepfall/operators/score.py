@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfall.constants import F1_FLOOR, INNOCENT
 from stepfall.operators.cohorts import (
-    attribute_profiles, claim_counts, cohort_clauses, grouped_matches, match_profiles, profile_prf,
+    attribute_profiles, claim_clauses, claim_counts, expression_matches, match_profiles, profile_prf,
 )
 from stepfall.plans.joins import small_side
 
@@ -26,13 +26,14 @@ def claims_of(hypotheses: DataFrame) -> DataFrame:
 def score_claims(claims: DataFrame, users: DataFrame, planted: DataFrame) -> DataFrame:
     """Precision, recall and F1 of every claimed predicate, whatever its text.
 
-    Flat predicates are compiled inside Spark; the others (grouping, NOT, BETWEEN, LIKE, IS NULL)
-    as expressions over the same profiles, for which their distinct texts are read here.  A text
-    that is refused, is no predicate or names other columns is an empty cohort.
+    Predicates become clause rows, which meet the profiles in one plan whatever their number.  The few that
+    clause rows cannot say are compiled as expressions over the same profiles; their texts are read
+    here.  A text that is refused, is no predicate or names other columns is an empty cohort.
     """
     profiles = attribute_profiles(users, planted)
-    counts = claim_counts(match_profiles(profiles, cohort_clauses(claims)))
-    for more in grouped_matches(profiles, claims):
+    clauses, beyond = claim_clauses(claims)
+    counts = claim_counts(match_profiles(profiles, clauses))
+    for more in expression_matches(profiles, claims, beyond):
         counts = counts.unionByName(claim_counts(more))
     return profile_prf(claims, counts, planted)
 

@@ -1,7 +1,10 @@
+import hypothesis
 import pytest
 from conftest import rows
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from stepfall.functions.normal_form import normal_form
 from stepfall.functions.predicates import checked_predicate
 from stepfall.operators import cohorts, score, sessions
 
@@ -204,16 +207,101 @@ def test_any_text_scores(spark, scoring, text, f1):
     assert len(got) == 1 and got[("m", "a")].cohort_f1 == f1
 
 
-def test_many_grouped_texts_share_plans(spark, scoring, monkeypatch):
-    monkeypatch.setattr(cohorts, "TEXTS_PER_PLAN", 3)
+GROUPED = [
+    "NOT (os = 'X' OR device_age_months >= 40)", "(os = 'X' OR os = 'Y') AND NOT is_returning",
+    "device_age_months BETWEEN 24 AND 30", "device_age_months NOT BETWEEN 24 AND 30", "os IS NULL",
+    "NOT os IS NOT NULL OR geo IS NULL", "os LIKE 'i%'", "os NOT LIKE '%s'", "NOT os LIKE '_'", "os NOT IN ('X', 'Y')",
+    "NOT os IN ('X', NULL)", "os IN (NULL, 'X')", "NOT os = NULL", "is_returning IS TRUE", "is_returning IS NOT FALSE",
+    "NOT NOT is_returning", "NOT is_returning", "24 < device_age_months AND (os = 'X')", "NOT '30' <= device_age_months",
+    "((os = 'X') AND ((device_age_months > 24)))", "os BETWEEN NULL AND 'X'", "NOT os BETWEEN NULL AND 'X'",
+    "(os = 'it''s' OR geo = 'A or B') AND NOT (os = 'X' AND device_age_months < 30)", "is_returning BETWEEN FALSE AND FALSE",
+    "os LIKE '100!%'", "(os = geo)", "os <> geo OR (os = 'X')", "os = 'X' OR TRUE", "NOT (os = 'X' AND NOT (os <> 'X'))",
+    "(os =", "NOT", "(lower(os) = 'x')", "(payment_method = 'upi')", "NOT (os = 'X') AND", "(is_returning = 7)",
+    "(is_returning = TRUE) = TRUE", "os IS NULL IS NULL", "NOT (device_age_months)", "os NOT = 'X'",
+    "(1 = 1)", "device_age_months IN (24, '30', 40)", "NOT device_age_months IN (24)", "is_returning NOT",
+    "(os = 'X' AND device_age_months > 1) OR (os = 'Y' AND device_age_months > 1) OR (NOT os = 'X')",
+]
+
+
+def claims_of(spark, texts):
+    return spark.createDataFrame([("a", t, t) for t in texts],
+                                 "instance_id string, claim_id string, predicate string")
+
+
+def test_grouped_texts_equal_expressions(spark, users):
+    got = {}
+    for claim, uid in rows(cohorts.compile_claims(users, claims_of(spark, GROUPED + FLAT)), "claim_id", "user_id"):
+        got.setdefault(claim, []).append((uid,))
+    for text in GROUPED + FLAT:
+        assert got.get(text, []) == rows(cohorts.compile_cohort(users, text), "user_id"), text
+
+
+LEAVES = st.sampled_from([
+    "os = 'X'", "os <> 'X'", "os IS NULL", "os IS NOT NULL", "os IN ('X', 'Y')", "os NOT IN ('X')", "os LIKE '%s'",
+    "device_age_months > 24", "device_age_months BETWEEN 10 AND 30", "24 >= device_age_months", "is_returning",
+    "is_returning = FALSE", "geo = 'A or B'", "os NOT BETWEEN 'X' AND 'Y'", "os = NULL", "is_returning IS NOT TRUE"])
+TEXTS = st.recursive(LEAVES, lambda t: st.one_of(
+    t.map("NOT ({})".format), st.tuples(t, t).map("({0[0]} AND {0[1]})".format),
+    st.tuples(t, t).map("({0[0]}) OR {0[1]}".format)), max_leaves=8)
+
+
+def test_made_up_texts_equal_expressions(spark, users):
+    texts = sorted({find_example(TEXTS, seed) for seed in range(60)})
+    assert len(texts) > 30
+    got = {}
+    for claim, uid in rows(cohorts.compile_claims(users, claims_of(spark, texts)), "claim_id", "user_id"):
+        got.setdefault(claim, set()).add(uid)
+    columns = [F.when(cohorts.cohort_column(t), F.lit(i)) for i, t in enumerate(texts)]
+    for uid, found in users.select("user_id", F.array_compact(F.array(*columns))).collect():
+        for i, t in enumerate(texts):
+            assert (uid in got.get(t, ())) == (i in found), (uid, t)
+
+
+def find_example(strategy, seed):
+    """One value of a strategy, the same for the same seed."""
+    out = []
+
+    @hypothesis.seed(seed)
+    @hypothesis.settings(max_examples=12, database=None, phases=[hypothesis.Phase.generate], deadline=None)
+    @hypothesis.given(strategy)
+    def draw(text):
+        out.append(text)
+    draw()
+    return out[-1]
+
+
+def test_normal_forms():
+    assert normal_form("NOT (os = 'X' OR is_returning)") == [
+        (("os", "ne", ("X",)), ("is_returning", "ne", ("true",)))]
+    assert normal_form("os NOT IN ('X', 'Y') OR geo LIKE 'a%'") == [
+        (("os", "ne", ("X",)), ("os", "ne", ("Y",))), (("geo", "like", ("a%",)),)]
+    assert normal_form("lower(os) = 'x'") == [] and normal_form("os = geo") is None
+    wide = " AND ".join(f"(os = 'a{i}' OR geo = 'b{i}')" for i in range(20))
+    assert normal_form(wide) is None and checked_predicate(wide) is not None
+    assert normal_form("(" * 300 + "os = 'X'" + ")" * 300) is None
+
+
+def test_wide_texts_are_compiled_as_expressions(spark, users):
+    wide = " AND ".join(f"(os = 'X' OR device_age_months <> {i})" for i in range(20, 40))
+    got = cohorts.compile_claims(users, claims_of(spark, [wide, "NOT (os = 'Y')"]))
+    assert rows(got, "claim_id", "user_id") == sorted(
+        [(wide, u) for u in ("u1", "u2", "u3", "u5")] + [("NOT (os = 'Y')", u) for u in ("u1", "u2", "u5")])
+
+
+def test_any_number_of_grouped_texts_is_one_plan(spark, scoring, tmp_path, monkeypatch):
     users, _, _ = scoring
-    texts = [f"(os = 'X') AND device_age_months BETWEEN {i} AND 99" for i in range(8)]
-    claims = spark.createDataFrame([("a", t, t) for t in texts], "instance_id string, claim_id string, predicate string")
-    plans = cohorts.grouped_matches(users, claims)
-    assert len(plans) == 3
-    got = cohorts.compile_claims(users, claims).groupBy("claim_id").count().collect()
-    one = {t: cohorts.compile_cohort(users.filter("instance_id = 'a'"), t).count() for t in texts}
-    assert {r.claim_id: r["count"] for r in got} == {t: n for t, n in one.items() if n}
+    analysed = []
+    monkeypatch.setattr(cohorts, "cohort_column", lambda text: analysed.append(text) or F.lit(False))
+
+    def plan_of(n):
+        texts = [f"(os = 'X' OR geo IS NULL) AND device_age_months BETWEEN {i} AND 99" for i in range(n)]
+        claims_of(spark, texts).write.parquet(f"{tmp_path}/{n}")
+        return cohorts.compile_claims(users, spark.read.parquet(f"{tmp_path}/{n}"))
+    few, many = plan_of(10), plan_of(10_000)
+    shape = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert analysed == [] and shape(few) == shape(many)
+    # all users are 10 months old
+    assert many.select("claim_id").distinct().count() == 11
 
 
 def test_suite_views(spark, scoring, cases):
