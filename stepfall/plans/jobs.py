@@ -13,7 +13,7 @@ from stepfall.operators import detect, funnel, score, sessions, symptoms
 from stepfall.plans.attribution import all_systems
 from stepfall.plans.materialize import cut
 from stepfall.session import tune
-from stepfall.sources import tables
+from stepfall.sources import commits, tables
 
 
 def symptom_view(events: DataFrame, cases: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -29,10 +29,11 @@ def publish_cases(
     events: DataFrame, users: DataFrame, cases: DataFrame, answers: DataFrame,
     public_root: str, restricted_root: str, *, cohorts: Mapping[str, str] = K.DEFAULT_COHORTS,
 ) -> DataFrame:
-    """Measure, label and publish cases; returns the hidden answer index.
+    """Measure, label and publish cases as one commit; returns the hidden answer index.
 
     ``events`` carry ``canonical``, ``users`` may carry ``persona``; ``answers`` say per case
-    what was planted.  Public tables pass the column guard before anything is written.
+    what was planted.  Public tables pass the column guard before anything is written.  Readers see the
+    new state of all tables of both roots at once, and the old one if a write fails before.
     """
     tune(events.sparkSession, events)
     tables.publish_events(events, users), tables.publish_users(users)      # refuse early
@@ -42,14 +43,17 @@ def publish_cases(
     gold = cut(A.gold_record(answers, rows, planted, cohorts))
     index = A.answer_index(gold, users, planted)
 
-    tables.write_public(events, users, public_root)
-    tables.write_records_by_case(A.public_index(cases), f"{public_root}/index")
-    tables.write_records_by_case(A.task_records(cases), f"{public_root}/tasks")
-    tables.write_gold_users(planted, restricted_root)
-    tables.write_records_by_case(gold, f"{restricted_root}/gold")
-    tables.write_records_by_case(index, f"{restricted_root}/index")
+    spark, commit = events.sparkSession, commits.new_commit()
+    commits.follow(spark, restricted_root, public_root)
+    tables.write_public(events, users, public_root, commit=commit)
+    tables.write_records_by_case(A.public_index(cases), f"{public_root}/index", commit=commit)
+    tables.write_records_by_case(A.task_records(cases), f"{public_root}/tasks", commit=commit)
+    tables.write_gold_users(planted, restricted_root, commit=commit)
+    tables.write_records_by_case(gold, f"{restricted_root}/gold", commit=commit)
+    tables.write_records_by_case(index, f"{restricted_root}/index", commit=commit)
     if "persona" in users.columns:
-        tables.write_personas(users, restricted_root)
+        tables.write_personas(users, restricted_root, commit=commit)
+    commits.publish(spark, public_root, commit, cases)
     return index
 
 

@@ -53,6 +53,13 @@ GOLD = _struct(
     persona_mix=T.MapType(_S, _D), notes=_S)
 
 
+GOLD_USERS = _struct(instance_id=_S, user_id=_S)
+
+PERSONAS = _struct(instance_id=_S, user_id=_S, persona=_S)
+
+INDEX = _struct(instance_id=_S, base_date=T.DateType(), published=_B)
+
+
 class ForbiddenColumns(ValueError):
     """A table meant for the public root carries answer columns."""
 

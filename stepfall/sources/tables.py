@@ -1,8 +1,9 @@
 """Reading and writing the warehouse: a public root and a restricted root.
 
 All cases live in one table partitioned by ``instance_id``, so opening one case is partition
-pruning.  Writes replace only the cases they hold (dynamic partition overwrite), which makes a
-rerun after a lost executor or a failed job end in the same state.
+pruning.  A root is written in one of two ways: table by table, where a write replaces only the cases it holds
+(dynamic partition overwrite) and a rerun ends in the same state; or by commits (``commits``), where
+all tables of a publish are seen together or not at all.  Readers find out by themselves.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from stepfall import schemas
 from stepfall.plans.joins import small_side
 from stepfall.schemas import conform, require_public
+from stepfall.sources import commits
 
 CASE = "instance_id"
 
@@ -28,7 +30,8 @@ def read_table(spark: SparkSession, root: str, name: str,
                cases: Sequence[str] | None = None) -> DataFrame:
     """``events`` or ``users`` of some cases (all by default)."""
     schema = {"events": schemas.EVENTS, "users": schemas.USERS}[name]
-    df = spark.read.schema(schema).parquet(f"{root}/{name}")
+    df = commits.visible(spark, root, spark.read.schema(schema).parquet(f"{root}/{name}"))
+    df = df.select(*schema.names)
     return df if cases is None else df.filter(F.col(CASE).isin(*cases))
 
 
@@ -39,8 +42,20 @@ def scan_case(events: DataFrame) -> DataFrame:
         F.max("event_ts").alias("last_ts"))
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, whole_files: bool) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", whole_files).json(path)
+def _json(spark: SparkSession, path: str, schema: T.StructType, whole_files: bool = False) -> DataFrame:
+    root = path.rstrip("/").rpartition("/")[0]
+    return commits.visible(spark, root, spark.read.schema(schema).option("multiLine", whole_files).json(path))
+
+
+def read_records(spark: SparkSession, path: str, known: T.StructType | None = None) -> DataFrame:
+    """Records as :func:`write_records_by_case` stored them, with the schema stored beside them.
+
+    ``known`` serves where records came from elsewhere and have none.
+    """
+    schema = commits.stored_schema(spark, path) or known
+    if schema is None:
+        raise ValueError(f"{path} has no stored schema")
+    return _json(spark, path, schema).select(*schema.names)
 
 
 def read_gold(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
@@ -53,19 +68,24 @@ def read_gold(spark: SparkSession, path: str, *, whole_files: bool = False) -> D
 
 def read_gold_headers(spark: SparkSession, root: str) -> DataFrame:
     """The answer records that :func:`write_records_by_case` stored under ``gold``."""
-    return spark.read.json(f"{root}/gold")
+    return read_records(spark, f"{root}/gold", schemas.GOLD)
 
 
 def read_gold_users(spark: SparkSession, root: str) -> DataFrame:
     """The answer ids of all published cases."""
-    return spark.read.parquet(f"{root}/gold_users")
+    stored = spark.read.schema(schemas.GOLD_USERS).parquet(f"{root}/gold_users")
+    return commits.visible(spark, root, stored).select(*schemas.GOLD_USERS.names)
+
+
+def read_personas(spark: SparkSession, root: str) -> DataFrame:
+    """The restricted personas of all published cases."""
+    stored = spark.read.schema(schemas.PERSONAS).parquet(f"{root}/personas")
+    return commits.visible(spark, root, stored).select(*schemas.PERSONAS.names)
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """The stored index of published cases (public or restricted, by the root)."""
-    index = spark.read.json(f"{root}/index")
-    return index.withColumn("base_date", F.to_date("base_date")) if (
-        "base_date" in index.columns) else index
+    return read_records(spark, f"{root}/index", schemas.INDEX)
 
 
 def gold_users(gold: DataFrame) -> DataFrame:
@@ -140,39 +160,46 @@ def leak_guard(**tables: DataFrame) -> dict[str, list[str]]:
 
 
 # --- writers ------------------------------------------------------------------------------
+# With ``commit`` a table goes to that commit's folder, which readers see once it is published.
+
+def _by_case(df: DataFrame, path: str, commit: str | None):
+    """Writer of a table by case, and the path to write to."""
+    if commit is not None:
+        return df.write.mode("errorifexists").partitionBy(CASE), f"{path}/{commits.COMMIT}={commit}"
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.partitionBy(CASE), path
+
 
-def _write_by_case(df: DataFrame, path: str, *order: str) -> None:
-    # "rebalance" gathers a case into few files and splits a case that is too large for one
-    rows = df.hint("rebalance", CASE)
+def _write_by_case(df: DataFrame, path: str, *order: str, commit: str | None = None) -> None:
     if order:
-        # rows in time order: row groups then have narrow ranges, which a time filter skips
+        # rows in this order: row groups then have narrow ranges, which a filter skips
         rows = df.repartitionByRange(CASE, *order).sortWithinPartitions(CASE, *order)
-    (rows.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(CASE).parquet(path))
+    else:
+        # "rebalance" gathers a case into few files and splits a case that is too large for one
+        rows = df.hint("rebalance", CASE)
+    writer, path = _by_case(rows, path, commit)
+    writer.parquet(path)
 
 
-def write_public(events: DataFrame, users: DataFrame, root: str) -> None:
+def write_public(events: DataFrame, users: DataFrame, root: str, *, commit: str | None = None) -> None:
     """Write the public ``events`` and ``users`` of the cases at hand, after the guard."""
     public_events, public_users = publish_events(events, users), publish_users(users)
-    _write_by_case(public_events, f"{root}/events", "event_ts")
-    _write_by_case(public_users, f"{root}/users")
+    _write_by_case(public_events, f"{root}/events", "event_ts", commit=commit)
+    _write_by_case(public_users, f"{root}/users", commit=commit)
 
 
-def write_restricted(df: DataFrame, root: str, name: str) -> None:
+def write_restricted(df: DataFrame, root: str, name: str, *, commit: str | None = None) -> None:
     """Restricted table by case: ``personas``, ``gold_users``, ``answer_index`` and so on."""
-    _write_by_case(df, f"{root}/{name}")
+    _write_by_case(df, f"{root}/{name}", commit=commit)
 
 
-def write_personas(users: DataFrame, root: str) -> None:
-    write_restricted(users.select(CASE, "user_id", "persona"), root, "personas")
+def write_personas(users: DataFrame, root: str, *, commit: str | None = None) -> None:
+    write_restricted(users.select(*schemas.PERSONAS.names), root, "personas", commit=commit)
 
 
-def write_gold_users(planted: DataFrame, root: str) -> None:
+def write_gold_users(planted: DataFrame, root: str, *, commit: str | None = None) -> None:
     """Answer ids as a globally sorted table: within a case, files and rows follow the id."""
-    (planted.select(CASE, "user_id").repartitionByRange(CASE, "user_id")
-     .sortWithinPartitions(CASE, "user_id")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(CASE).parquet(f"{root}/gold_users"))
+    _write_by_case(planted.select(CASE, "user_id"), f"{root}/gold_users", "user_id", commit=commit)
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -180,12 +207,14 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_records_by_case(df: DataFrame, path: str) -> None:
-    """JSON lines by case: gold headers, tasks and indexes; other cases keep what they have."""
+def write_records_by_case(df: DataFrame, path: str, *, commit: str | None = None) -> None:
+    """JSON lines by case with their schema: gold headers, tasks and indexes; other cases keep what they have."""
     if df.columns == [CASE]:                 # a file must hold something beside the case
         df = df.withColumn("published", F.lit(True))
-    (df.hint("rebalance", CASE).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(CASE).json(path))
+    commits.keep_schema(df, path)
+    writer, path = _by_case(df.hint("rebalance", CASE), path, commit)
+    # a column without any value is still written, so a record says all it has
+    writer.option("ignoreNullFields", False).json(path)
 
 
 def write_map(mapping: DataFrame, root: str) -> None:
