@@ -25,7 +25,6 @@ ties are ordered by the UTF-8 bytes of the item; an empty table gives no rows; o
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -45,10 +44,13 @@ TOP = 50
 DIGEST_BITS = 64
 SIDE = 64                    # sources of a tile's side
 BUCKET = 4096                # terms of a tile, about
+ENTRIES = 250_000            # terms by source that a task counts before it sends them
 
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+# A term is letters A to Z, in small letters, and bytes of characters beyond ASCII; all else separates.
+_TERM_BYTES = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-COUNTS = "lang string, source string, digest long, part string, n long, docs long"
+COUNTS = "lang string, source string, digest long, n long, docs long"
+COUNTS_BY_STRING = "lang string, source string, digest long, n long, docs long, part string"
 NAMES = "lang string, digest long, low string, high string"
 PARTIAL = "lang string, a int, b int, value long, seen long"
 
@@ -62,52 +64,67 @@ def digests(terms: list[bytes], bits: int) -> np.ndarray:
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[str, str, list[bytes]]]:
     texts = batch.column("text").cast(pa.binary())
     for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
-        yield lang, source, TERM.findall(text.as_py().lower())
+        yield lang, source, text.as_py().translate(_TERM_BYTES).split()
 
 
 def _counted(bits: int, by_string: bool) -> Callable:
-    """Occurrences and documents of every digest, or of every string, within a batch."""
+    """Occurrences and documents of every digest, or of every string; a task sends at most ``ENTRIES`` at once."""
+    def rows(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in counts.items():
+            terms, k, spread = list(found), len(found), docs[lang, source]
+            columns = {"lang": pa.repeat(pa.scalar(lang), k), "source": pa.repeat(pa.scalar(source), k),
+                       "digest": pa.array(digests(terms, bits), pa.int64()),
+                       "n": pa.array(list(found.values()), pa.int64()),
+                       "docs": pa.array(list(map(spread.__getitem__, terms)), pa.int64())}
+            if by_string:
+                columns["part"] = pa.array([t.decode() for t in terms], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
         for batch in batches:
-            counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-            docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
             for lang, source, terms in _documents(batch):
-                counts[lang, source].update(terms)
+                group = counts[lang, source]
+                held -= len(group)
+                group.update(terms)
+                held += len(group)
                 docs[lang, source].update(set(terms))
-            for (lang, source), found in counts.items():
-                terms = list(found)
-                k = len(terms)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()),
-                    pa.array(digests(terms, bits), pa.int64()),
-                    pa.array([t.decode() if by_string else "" for t in terms], pa.string()),
-                    pa.array([found[t] for t in terms], pa.int64()),
-                    pa.array([docs[lang, source][t] for t in terms], pa.int64())],
-                    names=["lang", "source", "digest", "part", "n", "docs"])
+                if held >= ENTRIES:
+                    yield from rows(counts, docs)
+                    counts, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+        yield from rows(counts, docs)
     return run
 
 
 def _named(bits: int) -> Callable:
-    """Least and greatest string of every digest within a batch."""
+    """Least and greatest string of every digest; a task sends at most ``ENTRIES`` at once."""
+    def rows(terms: dict) -> Iterator[pa.RecordBatch]:
+        for lang, found in terms.items():
+            ordered = sorted(found)
+            key = digests(ordered, bits)
+            _, first = np.unique(key, return_index=True)
+            _, last = np.unique(key[::-1], return_index=True)
+            names = pa.array([t.decode() for t in ordered], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(first), pa.string()), pa.array(key[first]), names.take(pa.array(first)),
+                 names.take(pa.array(len(ordered) - 1 - last))], names=["lang", "digest", "low", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, held = defaultdict(set), 0
         for batch in batches:
-            terms: dict[str, set[bytes]] = defaultdict(set)
             for lang, _, found in _documents(batch):
+                held -= len(terms[lang])
                 terms[lang].update(found)
-            for lang, found in terms.items():
-                ordered = sorted(found)
-                key = digests(ordered, bits)
-                _, first = np.unique(key, return_index=True)
-                _, last = np.unique(key[::-1], return_index=True)
-                names = pa.array([t.decode() for t in ordered], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(first), pa.string()), pa.array(key[first]), names.take(pa.array(first)),
-                     names.take(pa.array(len(ordered) - 1 - last))], names=["lang", "digest", "low", "high"])
+                held += len(terms[lang])
+                if held >= ENTRIES:
+                    yield from rows(terms)
+                    terms, held = defaultdict(set), 0
+        yield from rows(terms)
     return run
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang", "source", "digest", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def _summed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.groupBy("lang", "source", "digest", *more).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
@@ -118,7 +135,7 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
 def kept_terms(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Kept terms ``lang, digest, part, term, total`` and their counts by source (above zero)."""
     texts = rows.filter("text <> ''")
-    counts = cut(_summed(texts.mapInArrow(_counted(bits, False), COUNTS)))
+    counts = cut(_summed(texts.mapInArrow(_counted(bits, False), COUNTS)).withColumn("part", F.lit("")))
     kept = cut(_frequent(counts, least))
     key = ["lang", "digest"]
     names = cut(texts.mapInArrow(_named(bits), NAMES).join(small_side(kept.select(*key)), key, "left_semi")
@@ -126,8 +143,8 @@ def kept_terms(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataF
     counts = counts.join(small_side(kept.select(*key)), key, "left_semi")
     collided = names.filter("low <> high").select(*key)
     if not collided.isEmpty():
-        by_string = _summed(texts.mapInArrow(_counted(bits, True), COUNTS).join(
-            small_side(collided), key, "left_semi"))
+        by_string = _summed(texts.mapInArrow(_counted(bits, True), COUNTS_BY_STRING).join(
+            small_side(collided), key, "left_semi"), "part")
         counts = cut(counts.join(collided, key, "left_anti").unionByName(by_string))
         kept = _frequent(counts, least)
         counts = counts.join(small_side(cut(kept).select(*key, "part")), [*key, "part"], "left_semi")
@@ -137,11 +154,13 @@ def kept_terms(rows: DataFrame, least: int, bits: int) -> tuple[DataFrame, DataF
 
 
 def share(count: Column, total: Column, kept: Column, smooth: int = SMOOTH) -> Column:
-    """The share of a term, in whole parts of ``SCALE``; exact whatever the size of the counts."""
+    """The share of a term, in whole parts of ``SCALE``; counts beyond 64-bit products take decimals."""
     wide = lambda c, digits=20: c.cast(f"decimal({digits},0)")
-    top = (wide(count) + wide(F.lit(smooth), 3)) * wide(F.lit(SCALE), 10)
-    under = wide(total) + wide(kept) * wide(F.lit(smooth), 3)
-    return F.lit(1).cast("long") + F.call_function("div", top, under)
+    count, total, kept = (c.cast("long") for c in (count, total, kept))
+    narrow = F.call_function("div", (count + F.lit(smooth)) * F.lit(SCALE), total + kept * F.lit(smooth))
+    exact = F.call_function("div", (wide(count) + wide(F.lit(smooth), 3)) * wide(F.lit(SCALE), 10),
+                            wide(total) + wide(kept) * wide(F.lit(smooth), 3))
+    return F.lit(1).cast("long") + F.when(count < F.lit((1 << 62) // SCALE), narrow).otherwise(exact)
 
 
 def _tile(side: int) -> Callable:
