@@ -6,10 +6,14 @@ per query are cut inside each task before anything moves by query.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfall.plans.joins import small_side
+from stepfall.plans.materialize import cut
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -26,33 +30,110 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
-              b: float = 0.75) -> DataFrame:
-    """Lexical top-k of ``corpus(doc_id, text)`` for ``queries(query_id, text)``.
+MARKS = 256                  # names that mark documents, so that no name is hot
+_MARK = "\u0000"
+
+
+class LexicalIndex(NamedTuple):
+    """Postings of a corpus and what is known of them by block.
+
+    ``postings`` (doc_id, dl, term, tf, shard): one row per document and term.  ``blocks`` (term, shard, n,
+    max_tf, min_dl): per term and class of document lengths.  ``marks`` (dl, tf): one row per document.
+    """
+
+    postings: DataFrame
+    blocks: DataFrame
+    marks: DataFrame
+
+
+def term_frequencies(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """``doc_id, dl, term, tf, shard`` of all documents in one tokenising pass.
+
+    Every document also has a row of a mark instead of a term, so that documents and their mean length can be
+    counted from the same rows.  ``only`` limits the terms (column ``term``).  A shard is a class of
+    document lengths; lengths in a shard differ by at most about 40 %.
+    """
+    mark = F.concat(F.lit(_MARK), F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("string"))
+    terms = F.concat(F.coalesce("t", F.array().cast("array<string>")), F.array(mark))
+    rows = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select(
+        "doc_id", F.size("t").alias("dl"), F.explode(terms).alias("term"))
+    if only is not None:
+        marks = corpus.sparkSession.range(MARKS).select(
+            F.concat(F.lit(_MARK), F.col("id").cast("string")).alias("term"))
+        rows = rows.join(small_side(only.select("term").distinct().unionByName(marks)), "term", "left_semi")
+    shard = F.coalesce(F.floor(2 * F.log2(F.col("dl") + 1)), F.lit(0)).cast("int")
+    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).withColumn("shard", shard)
+
+
+def _is_mark() -> Column:
+    return F.col("term").startswith(_MARK)
+
+
+def blocks_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "shard").agg(
+        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def lexical_index(frequencies: DataFrame) -> LexicalIndex:
+    """An index over stored term frequencies."""
+    postings = frequencies.filter(~_is_mark())
+    return LexicalIndex(postings, blocks_of(postings), frequencies.filter(_is_mark()).select("dl", "tf"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+def bm25_search(index: LexicalIndex, queries: DataFrame, *, k: int = 10, k1: float = 1.2, b: float = 0.75,
+                prune: bool = True) -> DataFrame:
+    """Lexical top-k of an index for ``queries(query_id, text)``; exact with and without ``prune``.
 
     The term weight is ``max(0, ln((N - n + 0.5) / (n + 0.5)))``: a term in half of the corpus
     or more weighs nothing and is left out of the join without changing a score.
+
+    With ``prune``, the shards with the highest bounds are scored first, as many as are needed for k
+    documents.  Their k-th score is a floor; of the other shards only those whose bound (greatest tf
+    with the least length, for every term) reaches it are read.
     """
-    docs = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select(
-        "doc_id", F.size("t").alias("dl"), "t")
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    found = (
-        docs.select("doc_id", "dl", F.explode("t").alias("term"))
-        .join(small_side(asked.select("term").distinct()), "term", "left_semi")
-        .groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
-    n_docs = docs.agg(F.count("*")).scalar()
-    mean_length = docs.agg(F.avg("dl")).scalar()
+    asked = asked_terms(queries)
+    n_docs = index.marks.agg(F.sum("tf")).scalar()
+    mean = index.marks.agg(F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).scalar()
     n = F.col("n")
+    wanted = index.blocks.join(small_side(asked.select("term").distinct()), "term", "left_semi")
     weights = (
-        found.groupBy("term").agg(F.count("*").alias("n"))
+        wanted.groupBy("term").agg(F.sum("n").alias("n"))
         .withColumn("w", F.ln((n_docs - n + 0.5) / (n + 0.5))).filter("w > 0"))
-    tf = F.col("tf")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean_length))
-    scored = (
-        found.join(asked.join(weights.select("term", "w"), "term"), "term")
-        .groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")))
-    return top_k(scored, k)
+    weighted = asked.join(weights.select("term", "w"), "term")
+
+    def part(tf: str, dl: str) -> Column:
+        tf, dl = F.col(tf), F.col(dl)
+        return F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+
+    def scored(terms: DataFrame, on: list[str]) -> DataFrame:
+        return index.postings.join(small_side(terms), on).groupBy("query_id", "doc_id").agg(
+            F.sum(part("tf", "dl")).alias("score"))
+
+    if not prune:
+        return top_k(scored(weighted, ["term"]), k)
+    bounds = weighted.join(wanted, "term").groupBy("query_id", "shard").agg(
+        F.sum(part("max_tf", "min_dl")).alias("bound"), F.max("n").alias("least_docs"))
+    by_bound = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "shard")
+    ahead = F.sum("least_docs").over(by_bound.rowsBetween(Window.unboundedPreceding, -1))
+    placed = bounds.withColumn("first", F.coalesce(ahead, F.lit(0)) < k)
+    first = scored(placed.filter("first").join(weighted, "query_id").select("query_id", "shard", "term", "w"),
+                   ["term", "shard"])
+    floor = top_k(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    second = placed.filter("NOT first").join(floor, "query_id", "left").filter(
+        F.col("bound") >= F.coalesce(F.col("least"), F.lit(0.0)) - 1e-8)
+    rest = scored(second.join(weighted, "query_id").select("query_id", "shard", "term", "w"), ["term", "shard"])
+    return top_k(first.unionByName(rest), k)
+
+
+def bm25_topk(corpus: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 1.2,
+              b: float = 0.75) -> DataFrame:
+    """Lexical top-k of ``corpus(doc_id, text)`` without a stored index (see :func:`bm25_search`)."""
+    index = lexical_index(cut(term_frequencies(corpus, asked_terms(queries))))
+    return bm25_search(index, queries, k=k, k1=k1, b=b, prune=False)
 
 
 def unit(vector: Column) -> Column:

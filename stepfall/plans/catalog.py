@@ -662,10 +662,14 @@ def label_agreement(w):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-def _bm25(w: ClickWarehouse, **weights: float) -> DataFrame:
-    return retrieval.bm25_topk(
-        w.table("documents").select("doc_id", "text"),
-        w.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), **weights)
+def _asked(w: ClickWarehouse) -> DataFrame:
+    return w.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _lexical(w: ClickWarehouse) -> retrieval.LexicalIndex:
+    """Frequencies of the terms that are asked for, stored once for all searches of a query."""
+    corpus = w.table("documents").select("doc_id", "text")
+    return retrieval.lexical_index(cut(retrieval.term_frequencies(corpus, retrieval.asked_terms(_asked(w)))))
 
 
 def _dense(w: ClickWarehouse) -> DataFrame:
@@ -686,7 +690,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query
 def bm25_topk(w):
-    return _shown(_bm25(w))
+    return _shown(retrieval.bm25_search(_lexical(w), _asked(w), prune=False))
 
 
 @query
@@ -697,7 +701,10 @@ def dense_topk(w):
 @query
 def hybrid_topk(w):
     """Two rankings of the same documents: as usual, and with length counting for nothing."""
-    return _shown(retrieval.fused_topk([_bm25(w), _bm25(w, k1=0.4, b=0.0)]))
+    index, asked = _lexical(w), _asked(w)
+    return _shown(retrieval.fused_topk([
+        retrieval.bm25_search(index, asked, prune=False),
+        retrieval.bm25_search(index, asked, k1=0.4, b=0.0, prune=False)]))
 
 
 # --- the larger order-line stream ---------------------------------------------------------

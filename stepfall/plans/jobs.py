@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepfall import constants as K
 from stepfall.operators import answers as A
-from stepfall.operators import detect, funnel, score, sessions, symptoms
+from stepfall.operators import detect, funnel, retrieval, score, sessions, symptoms
 from stepfall.plans.attribution import all_systems
 from stepfall.plans.materialize import cut
 from stepfall.session import tune
@@ -57,6 +57,29 @@ def publish_cases(
     return index
 
 
+def build_lexical_index(corpus: DataFrame, path: str) -> None:
+    """Store the index of ``corpus(doc_id, text)`` for any number of query sets.
+
+    Rows are ranged by shard, term and document, so a term in most documents spreads over many files,
+    and within a file they are sorted by term: a search opens the shards it needs and skips row groups.
+    """
+    spark = corpus.sparkSession
+    rows = retrieval.term_frequencies(corpus).repartitionByRange("shard", "term", "doc_id")
+    rows.sortWithinPartitions("shard", "term", "doc_id").write.mode("overwrite").partitionBy("shard").parquet(
+        f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    index = retrieval.lexical_index(stored)
+    index.marks.write.mode("overwrite").parquet(f"{path}/marks")
+    index.blocks.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
+        f"{path}/blocks")
+
+
+def open_lexical_index(spark: SparkSession, path: str) -> retrieval.LexicalIndex:
+    """The index that :func:`build_lexical_index` stored."""
+    postings = retrieval.lexical_index(spark.read.parquet(f"{path}/postings")).postings
+    return retrieval.LexicalIndex(postings, spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/marks"))
+
+
 class SuiteRun(NamedTuple):
     hypotheses: DataFrame
     scores: DataFrame

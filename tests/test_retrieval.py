@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -36,6 +37,48 @@ def test_bm25_equals_brute_force(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 7] == [1, 2]
 
 
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    from stepfall.plans import jobs
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, [1 / (1 + j) for j in range(60)], k=rng.choice([0, 3, 12, 200]))))
+             for i in range(600)] + [(600, None), (601, "w0 w1"), (601, "w0 w1")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    path = str(tmp_path_factory.mktemp("index"))
+    jobs.build_lexical_index(docs, path)
+    return docs, jobs.open_lexical_index(spark, path)
+
+
+@pytest.mark.parametrize("k,k1,b", [(1, 1.2, 0.75), (7, 1.2, 0.75), (5, 0.4, 0.0), (1000, 1.2, 1.0)])
+def test_a_stored_index_serves_any_query_set(spark, stored, k, k1, b):
+    docs, index = stored
+    for asked in (["w3 w40", "w59", "none"], ["w10 w11 w12 w13", "w0", "w50 w50 w2"]):
+        queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+        plain = retrieval.bm25_topk(docs, queries, k=k, k1=k1, b=b)
+        for prune in (True, False):
+            got = retrieval.bm25_search(index, queries, k=k, k1=k1, b=b, prune=prune)
+            assert rows(got, "query_id", "rank", "doc_id", "score") == rows(
+                plain, "query_id", "rank", "doc_id", "score")
+
+
+def test_blocks_bound_their_postings(stored):
+    _, index = stored
+    joined = index.postings.join(index.blocks, ["term", "shard"])
+    assert joined.count() == index.postings.count()
+    assert joined.filter("tf > max_tf OR dl < min_dl").count() == 0
+    assert index.marks.agg({"tf": "sum"}).collect()[0][0] == 603
+
+
+def test_texts_are_read_once(spark, stored, tmp_path):
+    docs, _ = stored
+    docs.write.parquet(f"{tmp_path}/corpus")
+    got = retrieval.bm25_topk(spark.read.parquet(f"{tmp_path}/corpus"),
+                              spark.createDataFrame([(1, "w3")], "query_id int, text string"))
+    # what is left to run reads the stored frequencies only
+    assert got.inputFiles() and not [f for f in got.inputFiles() if f.startswith(f"file://{tmp_path}/corpus")]
+
+
 def test_cosine_order_and_ties(spark):
     docs = spark.createDataFrame(
         [(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0])],
