@@ -136,9 +136,11 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
                            ["key", "c1", "c2"], "place")
         found = last.select("key", F.col("place").alias("end"), F.col("need").alias("left"),
                             F.col("over").alias("beyond"))
-        state = cut(state.join(found, "key", "left").select(
-            "key", "source_size", "pref", "target", F.coalesce("left", F.lit(0.0)).alias("need"),
-            F.coalesce("left", F.lit(0.0)).alias("largest"),
+        # where all that is left fits, its words are taken off and the rest stays a shortage
+        words = fit.groupBy("key").agg(F.sum("size").alias("words"))
+        left = F.coalesce("left", F.col("need") - F.coalesce("words", F.lit(0)))
+        state = cut(state.join(found, "key", "left").join(words, "key", "left").select(
+            "key", "source_size", "pref", "target", left.alias("need"), left.alias("largest"),
             F.coalesce("end", F.lit(float("inf"))).alias("start"),
             F.when(F.size("cuts") == 0, F.coalesce("beyond", F.lit(float("inf")))).otherwise(
                 F.col("over")).alias("over"),

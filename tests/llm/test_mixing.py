@@ -75,3 +75,23 @@ def test_empty_repeated_and_clashing(spark, make_docs):
     assert len(got) == 6 and {r["_row"]["size"] for r in got} == {"s"}
     rows = mixing.repeated(run(docs))
     assert rows.columns == docs.columns
+
+
+def test_a_source_whose_target_is_just_under_its_size(make_docs):
+    rows = [(i, " ".join(["w"] * 100), "a") for i in range(20)] + [(99, " ".join(["w"] * 786), "b")]
+    got = run(make_docs(rows)).collect()
+    target = next(r.target for r in got if r["_row"]["source"] == "a")
+    taken = sum(r.taken for r in got if r["_row"]["source"] == "a")
+    assert 1985 < target < 2000
+    # all but one document would miss the target by 90 words, all of them by 10
+    assert taken == 2000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_what_is_missed_is_never_more_than_the_document_that_did_not_fit(make_docs, seed):
+    sizes = [900, 700, 300, 40, 40, 7, 5, 3, 1, 1]
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(99, " ".join(["w"] * 799), "b")]
+    got = run(make_docs(rows), seed=seed).collect()
+    target = next(r.target for r in got if r["_row"]["source"] == "a")
+    taken = sum(r.taken for r in got if r["_row"]["source"] == "a")
+    assert abs(taken - target) <= 500
