@@ -44,6 +44,7 @@ WINDOW = 8                   # words on either side of a hit
 REMEMBERED = 60              # bytes of words that are remembered; longer ones are matched each time
 FEATURES = 6
 QUOTES = re.compile(rb'"|\xe2\x80[\x9c-\x9e]|\xc2[\xab\xbb]')
+STRAIGHT = re.compile(rb'"|\n[ \t\r]*\n')      # and ends of paragraphs
 OPENING, CLOSING, LOW, ANGLE = b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xe2\x80\x9e", b"\xc2\xab"
 BEHIND = (b"'", b"\xe2\x80\x98")          # single marks only tell when a word follows at once
 
@@ -183,18 +184,43 @@ def lowered(data: np.ndarray) -> bytes:
     return data.tobytes().lower()
 
 
+def _word_byte(raw: bytes, at: int) -> bool:
+    c = raw[at]
+    return c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
+
+
+def _straight_pairs(raw: bytes, text_from: int, text_to: int) -> set[int]:
+    """Places of the straight marks that open or close a quotation.
+
+    One opens behind anything but a letter or digit (an inch mark does not), and only if another one closes
+    it in the same paragraph.
+    """
+    out, opened = set(), -1
+    for m in STRAIGHT.finditer(raw, text_from, text_to):
+        at = m.start()
+        if m.group() != b'"':
+            opened = -1
+        elif opened >= 0:
+            out.update((opened, at))
+            opened = -1
+        elif at == text_from or not _word_byte(raw, at - 1):
+            opened = at
+    return out
+
+
 def _quotations(raw: bytes, text_from: int, text_to: int) -> tuple[list[int], list[bool]]:
     """Places behind a text's quotation marks, and whether a quotation is open from there on.
 
-    Straight marks open and close in turn.  A closing mark closes one that is open, if any; the mark
-    that opens in English closes after a low one.
+    Straight marks open and close in turn, see ``_straight_pairs``.  A closing mark closes one that is open,
+    if any; the mark that opens in English closes after a low one.
     """
     places, opened = [], []
     straight, curly, low, angle = False, 0, 0, 0
+    pairs = _straight_pairs(raw, text_from, text_to)
     for m in QUOTES.finditer(raw, text_from, text_to):
         mark = m.group()
         if mark == b'"':
-            straight = not straight
+            straight ^= m.start() in pairs
         elif mark == LOW:
             low += 1
         elif mark == OPENING and not low:
@@ -213,10 +239,16 @@ def _quotations(raw: bytes, text_from: int, text_to: int) -> tuple[list[int], li
 
 def _quoted(raw: bytes, text_from: int, at: int,
             marks: tuple[list[int], list[bool]] | None = None) -> bool:
-    """Whether a word stands right behind a quotation mark or inside a quotation of its text."""
-    if raw.endswith(BEHIND, text_from, at):
-        return True
-    places, opened = marks if marks is not None else _quotations(raw, text_from, at)
+    """Whether a word stands right behind a quotation mark or inside a quotation of its text.
+
+    A single mark behind a letter is an apostrophe (as in French elision) and opens nothing.
+    """
+    for mark in BEHIND:
+        if raw.endswith(mark, text_from, at):
+            before = at - len(mark)
+            if before == text_from or not _word_byte(raw, before - 1):
+                return True
+    places, opened = marks if marks is not None else _quotations(raw, text_from, len(raw))
     k = bisect_right(places, at)
     return k > 0 and opened[k - 1]
 

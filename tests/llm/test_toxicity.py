@@ -87,6 +87,18 @@ def test_quotations_of_any_length():
         assert (x[1, 3] > 0) == want and (x[1, 1] > 0) != want, text
 
 
+@pytest.mark.parametrize("text,want", [
+    ("c'est l'stupid du village", False), ("il a dit 'stupid' hier", True), ("qu\u2019il est stupid", False),
+    ("d\u2018stupid", False), ("a 5\" pipe and the stupid one", False), ("a 5\" pipe and \"the stupid\" one", True),
+    ("ein 19\" Schirm, du stupid", False), ("er sagte \u201aja\u2018 und stupid", False), ("er rief: \"stupid!\"", True),
+    ("sie rief \u201edu stupid\u201c", True), ("el dijo \"hola y\n\nstupid", False), ("\u00abstupid\u00bb dijo", True),
+    ("un tubo de 3\" y un stupid", False), ("'stupid' dijo", True), ("(\"stupid\")", True),
+    ("il dit \"oui\" et stupid", False), ("\"a\n\n\"b stupid\" c", True), ("don't be 'that' stupid", False)])
+def test_apostrophes_and_inch_marks(text, want):
+    raw = text.encode()
+    assert T._quoted(raw, 0, raw.index(b"stupid")) == want
+
+
 def test_context_changes_features():
     finder = T.Finder(T.Model(list(TERMS.items()), [], [0.0] * T.FEATURES))
     texts = ["stupid idiot", "stupid " + "a " * 30 + "idiot", 'she wrote "stupid idiot"', "stupld", ""]
