@@ -24,40 +24,48 @@ from stepfall.llm import secrets as secret_scan
 from stepfall.llm.common import prepared, table, word_count
 from stepfall.plans.materialize import cut
 
+# Texts in a Python worker at a time; workers keep what memory they once took, from stage to stage.
+BATCH_BYTES = 4 << 20
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Learned models and sampling take part, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def ready(spark: SparkSession) -> None:
+    prepared(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic.  Null and empty texts stay."""
-    prepared(spark)
+    ready(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, whatever their ids; texts without words are never near-duplicates."""
-    prepared(spark)
+    ready(spark)
     return minhash.one_of_each_component(docs, minhash.Banding(words=5))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets are replaced and ``n_chars`` follows the text."""
-    prepared(spark)
+    ready(spark)
     return secret_scan.redacted(docs, secret_scan.train(docs), length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, three times at most."""
-    prepared(spark)
+    ready(spark)
     return mixing.repeated(mixing.mix(docs, size=word_count(F.col("text"))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where it comes from and where it lies."""
-    prepared(spark)
+    ready(spark)
     return packing.packed_documents(docs, TOKENIZER).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
