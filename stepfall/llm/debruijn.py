@@ -1,10 +1,11 @@
-"""Remove long passages that occurred before, by de Bruijn compaction of word windows.
+"""Remove long passages that occurred before, by paths of word windows.
 
-The graph's edges are windows of ``k`` words.  A run of windows between two minimizers is a path of
+The windows of ``k`` words are the edges of a token graph.  Neither its nodes and degrees nor the joins
+that contract its paths are built: a run of windows between two minimizers is taken as a path of
 edges that an occurrence enters and leaves as a whole, and it is stored as one row (``paths``).
 A Spark shuffle joins the paths by their anchor.  Where an anchor leads into one path only, the path
-does not branch: it stays compact, and all occurrences but the earliest are repeats from end to end.
-Where paths branch, only the earliest occurrence of each path is opened into its edges again; a second
+stays compact, and all occurrences but the earliest are repeats from end to end.
+Where several follow, only the earliest occurrence of each path is opened into its edges again; a second
 shuffle joins those by edge and the earliest source coordinate (document, place) keeps it.
 The coordinates found are merged into spans, and every word under a repeated edge goes.
 

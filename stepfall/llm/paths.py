@@ -21,9 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from stepfall.plans.materialize import cut
 
@@ -33,6 +32,8 @@ PIECE = 1 << 22              # symbols of one text looked at together
 SLICE_BYTES = 1 << 20        # texts are looked at together up to so many bytes
 CHUNK_RUNS = 400_000         # runs a task settles by itself before it sends them
 NULL_DOC = -(1 << 63)
+MARK_SEED = 42               # the seed of Spark's xxhash64
+FILTER_BITS = 1 << 26        # bits that tell which texts have findings: a broadcast of 8 MB at most
 
 RUNS = "core long, path long, doc_id long, place long, shape int"
 FOUND = "doc_id long, place long, n int, core long, shape int, open boolean"
@@ -51,6 +52,11 @@ class Windows:
     words: bool
     keep_first: bool
 
+    def __post_init__(self) -> None:
+        # a run's number of windows and its anchor's offset share 31 bits, 14 of them for the offset
+        if not 0 < self.m <= self.k or self.k - self.m >= 1 << 14:
+            raise ValueError("an anchor needs 1 to length symbols, and a window at most 16,383 more")
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
@@ -140,9 +146,9 @@ def text_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[tupl
 
 
 def text_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32 bits of each text's hash: tells rows apart that share a doc_id."""
+    """31 bits of each text's hash: tells rows apart that share a doc_id.  Equal to ``text_mark``."""
     whole = data.tobytes()
-    return np.array([xxhash.xxh3_64_intdigest(whole[a:b]) >> 33
+    return np.array([xxhash.xxh64_intdigest(whole[a:b], MARK_SEED) >> 33
                      for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
 
 
@@ -407,7 +413,7 @@ def settled(w: Windows):
 def of_text(found: pa.Scalar, mark: int | bytes) -> list[dict]:
     """What was found for the text with this mark among those gathered for its doc_id."""
     if isinstance(mark, bytes):
-        mark = xxhash.xxh3_64_intdigest(mark) >> 33
+        mark = xxhash.xxh64_intdigest(mark, MARK_SEED) >> 33
     return [r for x in found.as_py() if x["mark"] == mark for r in x["found"]]
 
 
@@ -446,20 +452,37 @@ def per_document(rows: DataFrame, *fields: str) -> DataFrame:
         F.collect_set(F.struct(F.shiftright("place", 31).alias("lo"), *fields)).alias("found")))
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the mark of their text."""
-    for batch in batches:
-        for a, b, data, offsets in text_slices(batch):
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(text_marks(data, offsets))],
-                names=[*part.schema.names, "_mark"])
+def text_mark(text: Column) -> Column:
+    """What ``text_marks`` gives, as an expression."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33)
+
+
+def _slot() -> tuple[Column, Column]:
+    """Which bitmap a (_key, _mark) belongs to, and its bit there."""
+    slot = F.pmod(F.xxhash64("_key", "_mark"), F.lit(FILTER_BITS))
+    return F.shiftright(slot, 15).cast("int"), slot.bitwiseAND(0x7FFF)
 
 
 def with_texts(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Texts joined with what ``per_document`` gathered for them, by document and mark of the text."""
+    """Texts joined with what ``per_document`` gathered for them, by document and mark of the text.
+
+    Only texts that may have findings are shuffled.  A bitmap of hashed keys, of fixed size and
+    therefore broadcast, tells which; the join decides.  With findings in far more than
+    ``FILTER_BITS`` texts the bitmap fills up and all texts are shuffled, with the same result.
+    """
+    group, bit = _slot()
     side = found.select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"),
                         F.array(F.struct("mark", "found")).alias("_found"))
-    rows = docs.mapInArrow(_marked, StructType([*docs.schema.fields, StructField("_mark", LongType())]))
-    return rows.withColumn("_key", F.coalesce("doc_id", F.lit(NULL_DOC))).join(
-        side, ["_key", "_mark"], how).drop("_key", "_mark")
+    named = side.select(group.alias("_group"), bit.alias("_bit")).repartition("_group").groupBy("_group").agg(
+        F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(NULL_DOC)), "_mark": text_mark(F.col("text"))})
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.expr("shiftright(_byte, cast(_bit & 7 AS int)) & 1") == 1
+    rows = rows.withColumns({"_group": group, "_bit": bit}).join(F.broadcast(named), "_group", "left").withColumn(
+        "_byte", F.coalesce(byte, F.lit(0)))
+    columns = [*docs.columns, "_found"]
+    joined = rows.filter(maybe).select(*docs.columns, "_key", "_mark").join(side, ["_key", "_mark"], how).select(*columns)
+    if how == "inner":
+        return joined
+    rest = rows.filter(~maybe).withColumn("_found", F.lit(None).cast(side.schema["_found"].dataType))
+    return joined.unionByName(rest.select(*columns))

@@ -1,13 +1,13 @@
-"""Remove byte strings that occur more than once, by prefix-free parsing and suffix order.
+"""Remove byte strings that occur more than once, by triggered phrases and their order.
 
 A rolling hash over grams of ``anchor`` bytes triggers phrases: a trigger is a gram that is the least
-in some window of ``length`` bytes.  All windows with the same trigger form a phrase, whose distinct
-contents are the dictionary; texts are the parse, rows of (trigger, phrase, place).  Highly
-repetitive text has few phrases: equal ones meet in a shuffle by trigger and are repeated from end
-to end (``paths``).
+in some window of ``length`` bytes.  All windows of a text with the same trigger form a phrase.  Equal
+phrases meet in a shuffle by trigger and are repeated from end to end (``paths``).  This is not the full
+prefix-free parsing: no suffix array of a dictionary and of a parse is built, and no order of the whole
+corpus.
 
-Phrases that share a trigger but differ are put in corpus order: once by the suffix that begins at the trigger,
-once by the reversed prefix that ends there, range-partitioned so that no trigger's phrases gather
+Phrases that share a trigger but differ are ordered twice: by the suffix that begins at the trigger and
+by the reversed prefix that ends there, range-partitioned so that no trigger's phrases gather
 in one task.  The longest common prefixes with the neighbours in the two orders bound how far any
 other phrase agrees to the right and to the left, and so which windows can be repeated at all.  Just
 those are compared one by one, by trigger and content.

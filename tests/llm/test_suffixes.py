@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from llm_fixtures import make_docs, sf_of  # noqa: F401
 
@@ -97,3 +98,28 @@ def test_query_against_brute_force(spark, make_docs, sf_of):  # noqa: F811
 
 def test_empty_table(make_docs):  # noqa: F811
     assert suffixes.without_repeats(make_docs([])).count() == 0
+
+
+def test_marks_agree_in_both_engines(spark, make_docs):  # noqa: F811
+    texts = ["", None, "a", "é" * 40, "line\nline", "x" * 100_000]
+    docs = make_docs(list(enumerate(texts)))
+    got = {r.doc_id: r.mark for r in docs.select("doc_id", paths.text_mark(docs.text).alias("mark")).collect()}
+    raw = [(x or "").encode() for x in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.cumsum([0, *map(len, raw)])
+    assert [got[i] for i in range(len(texts))] == paths.text_marks(data, offsets).tolist()
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 15])
+def test_a_full_bitmap_changes_nothing(spark, make_docs, monkeypatch, bits):  # noqa: F811
+    monkeypatch.setattr(paths, "FILTER_BITS", bits)
+    rows = texts(6)
+    got = suffixes.without_repeats(make_docs(rows).repartition(3), length=20, anchor=6).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 20)
+
+
+def test_windows_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError):
+        paths.Windows(20_000, 64, words=False, keep_first=False)
+    with pytest.raises(ValueError):
+        paths.Windows(20, 21, words=True, keep_first=True)
