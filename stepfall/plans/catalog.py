@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stepfall import constants as K
 from stepfall.operators import (
     answers, cohorts, confounders, detect, funnel, names, retrieval, score, sessions, severity,
-    symptoms,
+    significance, symptoms,
 )
 from stepfall.plans import attribution
 from stepfall.plans.materialize import cut
@@ -581,6 +581,15 @@ def severity_ztest(w):
     return scan.withColumn("z", F.round("z", 6))
 
 
+@query
+def severity_discoveries(w):
+    tested = severity.severity_ztest(severity.severity_scan(_with_users(w), pairs=True)).withColumn(
+        "p", significance.normal_tail(F.col("z")))
+    found = significance.step_up(tested)
+    return found.select("instance_id", "attr", "value", "from_stage", "to_stage", F.round("p", 9).alias("p"),
+                        F.round("q", 9).alias("q"), "discovery")
+
+
 @query
 def slo_audit(w):
     audit = symptoms.slo_audit(w.events, w.cases, cold_start_screen="app")

@@ -696,7 +696,7 @@ _add("resolution_pr", """SELECT count(*) AS n_names, count(logical_key) AS n_res
 _add("funnel_report", _funnel("instance_id, period", "sess"))
 _add("funnel_by_segment", _funnel("instance_id, device_type, period", "su"))
 _add("severity_scan", _scan())
-_add("severity_scan_pairs", _scan("both_attrs"), """, both_attrs AS (
+_PAIRS = """, both_attrs AS (
   SELECT * FROM attrs UNION ALL BY NAME
   SELECT s.*, attr, value FROM su s, LATERAL (VALUES
     ('os&device_type', os || '&' || device_type),
@@ -711,12 +711,31 @@ _add("severity_scan_pairs", _scan("both_attrs"), """, both_attrs AS (
     ('device_age_months&is_returning', age_band || '&' || is_returning),
     ('geo&channel', geo || '&' || channel), ('geo&is_returning', geo || '&' || is_returning),
     ('channel&is_returning', channel || '&' || is_returning)) t(attr, value))
-""")
-_add("severity_ztest", f"""SELECT * EXCLUDE (p), round(CASE WHEN to_stage = 'crash' THEN -1 ELSE 1
+"""
+_add("severity_scan_pairs", _scan("both_attrs"), _PAIRS)
+
+
+def _ztest(scan: str) -> str:
+    return f"""SELECT * EXCLUDE (p), CASE WHEN to_stage = 'crash' THEN -1 ELSE 1
   END * (rate_pre - rate_post) / nullif(sqrt(p * (1 - p) * (1 / CAST(nullif(n_pre, 0) AS DOUBLE)
-  + 1 / CAST(nullif(n_post, 0) AS DOUBLE))), 0), 6) AS z
+  + 1 / CAST(nullif(n_post, 0) AS DOUBLE))), 0) AS z
   FROM (SELECT *, CAST(k_pre + k_post AS DOUBLE) / nullif(n_pre + n_post, 0) AS p
-        FROM ({_scan()}))""")
+        FROM ({scan}))"""
+
+
+_add("severity_ztest", f"SELECT * REPLACE (round(z, 6) AS z) FROM ({_ztest(_scan())})")
+_add("severity_discoveries", f"""SELECT instance_id, attr, value, from_stage, to_stage,
+  round(p, 9) AS p, round(q, 9) AS q, coalesce(q <= 0.05, false) AS discovery
+  FROM (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(raw) OVER (PARTITION BY instance_id
+      ORDER BY p DESC NULLS LAST RANGE UNBOUNDED PRECEDING)) END AS q
+  FROM (SELECT *, p * count(p) OVER (PARTITION BY instance_id) / nullif(count(p) OVER (
+      PARTITION BY instance_id ORDER BY p NULLS LAST RANGE UNBOUNDED PRECEDING), 0) AS raw
+  FROM (SELECT *, CASE WHEN z >= 0 THEN half ELSE 1 - half END AS p
+  FROM (SELECT *, t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418
+      + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587
+      + t * (-0.82215223 + t * 0.17087277))))))))) / 2 AS half
+  FROM (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + abs(z) / sqrt(2.0) / 2) AS t
+  FROM ({_ztest(_scan("both_attrs"))}))))))""", _PAIRS)
 _add("slo_audit", """SELECT *, p95 >= limit_ms AS breach FROM (
   SELECT instance_id, os, period, signal, round(quantile_cont(latency_ms, 0.95), 4) AS p95,
     CASE signal WHEN 'screen_load' THEN 1500 ELSE 2000 END AS limit_ms
