@@ -51,8 +51,9 @@ def step_up(tests: DataFrame, *, keys: Sequence[str] = ("instance_id",), p: str
     value = F.col(p).cast("double")
     asked = tests.withColumn("_p", F.when(~F.isnan(value), value))
     octave = F.floor(F.log2("_p") * BINS_PER_OCTAVE)
+    # a filter on _p itself would be pushed below the caller's projections and repeat their expressions
     counted = (
-        asked.filter(F.col("_p").isNotNull()).groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+        asked.groupBy(*keys, "_p").agg(F.count("_p").alias("_n")).filter("_n > 0")
         .withColumn("_bin", F.when(F.col("_p") > 0, F.least(F.greatest(octave, F.lit(LEAST_BIN)),
                                                            F.lit(2 * BINS_PER_OCTAVE)))
                     .otherwise(F.lit(LEAST_BIN - 1))))
