@@ -6,9 +6,11 @@ documents there are.  On it a configuration linear program is solved: a configur
 of length classes that fits into a sequence, and the program asks how often to use each one.  It is
 solved by multiplicative weights: every class has a weight, a knapsack dynamic program prices the
 configuration with the largest weight per sequence, the configuration is used for a step and the
-weights of the classes it served fall.  The solution is rounded down; pieces that are left, and the
-short ones that need no planning, go best-fit into the gaps, longest first, on counted groups of equal
-sequences.  The finished plan says for the r-th piece of each length where it goes; pieces find
+weights of the classes it served fall.  Half of the solution or more is rounded (whole parts first, then
+the largest fractions up) and the rest solved again.  A class stands in the program with its mean
+length; when a configuration is filled, its last two pieces are chosen to come as close to the
+capacity as they can.  The last pieces go best-fit into the gaps, longest first, on counted groups of
+equal sequences.  The finished plan says for the r-th piece of each length where it goes; pieces find
 their r by counting within salted groups of equal length, so no length gathers in one task.
 
 Cases: null or empty text is the end token alone; repeated rows are packed once each; very long
@@ -33,10 +35,11 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 200_000       # words in either half of what a Python worker remembers
 TEXT_BYTES = 1 << 20        # text looked at together in a task
-SHORT = 256                 # shorter pieces fill gaps and take no part in the linear program
 CLASS = 16                  # lengths in one class of the program
-ROUNDS = 1500
-STEP = 0.05
+ROUNDS = 400                # most steps of one solution; it ends when it holds as many tokens as there are
+STEP = 0.25
+TAIL = 0.02                 # share of the tokens below which best fit ends the plan
+LOOSE = 0.1                 # share of the tokens above which a pass without a full sequence allows gaps
 RANK_GROUP = 50_000         # pieces of one length that are numbered in one task
 _RANK_BITS = 44
 
@@ -202,41 +205,52 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id"
                            PIECES + (", ids binary" if keep_ids else ""))
 
 
-def best_configuration(weights: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
-    """Unbounded knapsack: how often to take each item for the most weight within ``room``."""
+def best_configuration(weights: np.ndarray, sizes: np.ndarray, room: int,
+                       most: np.ndarray | None = None) -> np.ndarray:
+    """Knapsack: how often to take each item for the most weight within ``room``.
+
+    An item is taken at most ``most`` times, if given.  Its copies are offered in lots of 1, 2, 4 and so
+    on; every lot is one vector step over all rooms.
+    """
+    copies = room // sizes if most is None else np.minimum(room // sizes, most)
+    lots: list[tuple[int, int]] = []
+    for i, k in enumerate(copies.tolist()):
+        lot = 1
+        while k > 0:
+            lots.append((i, min(lot, k)))
+            k -= lot
+            lot *= 2
     best = np.zeros(room + 1)
-    chosen = np.full(room + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    small, value = sizes[order], weights[order]
-    for c in range(1, room + 1):
-        n = np.searchsorted(small, c, "right")
-        best[c], chosen[c] = best[c - 1], -1
-        if n:
-            options = best[c - small[:n]] + value[:n]
-            i = int(options.argmax())
-            if options[i] > best[c]:
-                best[c], chosen[c] = options[i], order[i]
+    taken_at = np.zeros((len(lots), room + 1), bool)
+    for row, (i, lot) in enumerate(lots):
+        size = lot * int(sizes[i])
+        offer = best[:-size] + lot * weights[i]
+        np.greater(offer, best[size:], out=taken_at[row, size:])
+        best[size:] = np.maximum(offer, best[size:])
     taken, c = np.zeros(len(sizes), np.int64), room
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
-        else:
-            taken[chosen[c]] += 1
-            c -= sizes[chosen[c]]
+    for row in range(len(lots) - 1, -1, -1):
+        if taken_at[row, c]:
+            i, lot = lots[row]
+            taken[i] += lot
+            c -= lot * int(sizes[i])
     return taken
 
 
 def configuration_lp(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = ROUNDS,
                      step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Covering program min sum x, A x >= demand, by multiplicative weights.
+    """Covering program min sum x, A x >= demand, by multiplicative weights, up to a common factor.
+
+    A step serves the scarcest item of the priced configuration by ``step`` of its demand; steps end
+    when the configurations hold the demanded volume.
 
     Returns configurations (rows of counts per size) and how often to use each.
     """
     found: dict[bytes, tuple[np.ndarray, float]] = {}
     log_weight = -np.log(demand.astype(float))
+    volume, whole = 0.0, float(demand @ sizes)
     for _ in range(rounds):
         weight = np.exp(log_weight - log_weight.max())
-        taken = np.minimum(best_configuration(weight, sizes, room), demand)
+        taken = best_configuration(weight, sizes, room, demand)
         used = np.flatnonzero(taken)
         if not len(used):
             break
@@ -244,6 +258,9 @@ def configuration_lp(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: i
         log_weight = log_weight - amount * taken / demand
         key = taken.tobytes()
         found[key] = (taken, found.get(key, (taken, 0.0))[1] + amount)
+        volume += amount * float(taken @ sizes)
+        if volume >= whole:
+            break
     if not found:
         return np.zeros((0, len(sizes)), np.int64), np.zeros(0)
     table = np.array([t for t, _ in found.values()])
@@ -251,56 +268,125 @@ def configuration_lp(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: i
     return table, times
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, *, short: int = SHORT,
-                   width: int = CLASS, rounds: int = ROUNDS) -> list[tuple[int, list[int]]]:
-    """Groups of equal sequences, (how many, piece lengths), for the counted lengths.
+def program_sequences(left: dict[int, int], capacity: int = CAPACITY, *, width: int = CLASS,
+                      rounds: int = ROUNDS) -> list[tuple[int, list[int]]]:
+    """Groups of equal sequences (how many, piece lengths) by the configuration program.
 
-    Classes round lengths up, which can lose room where many pieces have one length; best fit
-    without a program is planned as well, and the plan with fewer sequences is taken.
+    The program is solved for the pieces that are left, half of its solution is rounded and placed,
+    and the rest is solved again, until a pass places nothing or less than ``TAIL`` of the tokens is
+    left.  A pass places the whole parts of all configurations; while these are less than half of the
+    solution, the largest fractions are rounded up.  Sequences are filled to within ``width`` tokens;
+    where the lengths left do not allow that, larger gaps are taken.  ``left`` is reduced by what
+    is placed.
     """
-    left = {n: int(c) for n, c in histogram.items() if c > 0}
     groups: list[tuple[int, list[int]]] = []
-    if left.get(capacity):
-        groups.append((left.pop(capacity), [capacity]))
-    classes: dict[int, list[int]] = {}
-    for n in sorted((n for n in left if n >= short), reverse=True):
-        classes.setdefault(-(-n // width), []).append(n)
-    sizes = np.array(sorted(classes), np.int64)
-    if len(sizes):
-        demand = np.array([sum(left[n] for n in classes[s]) for s in sizes], np.int64)
-        table, times = configuration_lp(sizes, demand, capacity // width, rounds)
-        scale = 1.0 / max((table.T @ times / demand).max(), 1e-12) if len(times) else 0.0
-        room, order = demand.copy(), np.argsort(-times)
-        for row, x in zip(table[order], times[order]):
-            used = np.flatnonzero(row)
-            whole = int(min(np.floor(x * scale), (room[used] // row[used]).min()))
-            room[used] -= whole * row[used]
-            groups += _fill(whole, [int(sizes[i]) for i in used for _ in range(row[i])], classes, left)
-    planned = _best_fit(groups, left, capacity)
-    plain = _best_fit([], {n: int(c) for n, c in histogram.items()}, capacity)
-    return min(planned, plain, key=lambda g: sum(m for m, _ in g))
-
-
-def _fill(times: int, slots: list[int], classes: dict[int, list[int]],
-          left: dict[int, int]) -> list[tuple[int, list[int]]]:
-    """Give actual lengths to the slots of one configuration, in runs of equal sequences."""
+    total = sum(n * c for n, c in left.items())
+    unit, slack = max(1, width // 2), width
+    while (rest := sum(n * c for n, c in left.items())) > TAIL * total:
+        classes: dict[int, list[int]] = {}
+        for n in sorted(n for n, c in left.items() if c > 0):
+            classes.setdefault(-(-n // width), []).append(n)
+        names = sorted(classes)
+        demand = np.array([sum(left[n] for n in classes[s]) for s in names], np.int64)
+        mean = [sum(n * left[n] for n in classes[s]) / d for s, d in zip(names, demand)]
+        sizes = np.array([max(1, round(m / unit)) for m in mean], np.int64)
+        room = max(capacity // unit, int(sizes.max()))
+        table, times = configuration_lp(sizes, demand, room, rounds)
+        if not len(times):
+            break
+        times = times * (demand @ sizes) / (times @ (table @ sizes))
+        counts = np.floor(times).astype(np.int64)
+        half = int(np.ceil(times.sum() / 2))
+        up = np.argsort(counts - times, kind="stable")[:max(0, half - int(counts.sum()))]
+        counts[up] += 1
+        placed = 0
+        for i in np.argsort(-times, kind="stable"):
+            slots = [names[k] for k in np.flatnonzero(table[i])[::-1] for _ in range(table[i, k])]
+            for group in _fill(int(counts[i]), slots, classes, left, capacity, width, slack):
+                groups.append(group)
+                placed += group[0]
+        if not placed:
+            if rest <= LOOSE * total or slack >= capacity:
+                break
+            slack *= 8
+    return groups
+
+
+def _fill(times: int, slots: list[int], classes: dict[int, list[int]], left: dict[int, int],
+          capacity: int, width: int, slack: int) -> list[tuple[int, list[int]]]:
+    """Give actual lengths to the slots of one configuration, longest first, in runs of equal sequences.
+
+    All slots but the last two take the length of their class that is left most often.  Of the last two
+    the first stays in its class, and the second is the longest piece that then fits, at most two
+    classes from its own; the pair that leaves least room is taken.  A configuration that cannot be
+    filled up to ``slack`` tokens ends.
+    """
     out = []
     while times > 0:
-        content, need = [], {}
-        run = times
-        for s in slots:
-            n = next(n for n in classes[s] if left[n] > need.get(n, 0))
+        need: dict[int, int] = {}
+
+        def free(n: int) -> int:
+            return left.get(n, 0) - need.get(n, 0)
+
+        room = capacity
+        for s in slots[:-2]:
+            n = max(classes[s], key=lambda n: (free(n), n))
+            if free(n) <= 0:
+                return out
             need[n] = need.get(n, 0) + 1
-            content.append(n)
-        for n, k in need.items():
-            run = min(run, left[n] // k)
+            room -= n
+        low, high = (slots[-1] - 3) * width, (slots[-1] + 2) * width
+        best: tuple[int, tuple[int, ...]] | None = None
+        for n in ([0] if len(slots) == 1 else [n for n in classes[slots[-2]] if free(n) > 0]):
+            for m in range(min(room - n, high), max(low, 0), -1):
+                if free(m) > (m == n):
+                    if best is None or n + m > best[0]:
+                        best = (n + m, (n, m) if n else (m,))
+                    break
+            if best is not None and best[0] == room:
+                break
+        if best is None or room - best[0] > slack:
+            return out
+        for n in best[1]:
+            need[n] = need.get(n, 0) + 1
+        run = min(times, *(left[n] // k for n, k in need.items()))
         for n, k in need.items():
             left[n] -= k * run
-        out.append((run, content))
+        out.append((run, [n for n, k in sorted(need.items(), reverse=True) for _ in range(k)]))
         times -= run
     return out
 
 
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, *, width: int = CLASS,
+                   rounds: int = ROUNDS) -> list[tuple[int, list[int]]]:
+    """Groups of equal sequences, (how many, piece lengths), for the counted lengths.
+
+    Full pieces are sequences of their own, the configuration program places the others, and what its
+    rounding leaves goes best-fit into the gaps.  Rounding costs sequences where a corpus has only
+    a few: while the plan then needs more than best-fit alone, twice as many of the program's
+    emptiest sequences are opened again and their pieces go best-fit too.
+    """
+    left = {n: int(c) for n, c in histogram.items() if c > 0}
+    full = [(left.pop(capacity), [capacity])] if left.get(capacity) else []
+    goal = _count(_best_fit([], dict(left), capacity))
+    groups = sorted(program_sequences(left, capacity, width=width, rounds=rounds),
+                    key=lambda g: sum(g[1]))
+    opened = 0
+    while True:
+        again = dict(left)
+        for m, content in groups[:opened]:
+            for n in content:
+                again[n] = again.get(n, 0) + m
+        plan = _best_fit(groups[opened:], again, capacity)
+        if _count(plan) <= goal or opened >= len(groups):
+            return full + plan
+        opened = max(1, 2 * opened)
+
+
+def _count(groups: list[tuple[int, list[int]]]) -> int:
+    return sum(m for m, _ in groups)
+
+
 def _best_fit(groups: list[tuple[int, list[int]]], left: dict[int, int],
               capacity: int) -> list[tuple[int, list[int]]]:
     """Best fit, longest first, on groups of equal sequences kept by the room they have."""

@@ -99,7 +99,7 @@ def test_empty_table(make_docs):  # noqa: F811
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=30))
 def test_plans_hold_every_piece_once(histogram):
-    groups = packing.plan_sequences(histogram, 64, short=8, width=4, rounds=60)
+    groups = packing.plan_sequences(histogram, 64, width=4, rounds=60)
     held = defaultdict(int)
     for m, content in groups:
         assert m > 0 and sum(content) <= 64
@@ -122,3 +122,48 @@ def test_knapsack_against_all_choices():
         best = max(np.dot(c, weights) for c in itertools.product(range(13), repeat=4)
                    if np.dot(c, sizes) <= 12)
         assert np.dot(taken, sizes) <= 12 and np.dot(taken, weights) == pytest.approx(best)
+
+
+def test_knapsack_with_bounds_against_all_choices():
+    import itertools
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        sizes, weights, most = rng.integers(1, 8, 4), rng.random(4), rng.integers(0, 4, 4)
+        taken = packing.best_configuration(weights, sizes, 12, most)
+        best = max(np.dot(c, weights) for c in itertools.product(*(range(m + 1) for m in most))
+                   if np.dot(c, sizes) <= 12)
+        assert np.dot(taken, sizes) <= 12 and np.dot(taken, weights) == pytest.approx(best)
+        assert (taken <= most).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_program_places_nine_in_ten_sequences(spark, sf):
+    """On whole tables: as few sequences as their tokens allow, most of them configurations."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    histogram = {r["length"]: r["count"] for r in packing.token_pieces(docs, PATH).groupBy(
+        "length").count().collect()}
+    least = -(-sum(n * c for n, c in histogram.items()) // 4096)
+    plan = packing.plan_sequences(histogram)
+    assert packing._count(plan) == least
+    left = dict(histogram)
+    full = left.pop(4096, 0)
+    program = packing.program_sequences(left)
+    assert packing._count(program) >= 0.9 * (least - full)
+    assert all(4096 - packing.CLASS <= sum(content) <= 4096 for _, content in program)
+    held = defaultdict(int)
+    for m, content in program:
+        for n in content:
+            held[n] += m
+    assert all(held[n] + left[n] == c for n, c in histogram.items() if n < 4096)
+
+
+def test_a_plan_for_millions_of_pieces_stays_small():
+    rng = np.random.default_rng(6)
+    drawn = np.clip(rng.lognormal(6.3, 0.9, 20_000), 1, 4095).astype(int)
+    histogram = {int(n): int(c) * 1000 for n, c in zip(*np.unique(drawn, return_counts=True))}
+    groups = packing.plan_sequences(histogram, rounds=100)
+    assert packing._count(groups) <= packing._count(packing._best_fit([], dict(histogram), 4096))
+    assert len(groups) < 20_000
+    left = dict(histogram)
+    assert packing._count(packing.program_sequences(left, rounds=100)) > 0
+    assert sum(n * c for n, c in left.items()) < 0.15 * sum(n * c for n, c in histogram.items())
