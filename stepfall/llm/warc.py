@@ -37,13 +37,15 @@ from stepfall.plans.materialize import cut, scratch
 
 LEAST_BYTES = 1000
 BLOCK = 512                 # index lines in a compressed block
+READ_BYTES = 4 << 20        # archive bytes that one task reads back, about
 NO_CAPTURE = -1             # how a null page_id sorts and is stored
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CAPTURE = ("key binary, capture long, null_id boolean, file string, start long, length long, "
            "record_type string")
-BLOCKS = "first_key binary, first_capture long, file string, start long, length long, lines int"
+BLOCKS = ("first_key binary, first_capture long, file string, start long, length long, "
+          "record_bytes long")
 RECORD = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long, url string, file string, start long, length long")
 
@@ -53,6 +55,7 @@ class Archive:
     """Where an archive lies: its index files in key order, with their first key and directory."""
 
     files: list[tuple[bytes, int, str, int, int]]
+    record_bytes: int
 
 
 def reversed_host_key(url: str | None) -> bytes:
@@ -144,7 +147,7 @@ def _arrow(ddl: str) -> pa.Schema:
 def _write_index(folder: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
-        out, name, at = None, f"{root}/{uuid.uuid4().hex}.cdx.gz", 0
+        out, name, at, held = None, f"{root}/{uuid.uuid4().hex}.cdx.gz", 0, 0
         uri, directory, lines = f"{folder}/{name.rsplit('/', 1)[1]}", [], []
 
         def flush() -> None:
@@ -159,6 +162,7 @@ def _write_index(folder: str, block: int):
         for batch in batches:
             out = out or fs.open_output_stream(name, compression=None)
             for r in batch.to_pylist():
+                held += r["length"]
                 lines.append((r["key"].hex(), r["capture"], r["null_id"], r["file"], r["start"],
                               r["length"], r["record_type"]))
                 if len(lines) == block:
@@ -171,7 +175,7 @@ def _write_index(folder: str, block: int):
             if directory:
                 yield pa.RecordBatch.from_pylist([{
                     "first_key": bytes.fromhex(directory[0][0]), "first_capture": directory[0][1],
-                    "file": uri, "start": at, "length": len(data), "lines": len(directory)}],
+                    "file": uri, "start": at, "length": len(data), "record_bytes": held}],
                     _arrow(BLOCKS))
     return run
 
@@ -199,9 +203,9 @@ def write_archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     index = captures.repartitionByRange("key", "capture").sortWithinPartitions("key", "capture") \
         .mapInArrow(_write_index(folder, block), BLOCKS)
     # One row per index file, that is per task of the job above.
-    files = sorted((bytes(r.first_key), r.first_capture, r.file, r.start, r.length)
-                   for r in index.collect())
-    return Archive(files)
+    found = index.collect()
+    return Archive(sorted((bytes(r.first_key), r.first_capture, r.file, r.start, r.length) for r in found),
+                   sum(r.record_bytes for r in found))
 
 
 def _range(fs_cache: dict, uri: str, start: int, length: int) -> bytes:
@@ -298,9 +302,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lookup(spark: SparkSession, archive: Archive, asked: DataFrame) -> DataFrame:
     """Records of the asked captures (``url, page_id``), each distinct capture asked once.
 
-    Asked keys are range-partitioned like the index, so that a task reads each of its blocks once.
+    Asked keys are range-partitioned like the index, so that a task reads each of its blocks once.  The
+    keys are tiny beside the records they lead to, so the archive's size sets the number of tasks.
     """
+    tasks = max(1, -(-archive.record_bytes // READ_BYTES))
     keys = asked.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(
         _keys, "key binary, capture long, null_id boolean").distinct()
-    return keys.repartitionByRange("key", "capture").sortWithinPartitions("key", "capture") \
+    return keys.repartitionByRange(tasks, "key", "capture").sortWithinPartitions("key", "capture") \
         .mapInArrow(_find(archive), RECORD)

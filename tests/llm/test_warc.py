@@ -54,6 +54,16 @@ def test_lookup_of_some_and_of_unknown(spark, pages):
     assert sorted(r.page_id for r in warc.lookup(spark, archive, asked).collect()) == [1, 1009, 1009]
 
 
+def test_records_are_read_back_in_tasks_of_bounded_size(spark, pages, monkeypatch):
+    archive = warc.write_archive(pages.withColumn("capture", F.lit("a column of the caller")))
+    for most in (1 << 30, archive.record_bytes // 5):
+        monkeypatch.setattr(warc, "READ_BYTES", most)
+        tasks = -(-archive.record_bytes // most)
+        got = warc.lookup(spark, archive, pages)
+        assert got.rdd.getNumPartitions() == tasks
+        assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == expected(pages.collect())
+
+
 def test_empty_table(spark, pages):
     archive = warc.write_archive(pages.limit(0))
     assert archive.files == [] and warc.lookup(spark, archive, pages).count() == 0
