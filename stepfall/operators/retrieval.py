@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfall.plans.joins import small_side
+from stepfall.plans.joins import BROADCAST_LIMIT_BYTES, planned_bytes, small_side
 from stepfall.plans.materialize import cut
 
 
@@ -46,23 +46,66 @@ class LexicalIndex(NamedTuple):
     marks: DataFrame
 
 
+def _counted_here():
+    """Per row the number of times each of its terms occurs; the other columns are repeated."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            terms = batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy())
+            words = terms.flatten().dictionary_encode()
+            width = max(1, len(words.dictionary))
+            pairs, tf = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+            at = pa.array(pairs // width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("dl").take(at),
+                 words.dictionary.take(pa.array(pairs % width)), pa.array(tf, pa.int64())],
+                names=["doc_id", "dl", "term", "tf"])
+    return run
+
+
 def term_frequencies(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``doc_id, dl, term, tf, shard`` of all documents in one tokenising pass.
 
     Every document also has a row of a mark instead of a term, so that documents and their mean length can be
     counted from the same rows.  ``only`` limits the terms (column ``term``).  A shard is a class of
     document lengths; lengths in a shard differ by at most about 40 %.
+
+    A document is counted by the task that reads it and its rows stay together; only what ids that occur
+    more than once have in common is added up by a shuffle.
     """
+    ids = corpus.select("doc_id")
+    again = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     mark = F.concat(F.lit(_MARK), F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("string"))
     terms = F.concat(F.coalesce("t", F.array().cast("array<string>")), F.array(mark))
-    rows = corpus.select("doc_id", tokens(F.col("text")).alias("t")).select(
-        "doc_id", F.size("t").alias("dl"), F.explode(terms).alias("term"))
-    if only is not None:
+
+    def counted(docs: DataFrame) -> DataFrame:
+        rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).select(
+            "doc_id", F.size("t").alias("dl"), terms.alias("terms"))
+        kind = ids.schema["doc_id"].dataType.simpleString()
+        rows = rows.mapInArrow(_counted_here(), f"doc_id {kind}, dl int, term string, tf long")
+        if only is None:
+            return rows
         marks = corpus.sparkSession.range(MARKS).select(
             F.concat(F.lit(_MARK), F.col("id").cast("string")).alias("term"))
-        rows = rows.join(small_side(only.select("term").distinct().unionByName(marks)), "term", "left_semi")
+        return rows.join(small_side(only.select("term").distinct().unionByName(marks)), "term", "left_semi")
+
+    def added_up(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+
+    if again.isEmpty():
+        found = counted(corpus)
+    elif (planned_bytes(again) or BROADCAST_LIMIT_BYTES + 1) > BROADCAST_LIMIT_BYTES:
+        found = added_up(counted(corpus))
+    else:
+        several = again.withColumnRenamed("doc_id", "_several")
+        same = F.col("doc_id").eqNullSafe(F.col("_several"))
+        found = counted(corpus.join(F.broadcast(several), same, "left_anti")).unionByName(
+            added_up(counted(corpus.join(F.broadcast(several), same, "left_semi"))))
     shard = F.coalesce(F.floor(2 * F.log2(F.col("dl") + 1)), F.lit(0)).cast("int")
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).withColumn("shard", shard)
+    return found.select("doc_id", "dl", "term", "tf", shard.alias("shard"))
 
 
 def _is_mark() -> Column:
@@ -110,7 +153,8 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, *, k: int = 10, k1: flo
         return F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
     def scored(terms: DataFrame, on: list[str]) -> DataFrame:
-        return index.postings.join(small_side(terms), on).groupBy("query_id", "doc_id").agg(
+        # stored, so that its size is known: the estimate of a join grows with the corpus
+        return index.postings.join(small_side(cut(terms)), on).groupBy("query_id", "doc_id").agg(
             F.sum(part("tf", "dl")).alias("score"))
 
     if not prune:

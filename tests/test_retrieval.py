@@ -121,3 +121,40 @@ def test_fusion(spark):
     got = retrieval.fused_topk([one, two], k=2).orderBy("rank").collect()
     assert [r.doc_id for r in got] == [20, 10]
     assert got[0].score == pytest.approx(1 / 61 + 1 / 62)
+
+
+def test_documents_are_counted_where_they_are_read(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 7} w{i % 5}") for i in range(50)], "doc_id int, text string")
+    plan = retrieval.term_frequencies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_ids_that_repeat_are_added_up(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(retrieval, "BROADCAST_LIMIT_BYTES", limit)
+    texts = [(1, "a b a"), (1, "a c c"), (1, "a"), (None, "b b"), (None, "b a"), (None, None), (None, None), (2, ""),
+             (3, "A b"), (4, "É1 x-x")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    got = retrieval.term_frequencies(docs)
+    found = {(r.doc_id, r.dl, r.term): r.tf for r in got.filter(~retrieval._is_mark()).collect()}
+    assert found == {(1, 3, "a"): 3, (1, 3, "b"): 1, (1, 3, "c"): 2, (1, 1, "a"): 1, (None, 2, "b"): 3,
+                     (None, 2, "a"): 1, (3, 2, "a"): 1, (3, 2, "b"): 1, (4, 3, "é1"): 1, (4, 3, "x"): 2}
+    marks = got.filter(retrieval._is_mark())
+    assert rows(marks, "doc_id", "dl", "tf") == sorted(
+        [(1, 3, 2), (1, 1, 1), (None, 2, 2), (None, None, 2), (2, 0, 1), (3, 2, 1), (4, 3, 1)], key=repr)
+    asked = spark.createDataFrame([("c",)], "term string")
+    some = retrieval.term_frequencies(docs, asked).filter(~retrieval._is_mark())
+    assert rows(some, "doc_id", "dl", "term", "tf") == [(1, 3, "c", 2)]
+
+
+def test_asked_terms_go_to_the_postings(spark, stored):
+    _, index = stored
+    queries = spark.createDataFrame([(1, "w3 w40"), (2, "w59")], "query_id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.bm25_search(index, queries, prune=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
