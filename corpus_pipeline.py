@@ -24,9 +24,13 @@ from stepfall.llm import secrets as secret_scan
 from stepfall.llm.common import prepared, table, word_count
 from stepfall.plans.materialize import cut
 
-# Texts in a Python worker at a time; workers keep what memory they once took, from stage to stage.
+# Texts in a Python worker at a time.
 BATCH_BYTES = 4 << 20
 
+# Workers live from stage to stage: what one stage has freed goes back to the system, not into the next stage's share.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1",
+                 "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 # Learned models and sampling take part, which SQL cannot express.
@@ -34,7 +38,7 @@ ORACLE_SQL = None
 
 
 def ready(spark: SparkSession) -> None:
-    prepared(spark)
+    prepared(spark).sparkContext.environment.update(WORKER_MEMORY)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

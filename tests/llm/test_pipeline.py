@@ -87,3 +87,21 @@ def test_empty_tables(spark, make_docs, sf_of):  # noqa: F811
     docs = make_docs([])
     root = sf_of(documents=docs, labels=spark.createDataFrame([], "doc_id long, toxic int"))
     assert [s.count() for s in stages(spark, docs, root)] == [0] * 5
+
+
+def test_workers_give_back_what_a_stage_has_freed(spark):
+    import corpus_pipeline
+
+    def settings():
+        def run(batches):
+            import os
+
+            import pyarrow as pa
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([
+                    f"{os.environ.get('MALLOC_MMAP_THRESHOLD_')} {pa.default_memory_pool().backend_name}"])], names=["x"])
+        return run
+
+    corpus_pipeline.ready(spark)
+    got = {r.x for r in spark.range(1).mapInArrow(settings(), "x string").collect()}
+    assert got == {"1048576 system"}
