@@ -25,7 +25,7 @@ from stepfall.llm.common import prepared, table, word_count
 from stepfall.plans.materialize import cut
 
 # Texts in a Python worker at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 # Workers live from stage to stage: what one stage has freed goes back to the system, not into the next stage's share.
 WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1",

@@ -465,8 +465,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(_slots(plan_sequences(histogram, capacity)))
     salts = F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))
-    sizes = spark.createDataFrame(
-        [(n, -(-c // RANK_GROUP)) for n, c in histogram.items()], "length long, groups long")
+    # as an Arrow table: rows from a list would start Python workers of another kind, which stay beside ours
+    sizes = spark.createDataFrame(pa.table({
+        "length": pa.array(list(histogram), pa.int64()),
+        "groups": pa.array([-(-c // RANK_GROUP) for c in histogram.values()], pa.int64())}))
     salted = pieces.join(F.broadcast(sizes), "length").withColumn("salt", salts).drop("groups")
     counts = salted.groupBy("length", "salt").count()
     before = counts.withColumn("before", F.sum("count").over(

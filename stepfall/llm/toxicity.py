@@ -43,6 +43,7 @@ FUZZY_FROM = 5               # shorter terms are matched exactly
 WINDOW = 8                   # words on either side of a hit
 REMEMBERED = 60              # bytes of words that are remembered; longer ones are matched each time
 FEATURES = 6
+COUNTED_BYTES = 1 << 20      # text whose words are counted together in a task
 QUOTES = re.compile(rb'"|\xe2\x80[\x9c-\x9e]|\xc2[\xab\xbb]')
 STRAIGHT = re.compile(rb'"|\n[ \t\r]*\n')      # and ends of paragraphs
 OPENING, CLOSING, LOW, ANGLE = b"\xe2\x80\x9c", b"\xe2\x80\x9d", b"\xe2\x80\x9e", b"\xc2\xab"
@@ -119,33 +120,45 @@ class Model:
         return t
 
 
+def _put(bits: np.ndarray, code: int) -> None:
+    bits[code >> 3] |= 1 << (code & 7)
+
+
+def _has(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return (bits[codes >> 3] >> (codes & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _three(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The three bytes from each place on as one number."""
+    return (data[at].astype(np.int32) << 16) | (data[at + 1].astype(np.int32) << 8) | data[at + 2]
+
+
 class Finder:
     """Hits of a lexicon in slices of texts."""
 
     def __init__(self, model: Model) -> None:
         self.trie = model.trie()
         self.seen: dict[bytes, tuple[float, bool]] = {}
-        self.head3, self.head2 = np.zeros(1 << 24, bool), np.zeros(1 << 16, bool)
-        self.tail3 = np.zeros(1 << 24, bool)
+        # sets of the three (or two) bytes that terms begin and end with, one bit each
+        self.head3, self.head2 = np.zeros(1 << 21, np.uint8), np.zeros(1 << 13, np.uint8)
+        self.tail3 = np.zeros(1 << 21, np.uint8)
         for text, _ in model.terms + model.stems:
             raw = text.encode()
             code = int.from_bytes(raw[:3].ljust(3, b"\0"), "big")
             if len(text) < 6:
-                self.head2[code >> 8] = True
-            self.head3[code] = True
+                _put(self.head2, code >> 8)
+            _put(self.head3, code)
             if len(text) >= FUZZY_FROM:
-                self.tail3[int.from_bytes(raw[-3:], "big")] = True
+                _put(self.tail3, int.from_bytes(raw[-3:], "big"))
 
     def hits(self, raw: bytes, begin: np.ndarray, end: np.ndarray
              ) -> list[tuple[int, float, bool]]:
         """(word number, weight, misspelled) of the words that match."""
-        data = np.frombuffer(raw + b"\0\0\0", np.uint8).astype(np.int64)
+        data = np.frombuffer(raw + b"\0\0\0", np.uint8)
         size = end - begin
-        second = np.where(size > 1, data[begin + 1], 0)
-        head = data[begin] << 16 | second << 8 | np.where(size > 2, data[begin + 2], 0)
-        back = np.maximum(end - 3, 0)
-        tail = data[back] << 16 | data[back + 1] << 8 | data[back + 2]
-        worth = (size > 2) & (self.head3[head] | self.head2[head >> 8] | self.tail3[tail])
+        head = _three(data, begin) & np.where(size > 2, 0xFFFFFF, np.where(size > 1, 0xFFFF00, 0xFF0000))
+        tail = _three(data, np.maximum(end - 3, 0))
+        worth = (size > 2) & (_has(self.head3, head) | _has(self.head2, head >> 8) | _has(self.tail3, tail))
         out = []
         for k in np.flatnonzero(worth).tolist():
             word = raw[begin[k]:end[k]]
@@ -279,7 +292,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the number of toxic and of other texts that have them."""
     for batch in batches:
         toxic = batch.column("toxic").to_pylist()
-        for a, b, data, offsets in paths.text_slices(batch):
+        for a, b, data, offsets in paths.text_slices(batch, COUNTED_BYTES):
             counts: tuple[Counter, Counter] = Counter(), Counter()
             raw = lowered(data)
             begin, end, first = words_of(raw, offsets)

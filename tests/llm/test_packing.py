@@ -167,3 +167,23 @@ def test_a_plan_for_millions_of_pieces_stays_small():
     left = dict(histogram)
     assert packing._count(packing.program_sequences(left, rounds=100)) > 0
     assert sum(n * c for n, c in left.items()) < 0.15 * sum(n * c for n, c in histogram.items())
+
+
+def test_plan_starts_no_other_kind_of_python_worker(spark, monkeypatch):
+    """Rows from a list pass through RDD workers with an environment of their own, which stay beside the others."""
+    pieces = spark.range(40).selectExpr("id AS doc_id", "0 AS piece", "1 + id % 7 AS length")
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("rows from a list")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    rows = packing.pack(pieces, 16).collect()
+    fill = {}
+    for r in rows:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 40
+    for places in fill.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 16

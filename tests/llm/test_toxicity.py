@@ -194,3 +194,22 @@ def test_dropping_keeps_columns(spark, make_docs):  # noqa: F811
     docs = make_docs([(1, "stupid idiot"), (2, "fine"), (3, None)]).withColumn("score", F.lit("s"))
     kept = T.drop_toxic(docs, model)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_scoring_needs_little_memory_beside_the_texts():
+    """Python workers share an executor's memory with its JVM; what a slice needs does not follow the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+    text = "some words, stupid or not, that fill a text up to its end " * 40
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(1000), pa.int64()), pa.array([text] * 1000)], names=["doc_id", "text"])
+    run = T._scores(T.Model(list(TERMS.items()), list(STEMS.items()), [0.1] * T.FEATURES))
+    tracemalloc.start()
+    try:
+        scores = [x for out in run(iter([batch])) for x in out.column("score").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(set(scores)) == 1 and len(scores) == 1000
+    assert peak < 24 << 20
